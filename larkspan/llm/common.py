@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of characters that are neither a blank nor one of the controls 9 to 13.
@@ -76,44 +77,47 @@ def join_checked(large: DataFrame, small: DataFrame, keys: list[str], how: str =
     return salted.join(held, on, how).drop("_salt", "_s", *[f"_k{i}" for i in range(len(keys))])
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """rows with their position from 0 in the given total order: a range-partitioned sort, and offsets by partition."""
+    spark = rows.sparkSession
+    placed = materialise(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.shiftright("_m", 33).alias("part")).count().collect()  # a row for each partition
+    offsets, total = [], 0
+    for part, n in sorted((r["part"], r["count"]) for r in sizes):
+        offsets.append((part, total))
+        total += n
+    starts = spark.createDataFrame(offsets or [(0, 0)], "_part long, _start long")
+    local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), F.shiftright("_m", 33) == F.col("_part")).withColumn(name, F.col("_start") + local).drop("_m", "_part", "_start")
+
+
 def thresholds(rows: DataFrame, group: str, key: str, weight: str, budgets: DataFrame, bits: int = 60, step: int = 10) -> DataFrame:
-    """For each group, the smallest key below which the weights come nearest to the budget, without sorting rows.
+    """For each group, the key below which the weights come nearest to the group's budget, without sorting rows.
 
-    rows: (group, key long of `bits` bits, weight long), materialised by the caller; budgets: (group, budget double).
-    Weights are summed by group and the key's leading bits; the bucket in which the running sum crosses the budget is
+    rows: (group, key long of `bits` bits, weight long), materialised by the caller; budgets: (group, budget).
+    Weights are summed by group and the key's leading bits; the bucket in which the running sum reaches the budget is
     the only one that is refined by its next bits, until the bucket holds one key. Returns (group, threshold long):
-    keys < threshold are inside. One narrow aggregation a level; a bucket's whole group never meets in a task.
+    rows with key < threshold are inside. One narrow aggregation a level, whatever the number of rows.
     """
-    from pyspark.sql import Window
-
-    open_ = budgets.select(F.col(group), F.lit(0).cast("long").alias("_low"), F.col("budget").cast("double").alias("_left"))
-    shift = bits
-    spark = rows.sparkSession
-    done = None
-    while True:
-        shift = max(0, shift - step)
-        width = 1 << shift
-        inside = rows if shift == bits - step else join_checked(rows, open_.select(group, "_low"), [group], "inner").filter((F.col(key) >= F.col("_low")) & (F.col(key) < F.col("_low") + F.lit(1 << (shift + step if shift + step <= bits else bits))))
+    low = budgets.select(F.col(group).alias("_g"), F.lit(0).cast("long").alias("_low"), F.col("budget").cast("double").alias("_left"))
+    ended = []
+    for shift in range(bits - step, -1, -step):
+        inside = rows
+        if ended:
+            inside = join_checked(rows, low.select(F.col("_g").alias(group), "_low"), [group], "inner")
+            inside = inside.filter((F.col(key) >= F.col("_low")) & (F.col(key) < F.col("_low") + F.lit(1 << (shift + step))))
         sums = inside.groupBy(group, F.shiftright(F.col(key), shift).alias("_b")).agg(F.sum(weight).alias("_w"), F.min(key).alias("_first"), F.max(key).alias("_last"))
-        held = sums.withColumnRenamed(group, "_g").join(open_, F.col("_g").eqNullSafe(F.col(group))).drop("_g")
-        over = Window.partitionBy(group).orderBy("_b")
-        running = held.withColumn("_up", F.sum("_w").over(over)).withColumn("_before", F.col("_up") - F.col("_w"))
-        # The bucket in which the running sum reaches what is left; without one the whole range is inside.
-        crossing = running.filter(F.col("_up") >= F.col("_left")).groupBy(group).agg(F.min_by(F.struct("_b", "_before", "_w", "_first", "_last", "_left"), "_b").alias("_c"))
-        crossing = crossing.select(group, "_c.*")
-        single = (F.col("_first") == F.col("_last")) | F.lit(shift == 0)
-        take_whole = (F.col("_before") + F.col("_w") - F.col("_left")) <= (F.col("_left") - F.col("_before"))
-        state = crossing.select(
-            group,
-            single.alias("_end"),
-            F.when(single, F.when(take_whole, F.col("_last") + 1).otherwise(F.col("_first"))).otherwise(F.col("_b") * F.lit(width)).alias("_low"),
-            (F.col("_left") - F.col("_before")).alias("_left"),
-        )
-        state = materialise(state)
-        ended = state.filter("_end").select(group, F.col("_low").alias("threshold"))
-        done = ended if done is None else done.unionByName(ended)
-        open_ = state.filter(~F.col("_end")).select(group, "_low", "_left")
-        if shift == 0 or open_.isEmpty():
+        sums = sums.join(low, F.col(group).eqNullSafe(F.col("_g")))
+        running = sums.withColumn("_up", F.sum("_w").over(Window.partitionBy("_g").orderBy("_b")))
+        reached = running.filter(F.col("_up") >= F.col("_left")).groupBy("_g").agg(F.min(F.struct("_b", "_up", "_w", "_first", "_last", "_left")).alias("_c")).select("_g", "_c.*")
+        left = F.col("_left") - (F.col("_up") - F.col("_w"))
+        one = (F.col("_first") == F.col("_last")) | F.lit(shift == 0)
+        nearest = F.when(F.col("_up") - F.col("_left") <= left, F.col("_last") + 1).otherwise(F.col("_first"))
+        state = materialise(reached.select("_g", one.alias("_one"), F.when(one, nearest).otherwise(F.shiftleft(F.col("_b"), shift)).alias("_low"), left.alias("_left")))
+        ended.append(state.filter("_one").select("_g", F.col("_low").alias("threshold")))
+        low = state.filter(~F.col("_one")).select("_g", "_low", "_left")
+        if low.isEmpty():
             break
-    whole = budgets.select(F.col(group).alias("_g")).join(done, F.col("_g").eqNullSafe(done[group]), "left").select(F.col("_g").alias(group), F.coalesce("threshold", F.lit((1 << bits)).cast("long")).alias("threshold"))
-    return materialise(whole)
+    found = reduce(DataFrame.unionByName, ended)
+    out = budgets.select(F.col(group)).join(found, F.col(group).eqNullSafe(F.col("_g")), "left")
+    return materialise(out.select(group, F.coalesce("threshold", F.lit(1 << bits)).cast("long").alias("threshold")))

@@ -5,11 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspan.llm import exact_dedup
+from larkspan.llm import exact_dedup, mixing, sharding
 from larkspan.llm.common import table
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+    return taken.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.refine(table(spark, sf_dir, "documents"))
 
@@ -21,9 +32,45 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+#: The least level at which the first source that isn't full takes its weight; then each source's documents by hash.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS key
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM d GROUP BY source),
+c AS (
+  SELECT *, 2 * source_size / w AS ratio, (SELECT sum(source_size) FROM s)::DOUBLE AS total FROM s),
+l AS (
+  SELECT *, (1.5::DOUBLE * total
+             - coalesce((SELECT sum(2 * x.source_size) FROM c x WHERE x.ratio < c.ratio), 0)::DOUBLE)
+            / (SELECT sum(x.w) FROM c x WHERE x.ratio >= c.ratio) AS level
+  FROM c),
+v AS (SELECT min_by(level, ratio) AS level FROM l WHERE ratio >= level),
+t AS (
+  SELECT source, source_size, least((2 * source_size)::DOUBLE, v.level * w) AS target FROM s, v),
+g AS (
+  SELECT d.*, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS whole
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (
+  SELECT *, target - whole * source_size AS budget, sum(size) OVER (PARTITION BY source ORDER BY key) AS up,
+         sum(size) OVER (PARTITION BY source, key) AS same FROM g),
+k AS (
+  SELECT source, min(key) AS cross_key FROM r WHERE up >= budget GROUP BY source)
+SELECT doc_id, r.size, source_size, target,
+       (r.size * (whole + CASE WHEN cross_key IS NULL OR key < cross_key THEN 1
+                               WHEN key = cross_key AND up - budget <= budget - (up - same) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r LEFT JOIN k ON r.source IS NOT DISTINCT FROM k.source
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {"op5_sharding": op5_sharding, "op7_mixing": op7_mixing, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op7_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL}
