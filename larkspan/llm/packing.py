@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > CHUNK_BYTES:

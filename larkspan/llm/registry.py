@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import exact_dedup, language_id, mixing, packing, sharding, topk_search
+from larkspan.llm import exact_dedup, language_id, mixing, packing, sharding, substring_dedup, suffix_dedup, topk_search
 from larkspan.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
@@ -37,6 +41,22 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.refine(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=400)
+
+
+#: Every window's words as one string, counted over the corpus; a word goes with any repeated window that began up to 34 words before.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+x AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN sha256(array_to_string(w[i:i + 34], ' ')) END AS window_words FROM p),
+c AS (SELECT doc_id, i, word, window_words IS NOT NULL AND count(*) OVER (PARTITION BY window_words) > 1 AS again FROM x),
+g AS (SELECT doc_id, i, word, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS 34 PRECEDING) = 1 AS gone FROM c),
+k AS (SELECT doc_id, count_if(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
@@ -92,8 +112,8 @@ FROM r LEFT JOIN k ON r.source IS NOT DISTINCT FROM k.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_topk_search": op4_topk_search, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_substring_dedup": op1_substring_dedup, "op4_topk_search": op4_topk_search, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk_search": OP4_SQL, "op7_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_topk_search": OP4_SQL, "op7_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL}
