@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import exact_dedup, jaccard_join, language_id, mixing, packing, sharding, substring_dedup, suffix_dedup, topk_search
+from larkspan.llm import exact_dedup, jaccard_join, language_id, mixing, packing, secret_scan, sharding, substring_dedup, suffix_dedup, topk_search
 from larkspan.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
 
@@ -116,7 +120,7 @@ FROM r LEFT JOIN k ON r.source IS NOT DISTINCT FROM k.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op3_jaccard_join": op3_jaccard_join, "op4_topk_search": op4_topk_search, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_secret_scan": op2_secret_scan, "op3_jaccard_join": op3_jaccard_join, "op4_topk_search": op4_topk_search, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
