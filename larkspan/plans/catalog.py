@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from larkspan.plans import ranking
 
-def queries() -> dict:
-    return {}
+#: (query, SQL or None) by name; names begin with the operators' handles.
+_ALL = {**ranking.QUERIES}
 
 
-def oracle_sql() -> dict:
-    return {}
+def entry(spark: SparkSession) -> DataFrame:
+    return ranking.personalised_feed(spark, "/root/testdata/sf0.001")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for name, (query, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
