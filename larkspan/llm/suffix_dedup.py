@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from larkspan.llm import sequences as S
 
 #: Window starts that are handled at once; a longer text comes in slices that overlap by a window.
-SLICE = 1_000_000
+SLICE = 250_000
 _PLACE_BITS = np.uint64(21)
 
 
