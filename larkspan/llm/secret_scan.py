@@ -16,20 +16,16 @@ BEFORE, AFTER = 48, 24
 
 #: Words that make up identifiers, paths and placeholders rather than keys.
 DICTIONARY = (
-    "about above access account action active address after again agent alpha along another apple array author base between binary block body book bottom "
-    "branch buffer build button cache call center change channel chapter check child class clean client close cloud code color column command comment common "
-    "company component config connect container content context control copy count create current custom data database date debug default delete demo describe "
-    "design detail device dialog direct display document domain download driver dummy dynamic each edit element empty enable engine entry error event example "
-    "export factory false field file filter final find first folder follow format frame from function general generic global group handle handler header "
-    "height hello here hidden history home host image import index info input insert instance internal item java label language large last layout left length "
-    "level library light line link list load local lock login long main manager map master media memory message method middle mobile mode model module monitor "
-    "name native network next node none normal note null number object offset open option order output package page panel parent parser part pass path pattern "
-    "people place placeholder plain point port position power print private process product profile program project property protocol provider public query "
-    "queue random range read record reference region register release remote remove render replace report request reset resource response result return right "
-    "root router sample save schema screen script search section select sequence server service session setting shared show simple single site size small "
-    "source spring stack standard start state static status stop storage store stream string style submit summary support switch system table target task "
-    "template test text that this thread time title toggle token tool total track transaction tree true type union unique unit update upload user util value "
-    "vector version view visible watch water where which width window with word work world write your"
+    "access account action active address agent array author base between binary block body book buffer build button cache call center change "
+    "channel check class client close cloud code color column command comment component config connect container content context control copy "
+    "count create current custom data database date debug default delete demo device document domain download dummy dynamic element enable entry "
+    "error event example export factory false field file filter final find first folder format frame from function global header height hello "
+    "here hidden image import index info input item label layout level library line link list load local lock login long main manager map master "
+    "media memory message method model module name network next node null number object offset open option output package page parser pass path "
+    "pattern place placeholder point port process product property protocol public query read record register release remove replace report "
+    "request response result return router save schema screen script search sequence service session setting shared show simple source start "
+    "state status storage store string style system table task test text that this time title token tool true type update user util value version "
+    "view write your"
 ).split()
 
 KEY_WORDS = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|apikey|auth|credential|private[_-]?key|access[_-]?key|bearer|client[_-]?key|signing)"
