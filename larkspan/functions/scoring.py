@@ -81,8 +81,8 @@ def missing_facts(**present: Column) -> Column:
 
 
 def health_after(health: Column, failed: Column, complete: Column, has_image: Column, has_address: Column) -> Column:
-    change = F.when(failed, -20).otherwise(F.when(complete, 10).otherwise(2) - F.when(has_image, 0).otherwise(5) - F.when(has_address, 0).otherwise(5))
-    return F.least(F.greatest(health + change, F.lit(0)), F.lit(100))
+    change = F.when(failed, -20).when(complete, 10).otherwise(2) - F.when(has_image, 0).otherwise(5) - F.when(has_address, 0).otherwise(5)
+    return F.least(F.greatest(F.coalesce(health, F.lit(70)) + change, F.lit(0)), F.lit(100))
 
 
 def enabled_after(enabled: Column, before: Column, after: Column) -> Column:

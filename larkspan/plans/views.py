@@ -102,7 +102,7 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUEUE = """qu AS (
-  SELECT event_id AS item_id, user_id AS source_id, epoch(ts)::BIGINT AS ats,
+  SELECT event_id AS item_id, user_id AS source_id, (epoch_us(ts) // 1000000) AS ats,
          CASE event_type WHEN 'view' THEN 'discovered' WHEN 'click' THEN 'fetching' WHEN 'signup' THEN 'extracting' WHEN 'purchase' THEN 'indexed' ELSE 'failed' END AS stage,
          event_type = 'error' AS failed, value, json_extract_string(props, '$.k')::INT AS k, 'strategy-' || (event_id % 4)::VARCHAR AS strategy
   FROM events)"""
