@@ -69,23 +69,27 @@ def is_probable_event(title: Column) -> Column:
 def language_profile(text: Column) -> Column:
     """struct<language, dutch_score, english_score> by points for words, endings, letter pairs and plain statements."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    words = F.filter(F.split(F.regexp_replace(lower, "[^a-z0-9_]+", " "), " "), lambda w: w.rlike("^[a-z]{2,}$"))
-    listed = lambda values: F.array(*[F.lit(v) for v in values])
-    number = lambda test: F.size(F.filter(words, test))
+    whole = lambda pattern: F.regexp_count(lower, F.lit(rf"(?<![a-z0-9_]){pattern}(?![a-z0-9_])"))
     pair = {p: F.regexp_count(lower, F.lit(p)) for p in DUTCH_PAIRS}
-    dutch = 2 * number(lambda w: F.array_contains(listed(DUTCH_WORDS), w))
+    dutch = 2 * whole(f"(?:{'|'.join(DUTCH_WORDS)})")
     dutch = dutch + sum((F.when(n > 2, F.least(n, F.lit(5))).otherwise(0) for n in pair.values()), F.lit(0))
-    dutch = dutch + number(lambda w: w.rlike("^(" + "|".join("." * 3 + ".*" + e for e in DUTCH_ENDINGS) + ")$"))
+    dutch = dutch + whole(f"[a-z]{{3,}}(?:{'|'.join(DUTCH_ENDINGS)})")
     dutch = dutch + F.when(pair["ij"] >= 2, 2 * pair["ij"]).otherwise(0)
-    english = 2 * number(lambda w: F.array_contains(listed(ENGLISH_WORDS), w)) + sum((F.when(lower.contains(m), 10).otherwise(0) for m in ENGLISH_MARKS), F.lit(0))
-    total = dutch + english + 1
-    enough = (F.length(lower) >= 50) & (F.size(words) >= 10)
-    nl, en = F.when(enough, dutch / total).otherwise(0.0), F.when(enough, english / total).otherwise(0.0)
-    language = (
-        F.when(~enough, "Other").when((nl > 0.6) & (en < 0.2), "NL").when((en > 0.6) & (nl < 0.2), "EN").when((nl > 0.3) & (en > 0.3), "Mixed")
-        .when(nl > en, "NL").when(en > nl, "EN").otherwise("Other")
-    )
-    return F.struct(language.alias("language"), nl.alias("dutch_score"), en.alias("english_score"))
+    english = 2 * whole(f"(?:{'|'.join(ENGLISH_WORDS)})") + sum((F.when(lower.contains(m), 10).otherwise(0) for m in ENGLISH_MARKS), F.lit(0))
+    enough = (F.length(lower) >= 50) & (whole("[a-z]{2,}") >= 10)
+
+    def profile(points: Column) -> Column:
+        total = points["dutch"] + points["english"] + 1
+        nl, en = F.when(points["enough"], points["dutch"] / total).otherwise(0.0), F.when(points["enough"], points["english"] / total).otherwise(0.0)
+        language = (
+            F.when(~points["enough"], "Other").when((nl > 0.6) & (en < 0.2), "NL").when((en > 0.6) & (nl < 0.2), "EN").when((nl > 0.3) & (en > 0.3), "Mixed")
+            .when(nl > en, "NL").when(en > nl, "EN").otherwise("Other")
+        )
+        return F.struct(language.alias("language"), nl.alias("dutch_score"), en.alias("english_score"))
+
+    # An array of one, so that the points are counted once and named.
+    counted = F.struct(dutch.alias("dutch"), english.alias("english"), enough.alias("enough"))
+    return F.get(F.transform(F.array(counted), profile), F.lit(0))
 
 
 def interaction_mode(category_: Column, description: Column) -> Column:

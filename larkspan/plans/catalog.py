@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.plans import operations, ranking
+from larkspan.plans import operations, ranking, texts
 
 #: (query, SQL or None) by name; names begin with the operators' handles.
-_ALL = {**ranking.QUERIES, **operations.QUERIES}
+_ALL = {**ranking.QUERIES, **operations.QUERIES, **texts.QUERIES}
 
 
 def entry(spark: SparkSession) -> DataFrame:
