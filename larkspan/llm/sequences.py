@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 NO_DOC = np.uint32(0xFFFFFFFF)
 #: Text that a task reads before it sends its entries on.
-CHUNK_BYTES = 64_000_000
+CHUNK_BYTES = 32_000_000
 #: Text in a group that meets in a task.
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 8_000_000
+#: Values that are hashed at once.
+BLOCK = 1 << 18
 
 ENTRY = ["h1", "h2", "doc", "pos", "n", "multi", "uids", "known_doc", "known_pos", "known_n"]
 ENTRIES = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ENTRY]])
@@ -65,6 +67,22 @@ class Rolling:
     def between(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (prefix[end] - prefix[start]) * self._down[start]
 
+    def spans_of_bytes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.spans(data, start, end, self.of_byte)
+
+    def spans(self, values: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of values[start:end] for sorted starts and ends, in blocks of about BLOCK values: memory stays flat."""
+        out = np.zeros(len(start), np.uint64)
+        begin = 0
+        while begin < len(start):
+            base = int(start[begin])
+            stop = max(begin + 1, int(np.searchsorted(end, base + BLOCK)))
+            part = values[base : int(end[stop - 1])]
+            prefix = self.prefix(part if codes is None else codes[part])
+            out[begin:stop] = self.between(prefix, start[begin:stop] - base, end[begin:stop] - base)
+            begin = stop
+        return out
+
 
 @lru_cache(maxsize=8)
 def rolling(seed: int) -> Rolling:
@@ -79,6 +97,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(data) else np.zeros(0, np.uint8), offsets - offsets[0]
 
 
+def portions(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about `most` bytes of text; a longer text is a range of its own."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+    begin = 0
+    while begin < len(ends):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
+        yield begin, stop
+        begin = stop
+
+
 def uid(id_col: str, text_col: str) -> Column:
     """16 bytes that name a row by its id and text; rows that agree in both share it and get the same answer."""
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))))
@@ -222,4 +250,4 @@ def plan_sizes(docs: DataFrame, text_col: str) -> tuple[int, int]:
     """Numbers of parts and of groups of texts, from the bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, total // (2 * GROUP_BYTES)), max(least, total // GROUP_BYTES)
+    return max(least, total // (4 * GROUP_BYTES)), max(least, total // GROUP_BYTES)

@@ -16,8 +16,6 @@ from larkspan.llm import sequences as S
 COVER, PERIOD = (3, 6, 7, 12, 14), 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Bytes whose words are hashed at once.
-SLICE = 4_000_000
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,22 +28,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     tail = solid.copy()
     tail[:-1] &= ~solid[1:] | head[1:]
     start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    hashes = [np.zeros(len(start), np.uint64) for _ in (1, 2)]
-    begin = 0
-    while begin < len(start):
-        stop = max(begin + 1, int(np.searchsorted(end, start[begin] + SLICE)))
-        base = start[begin]
-        for seed, out in zip((1, 2), hashes, strict=True):
-            roll = S.rolling(seed)
-            prefix = roll.prefix(roll.of_byte[data[base : end[stop - 1]]])
-            out[begin:stop] = S.mixed(roll.between(prefix, start[begin:stop] - base, end[begin:stop] - base) + (end[begin:stop] - start[begin:stop]).astype(np.uint64))
-        begin = stop
+    length = (end - start).astype(np.uint64)
+    hashes = []
+    for seed in (1, 2):
+        roll = S.rolling(seed)
+        hashes.append(S.mixed(roll.spans_of_bytes(data, start, end) + length))
     return *hashes, np.searchsorted(start, offsets)
 
 
 def _sequences(values: np.ndarray, starts: np.ndarray, width: int, seed: int) -> np.ndarray:
-    roll = S.rolling(seed)
-    return S.mixed(roll.between(roll.prefix(values), starts, starts + width))
+    return S.mixed(S.rolling(seed).spans(values, starts, starts + width))
 
 
 def _anchors(window: int, parts: int):
@@ -60,8 +52,8 @@ def _anchors(window: int, parts: int):
             return S.scatter(np.concatenate(names), h1, None, doc, pos, None, np.zeros(len(h1), np.uint8), parts)
 
         for batch in batches:
-            for begin in range(0, len(batch), 1000):
-                part = batch.slice(begin, 1000)
+            for begin, stop in S.portions(batch.column(1)):
+                part = batch.slice(begin, stop - begin)
                 data, offsets = S.utf8(part.column(1))
                 h, _, bounds = words(data, offsets)
                 count = np.diff(bounds)
@@ -87,16 +79,22 @@ def _windows(texts: pa.Table, found: pa.Table, window: int, parts: int) -> pa.Ta
     some, at = np.unique(text, return_inverse=True)
     if not len(some):
         return S.ENTRIES.empty_table()
-    data, offsets = S.utf8(texts.column("text").combine_chunks().take(pa.array(some)))
-    h1, h2, bounds = words(data, offsets)
-    count = np.diff(bounds)
-    # A window that holds an anchor begins from window - width before it to the anchor itself.
-    change = np.zeros(len(h1) + 1, np.int64)
-    np.add.at(change, bounds[:-1][at] + np.maximum(pos - PERIOD + 1, 0), 1)
-    np.add.at(change, bounds[:-1][at] + np.minimum(pos, count[at] - window) + 1, -1)
-    start = np.flatnonzero(np.cumsum(change)[:-1] > 0)
-    doc = np.searchsorted(bounds, start, "right") - 1
-    return pa.Table.from_batches(S.scatter(names[some], _sequences(h1, start, window, 3), _sequences(h2, start, window, 4), doc.astype(np.uint32), (start - bounds[:-1][doc]).astype(np.uint32), None, np.zeros(len(start), np.uint8), parts), schema=S.ENTRIES)
+    chosen = texts.column("text").combine_chunks().take(pa.array(some))
+    held = []
+    for begin, stop in S.portions(chosen):
+        h1, h2, bounds = words(*S.utf8(chosen.slice(begin, stop - begin)))
+        count = np.diff(bounds)
+        a, b = np.searchsorted(at, (begin, stop))
+        doc, anchor = at[a:b] - begin, pos[a:b]
+        # A window that holds an anchor begins from window - width before it to the anchor itself.
+        change = np.zeros(len(h1) + 1, np.int32)
+        np.add.at(change, bounds[:-1][doc] + np.maximum(anchor - PERIOD + 1, 0), 1)
+        np.add.at(change, bounds[:-1][doc] + np.minimum(anchor, count[doc] - window) + 1, -1)
+        start = np.flatnonzero(np.cumsum(change)[:-1] > 0)
+        of = np.searchsorted(bounds, start, "right") - 1
+        held.append((_sequences(h1, start, window, 3), _sequences(h2, start, window, 4), (of + begin).astype(np.uint32), (start - bounds[:-1][of]).astype(np.uint32)))
+    h1, h2, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+    return pa.Table.from_batches(S.scatter(names[some], h1, h2, doc, start, None, np.zeros(len(start), np.uint8), parts), schema=S.ENTRIES)
 
 
 def _removal(texts: pa.Table, found: pa.Table, window: int, with_text: bool) -> pa.Table:
