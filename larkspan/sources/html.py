@@ -250,7 +250,7 @@ def calendar_events(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 def _escaped(text: Column) -> Column:
     out = F.coalesce(text, F.lit(""))
-    for a, b in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
