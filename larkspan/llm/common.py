@@ -57,6 +57,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_rows(df: DataFrame, name: str = "_r") -> DataFrame:
+    """All columns as one struct, so that an operator's own columns can't clash with them; `unpacked` brings them back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def unpacked(df: DataFrame, name: str = "_r") -> DataFrame:
+    return df.select(f"{name}.*")
+
+
 def salt(*columns: Column | str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(7)), F.lit(salts)).cast("int")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import SALTS, SPACE, materialise, salt
+from larkspan.llm.common import SALTS, SPACE, as_rows, materialise, salt, unpacked
 
 
 def normalised(text: Column) -> Column:
@@ -68,7 +68,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     from pyspark.sql import Window
 
     keep = refine(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha"))
-    keyed = docs.withColumn("_own_sha", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    met = keyed.join(keep, (keyed["_own_sha"] == keep["_keep_sha"]) & keyed[id_col].eqNullSafe(keep["_keep_id"]))
+    row = as_rows(docs)
+    keyed = row.withColumn("_own_sha", F.unhex(F.sha2(normalised(F.col("_r")[text_col]), 256)))
+    met = keyed.join(keep, (keyed["_own_sha"] == keep["_keep_sha"]) & keyed["_r"][id_col].eqNullSafe(keep["_keep_id"]))
     place = F.row_number().over(Window.partitionBy("_keep_sha", "_keep_id").orderBy("_keep_sha"))
-    return met.withColumn("_place", place).filter("_place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(met.withColumn("_place", place).filter("_place = 1"))

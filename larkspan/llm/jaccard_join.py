@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import sequences as S
-from larkspan.llm.common import BROADCAST_ROWS, SALTS, materialise, salt
+from larkspan.llm.common import BROADCAST_ROWS, SALTS, as_rows, materialise, salt, unpacked
 from larkspan.llm.graphs import components, spanning
 from larkspan.llm.substring_dedup import words
 
@@ -263,6 +263,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from pyspark.sql import Window
 
     first = join(docs, id_col=id_col, text_col=text_col, **options).filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_first")).distinct()
-    met = docs.join(first, docs[id_col].eqNullSafe(first["_first"]))
+    row = as_rows(docs)
+    met = row.join(first, row["_r"][id_col].eqNullSafe(first["_first"]))
     place = F.row_number().over(Window.partitionBy("_first").orderBy("_first"))
-    return met.withColumn("_place", place).filter("_place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(met.withColumn("_place", place).filter("_place = 1"))

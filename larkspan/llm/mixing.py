@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import WORD, join_checked, materialise, ranked, thresholds
+from larkspan.llm.common import WORD, as_rows, join_checked, materialise, ranked, thresholds, unpacked
 
 #: Bits of a document's hash. 15 hexadecimal digits, so that other engines can form it too.
 KEY_BITS = 60
@@ -15,10 +15,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_key(id_col: str, text_col: str) -> Column:
+def hash_key(id_: Column, text: Column) -> Column:
     """60 bits of the MD5 of id and text: the same in every run, and different for copies with different ids."""
-    text = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
+    whole = F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
@@ -48,7 +48,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     the source's threshold. Thresholds come from sums by source and hash bucket, refined in the boundary bucket only;
     the thresholds of growing budgets are nested, so a larger share keeps what a smaller one took.
     """
-    rows = materialise(docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), hash_key(id_col, text_col).alias("key")))
+    rows = materialise(docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), hash_key(F.col(id_col), F.col(text_col)).alias("key")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = materialise(targets(sizes, weights, share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")))
     budgets = wanted.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
@@ -57,19 +57,20 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs with _size (words), _source_size, _target and _copies, how often the mix takes the document (0 to `most`).
+    """row (the document's columns), size (words), source_size, target, and copies, how often the mix takes the document.
 
     Documents are filtered by comparing their hash with the source's threshold: no sort, and no shuffle of texts.
     Null text has size 0; null is a source of its own, the last. Rows that agree in id and text share a hash and are
-    taken alike. An empty table gives no rows. Extra columns pass through; names that begin with _ are reserved.
+    taken alike. An empty table gives no rows. Extra columns pass through in the row, whatever their names.
     """
-    sources = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    held = sources.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
-    keyed = docs.withColumn("_source", F.col(source_col)).withColumn("_size", n_words(F.col(text_col))).withColumn("_key", hash_key(id_col, text_col))
-    met = join_checked(keyed, held, ["_source"])
-    return met.withColumn("_copies", F.col("_whole") + (F.col("_key") < F.col("_threshold")).cast("long")).drop("_source", "_key", "_whole", "_threshold")
+    held = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    row = as_rows(docs, "row")
+    keyed = row.select("row", F.col("row")[source_col].alias("source"), n_words(F.col("row")[text_col]).alias("size"), hash_key(F.col("row")[id_col], F.col("row")[text_col]).alias("key"))
+    met = join_checked(keyed, held, ["source"])
+    return met.select("row", "size", "source_size", "target", (F.col("whole") + (F.col("key") < F.col("threshold")).cast("long")).alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as the mix takes them: absent, once or repeated; all columns unchanged."""
-    return mix(docs, **options).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"), F.lit(1)))).filter("_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mix(docs, **options).filter("copies > 0")
+    return unpacked(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), "row")
