@@ -44,7 +44,8 @@ def _letters(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np
         known = _letter_table()[np.minimum(points, 0xFFFF)]
         for far in np.unique(points[points > 0xFFFF]):
             known[points == far] = far if chr(far).isalpha() else 32
-        same = np.concatenate(([False], (number[1:] == number[:-1]) & (known[1:] == 32) & (known[:-1] == 32)))
+        same = np.zeros(len(known), bool)
+        same[1:] = (number[1:] == number[:-1]) & (known[1:] == 32) & (known[:-1] == 32)
         return known[~same], number[~same]
 
     for i, text in enumerate(texts):
