@@ -153,3 +153,47 @@ def validation_warnings(name: Column, description: Column, start: Column, end: C
         F.when(~image_url.rlike(r"^https?://[^\s/]+"), F.lit("Invalid image_url")),
         F.when((lat.isNotNull() | lng.isNotNull()) & ~valid_coordinates(lat, lng), F.lit("Invalid coordinates")),
     ))
+
+
+def european_price(text: Column) -> Column:
+    """A price with a decimal comma or point, with or without a currency; null without a number.
+
+    Thousands and decimals together are read as 1.250,50 whichever sign comes first, so 1,250.50 gives 1.2505: that
+    is the rule whose results are to be kept.
+    """
+    clean = F.regexp_replace(text, r"[€$£¥₹\s]", "")
+    european = clean.rlike(r"\d+[.,]\d{3}[.,]\d{2}$") | (clean.rlike(r",\d{2}$") & ~clean.rlike(r"\.\d{2}$"))
+    plain = F.when(european, F.regexp_replace(F.regexp_replace(clean, r"\.", ""), ",", ".")).otherwise(F.regexp_replace(clean, ",", ""))
+    return F.nullif(F.regexp_extract(plain, r"^(-?\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double")
+
+
+#: Categories of schema.org types.
+SCHEMA_CATEGORIES = {
+    "MusicEvent": "MUSIC", "SportsEvent": "ACTIVE", "TheaterEvent": "CULTURE", "DanceEvent": "CULTURE", "ComedyEvent": "CULTURE", "FoodEvent": "FOOD", "Festival": "COMMUNITY",
+    "ExhibitionEvent": "CULTURE", "SocialEvent": "SOCIAL", "EducationEvent": "CULTURE",
+}
+
+
+def schema_category(kind: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in SCHEMA_CATEGORIES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, kind), F.lit("COMMUNITY"))
+
+
+#: What each fact of structured data adds to its completeness.
+COMPLETENESS = {
+    "title": 0.15, "description": 0.10, "event_date": 0.10, "event_time": 0.05, "venue_name": 0.10, "venue_address": 0.05, "image_url": 0.10, "end_time": 0.05, "price": 0.10,
+    "tickets_url": 0.05, "organizer": 0.05, "performer": 0.05, "category": 0.05,
+}
+
+
+def completeness(**facts: Column) -> Column:
+    """The sum of the weights of the facts that are there; a description counts beyond 50 characters, TBD is no time."""
+    score = F.lit(0.0)
+    for name, value in facts.items():
+        there = value.isNotNull() & (value.cast("string") != "")
+        if name == "description":
+            there = there & (F.length(value) > 50)
+        if name == "event_time":
+            there = there & (value != "TBD")
+        score = score + F.when(there, COMPLETENESS[name]).otherwise(0.0)
+    return F.least(score, F.lit(1.0))

@@ -126,3 +126,14 @@ def team_name(text: Column) -> Column:
 
 def embedding_text(*parts: Column, most: int = 2000) -> Column:
     return F.substring(F.concat_ws(" ", *parts), 1, most)
+
+
+def source_tier(domain_: Column) -> Column:
+    """Large platforms, regional guides, and all others."""
+    return F.when(domain_.rlike("(?i)eventbrite|meetup|ticketmaster|viagogo"), "tier_1_metropolis").when(domain_.rlike("(?i)uitagenda|indebuurt|vvv|bezoek|ontdek|beleef"), "tier_2_regional").otherwise("tier_3_hyperlocal")
+
+
+def key_variants(venue: Column, street: Column, postal: Column, city: Column) -> Column:
+    """Up to four keys for a fuzzy look-up, from the most to the least exact; those that lack a part are left out."""
+    joined = lambda *parts: F.when(~F.exists(F.array(*parts), lambda p: p.isNull() | (p == "")), fuzzy(F.concat_ws(" ", *parts)))
+    return F.array_distinct(F.array_compact(F.array(joined(venue, street, city), joined(venue, city), joined(street, city), joined(postal, city))))

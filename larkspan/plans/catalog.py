@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.plans import operations, ranking, streams, texts
+from larkspan.plans import derived, operations, ranking, streams, texts
 
 #: (query, SQL or None) by name; names begin with the operators' handles.
-_ALL = {**ranking.QUERIES, **operations.QUERIES, **texts.QUERIES, **streams.QUERIES}
+_ALL = {**ranking.QUERIES, **operations.QUERIES, **texts.QUERIES, **streams.QUERIES, **derived.QUERIES}
 
 
 def entry(spark: SparkSession) -> DataFrame:
