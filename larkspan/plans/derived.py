@@ -80,7 +80,7 @@ def prices_and_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRICES = """WITH RECURSIVE k AS (SELECT o_orderkey AS k FROM orders),
 h AS (SELECT k, 'event|' || k::VARCHAR AS s, 1 AS i, 0::BIGINT AS h FROM k UNION ALL SELECT k, s, i + 1, ((h * 31 + unicode(s[i]) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 FROM h WHERE i <= length(s)),
 f AS (SELECT k, h FROM h WHERE i = length(s) + 1)
-SELECT k AS order_id, CASE k % 3 WHEN 2 THEN k % 90 + (k % 100) / 100.0::DOUBLE WHEN 1 THEN printf('%d.%03d%02d', k % 9 + 1, k % 1000, k % 100)::DOUBLE ELSE ((k % 9 + 1) * 1000 + k % 1000) + (k % 100) / 100.0::DOUBLE END AS price,
+SELECT k AS order_id, CASE k % 3 WHEN 2 THEN printf('%d.%02d', k % 90, k % 100) WHEN 1 THEN printf('%d.%03d%02d', k % 9 + 1, k % 1000, k % 100) ELSE printf('%d%03d.%02d', k % 9 + 1, k % 1000, k % 100) END::DOUBLE AS price,
   CASE k % 5 WHEN 0 THEN 'MUSIC' WHEN 1 THEN 'FOOD' WHEN 4 THEN 'CULTURE' ELSE 'COMMUNITY' END AS category, CASE k % 3 WHEN 0 THEN 'tier_1_metropolis' WHEN 1 THEN 'tier_2_regional' ELSE 'tier_3_hyperlocal' END AS tier,
   CASE WHEN k % 11 = 0 AND k % 10 <= 5 THEN 'professional' WHEN k % 7 NOT IN (0, 6) AND k % 24 BETWEEN 9 AND 16 THEN 'professional' WHEN k % 7 IN (0, 6) AND k % 24 < 14 THEN 'family' ELSE 'social' END AS persona,
   lower(to_base(abs(h), 36)) AS hash36 FROM f"""
