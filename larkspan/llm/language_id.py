@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 #: Hashed n-gram space and the lengths of the n-grams.
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Characters that are turned into n-grams at once.
-CHUNK_CHARS = 1_000_000
+#: Characters that are turned into n-grams at once, and rows whose texts are Python strings at once.
+CHUNK_CHARS, CHUNK_ROWS = 250_000, 500
 NO_LANGUAGE = "und"
 
 
@@ -87,10 +87,16 @@ def text_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int32), total[found].astype(np.float32)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, len(batch), CHUNK_ROWS):
+            yield batch.slice(begin, CHUNK_ROWS)
+
+
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, documents that have it) of a partition."""
     found = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in _parts(batches):
         texts = batch.column(0).to_pylist()
         for begin in range(0, len(texts), 64):
             part = texts[begin : begin + 64]
@@ -104,7 +110,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         pairs = [text_counts(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.tobytes() for a, _ in pairs], pa.binary()), pa.array([b.tobytes() for _, b in pairs], pa.binary()), batch.column(2)], ["lang", "buckets", "counts", "share"])
 
@@ -228,7 +234,7 @@ def fit(docs: DataFrame, learnable: Column, max_docs: int = 2000, id_col: str =
 
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             lang, score = model.predict(texts) if model else ([NO_LANGUAGE] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
@@ -256,7 +262,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def _accept(model: Model | None, least: float, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             texts = batch.column(text_at).to_pylist()
             lang, score = model.predict(texts) if model else ([NO_LANGUAGE] * len(texts), np.zeros(len(texts)))
             yield batch.filter(pa.array([x != NO_LANGUAGE for x in lang]) if least <= 0 else pa.array(np.array([x != NO_LANGUAGE for x in lang], bool) & (score >= least)))
