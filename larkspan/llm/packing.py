@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from larkspan.llm import wordpiece
 
 #: Bytes of text that a worker turns into ids at once; a longer text is taken alone.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
