@@ -8,7 +8,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import sequences as S
@@ -216,9 +216,26 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: floa
 
     Repeated rows are copies. An empty table gives no rows. Extra columns are ignored.
     """
+    signed, known = _linked(docs, threshold, size, tolerance, id_col, text_col, salts)
+    roots = known.groupBy("root").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id").alias("id")))["id"].alias("class_id"))
+    known = known.join(roots, "root").select(
+        F.col("name").alias("own"), F.explode("salts").alias("own_salt"), "class_id", "text_id",
+        (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"),
+    )
+    met = signed.select("name", "id", "salt").join(known, (F.col("name") == F.col("own")) & (F.col("salt") == F.col("own_salt")))
+    return met.select(F.col("id").alias(id_col), "class_id", "text_id", "n_links", "n_texts")
+
+
+def _name(text: Column) -> Column:
+    """What identifies a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def _linked(docs: DataFrame, threshold: float, size: int, tolerance: float, id_col: str, text_col: str, salts: int) -> tuple[DataFrame, DataFrame]:
+    """One row a document (name, id, salt), and one row a text: name, copies, text_id, salts, documents, texts, root of its class."""
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    source = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("name"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), _name(F.col(text_col)).alias("name"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     signed = source.select("name", "id", "text").mapInArrow(_signatures(size), f"name binary, id {kind}, signature binary, bands array<long>")
     signed = materialise(signed.withColumn("salt", salt(F.coalesce(F.col("id").cast("string"), F.lit("")), salts=salts)))
@@ -248,22 +265,22 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: floa
     counts = verified.filter("other < 0").groupBy("cid").agg(F.sum("documents").alias("documents"), F.sum("texts").alias("texts"))
 
     known = classes.select("cid", "name", "copies", "text_id", "salts").join(counts, "cid", "left").join(linked.select(F.col("node").alias("cid"), "root"), "cid", "left")
-    known = materialise(known.withColumn("root", F.coalesce("root", "cid")))
-    roots = known.groupBy("root").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id").alias("id")))["id"].alias("class_id"))
-    known = known.join(roots, "root").select(
-        F.col("name").alias("own"), F.explode("salts").alias("own_salt"), "class_id", "text_id",
-        (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"),
-    )
-    met = signed.select("name", "id", "salt").join(known, (F.col("name") == F.col("own")) & (F.col("salt") == F.col("own_salt")))
-    return met.select(F.col("id").alias(id_col), "class_id", "text_id", "n_links", "n_texts")
+    return signed, materialise(known.withColumn("root", F.coalesce("root", "cid")))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that are the first of their class, by id; all columns unchanged. Of rows that share it, one."""
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, tolerance: float = 1e-6, salts: int = SALTS) -> DataFrame:
+    """One row of each class, all columns unchanged: that with the least id, null ids last, and of texts that share it the least MD5.
+
+    Different texts may share an id or have none; each class keeps one. Of rows with the same text and id, one stays.
+    """
     from pyspark.sql import Window
 
-    first = join(docs, id_col=id_col, text_col=text_col, **options).filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_first")).distinct()
+    _, known = _linked(docs, threshold, size, tolerance, id_col, text_col, salts)
+    least = F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id").alias("id"), F.col("name").alias("name")))
+    first = known.groupBy("root").agg(least.alias("_f")).select(F.col("_f.id").alias("_first"), F.col("_f.name").alias("_text"))
     row = as_rows(docs)
-    met = row.join(first, row["_r"][id_col].eqNullSafe(first["_first"]))
-    place = F.row_number().over(Window.partitionBy("_first").orderBy("_first"))
+    keyed = row.withColumn("_own", _name(F.col("_r")[text_col]))
+    met = keyed.join(first, (keyed["_own"] == first["_text"]) & keyed["_r"][id_col].eqNullSafe(first["_first"]))
+    content = F.xxhash64(*[F.col("_r")[c] for c, kind in docs.dtypes if "map<" not in kind])
+    place = F.row_number().over(Window.partitionBy("_text", "_first").orderBy(content))
     return unpacked(met.withColumn("_place", place).filter("_place = 1"))
