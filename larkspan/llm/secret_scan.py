@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Long runs of key characters, and shorter values that a password's name announces.
-CANDIDATE = r"""[A-Za-z0-9+/_-]{16,}={0,2}|(?<=(?i:password|passwd|pwd)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?)[^\s"'&<>=]{8,}"""
-#: Characters of context on either side that the forest sees.
+CANDIDATE = r"""[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?|(?<=(?i:password|passwd|pwd)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?)[^\s"'&<>=]{8,}"""
+#: Characters of context on either side that the forest sees; a candidate has one at least, so as many neighbours hold them.
 BEFORE, AFTER = 48, 24
 
 #: Words that make up identifiers, paths and placeholders rather than keys.
@@ -32,7 +32,7 @@ KEY_WORDS = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|apikey|auth|credenti
 OTHER_WORDS = r"(?i)(commit|revision|sha-?[0-9]+|md5|checksum|digest|etag|hash|uuid|guid|build|version|serial|order|isbn|base64|image|integrity|example|sample|dummy|placeholder|revoked)"
 FEATURES = [
     "length", "transitions", "digits", "uppers", "distinct", "hex", "only_digits", "uuid", "vowel_turns", "longest_run", "dictionary", "slashes",
-    "placeholder", "prefix", "key_word", "key_word_next", "other_word", "assigned", "quoted", "in_path", "test_path", "code_path",
+    "placeholder", "prefix", "key_word", "key_word_next", "other_word", "assigned", "quoted", "in_path", "test_path", "code_path", "is_name",
 ]
 
 
@@ -68,6 +68,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "assigned": _flag(before.rlike(r"""[=:]\s*(["']|&quot;)?$""")),
         "quoted": _flag(before.rlike(r"""(["']|&quot;)$""") & after.rlike(r"""^(["']|&quot;)""")),
         "in_path": _flag(before.rlike(r"""([/\\.]|https?:)\S*$""") | after.rlike(r"^(\.[a-z]{2,4}\b|[/\\])")),
+        "is_name": _flag(after.rlike(r"""^(["']|&quot;)?[ \t]{0,3}(:=|=>|[=:][^=:/])""")),
         "test_path": _flag(path.rlike("(?i)(test|fixture|example|sample|mock|doc|readme)")),
         "code_path": _flag(path.rlike(r"(?i)\.(py|js|ts|java|go|rb|php|c|cpp|sh|ya?ml|json|env|ini|cfg|toml|properties)$")),
     }
@@ -75,16 +76,26 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """One row a candidate: id, ordinal in its text, start, candidate, before, after, path."""
+    """One row a candidate: id, ordinal in its text, start, candidate, before, after, path.
+
+    before and after are the text's characters next to the candidate, also where they belong to other candidates.
+    """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), path.alias("path")).filter(F.col("text").rlike(CANDIDATE))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     parts = F.arrays_zip(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("candidate"), F.split("text", CANDIDATE, -1).alias("between"))
-    each = rows.select("id", "row", "path", F.posexplode(parts).alias("ordinal", "part")).select("id", "row", "path", "ordinal", F.col("part.candidate").alias("candidate"), F.length("part.between").alias("gap"), F.right(F.col("part.between"), F.lit(BEFORE)).alias("before"), F.left(F.col("part.between"), F.lit(AFTER)).alias("head"))
+    found, gap = F.coalesce(F.col("part.candidate"), F.lit("")), F.col("part.between")
+    piece = F.concat(gap, found)
+    each = rows.select("id", "row", "path", F.posexplode(parts).alias("ordinal", "part")).select(
+        "id", "row", "path", "ordinal", F.col("part.candidate").alias("candidate"), F.length(gap).alias("gap"),
+        F.right(gap, F.lit(BEFORE)).alias("own"), F.right(piece, F.lit(BEFORE)).alias("tail"), F.left(piece, F.lit(AFTER)).alias("head"),
+    )
     by_text = Window.partitionBy("row").orderBy("ordinal")
-    after = F.lead("head").over(by_text)
+    earlier = F.array_join(F.collect_list("tail").over(by_text.rowsBetween(-BEFORE, -1)), "")
+    later = F.array_join(F.collect_list("head").over(by_text.rowsBetween(1, AFTER)), "")
     start = F.sum(F.col("gap") + F.coalesce(F.length("candidate"), F.lit(0))).over(by_text) - F.length("candidate")
-    return each.withColumn("after", after).withColumn("start", start).filter(F.col("candidate").isNotNull()).select("id", "ordinal", "start", "candidate", "before", "after", "path")
+    each = each.withColumn("before", F.right(F.concat(earlier, "own"), F.lit(BEFORE))).withColumn("after", F.left(later, F.lit(AFTER))).withColumn("start", start)
+    return each.filter(F.col("candidate").isNotNull()).select("id", "ordinal", "start", "candidate", "before", "after", "path")
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> DataFrame:
@@ -92,7 +103,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> Data
 
     Keys: hexadecimal, base64 and mixed values and provider prefixes behind a key's name in several notations.
     Others: digests behind their names, digits, UUIDs, identifiers and paths of dictionary words, rules of signs,
-    placeholders behind a key's name, inline images, and digests in running text.
+    placeholders behind a key's name, inline images, digests in running text, and keys' names of 16 and more characters.
     """
     pick = lambda salt, *options: F.element_at(F.array(*[F.lit(o) if isinstance(o, str) else o for o in options]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
     hexes = F.sha2(F.concat_ws("-", F.col("id"), F.lit(seed)), 512)
@@ -103,6 +114,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> Data
     hex_any = pick(2, cut(hexes, 32, 40, 64, 22, 24), F.upper(cut(hexes, 32, 40, 64)))
     key = pick(3, hex_any, hex_any, hex_any, cut(mixed, 20, 24, 32, 40, 64), cut(F.regexp_replace(mixed, "[+/=]", "x"), 20, 32, 36, 48), F.concat(pick(4, "sk_live_", "ghp_", "glpat-", "xoxb-", "AKIA", "AIza", "eyJ"), cut(F.regexp_replace(mixed, "[+/=]", "9"), 16, 24, 36)))
     name = pick(5, "token", "TOKEN", "api_key", "apikey", "secret", "client_secret", "password", "access_token", "auth_token", "private_key", "AWS_SECRET_ACCESS_KEY", "Token", "API_KEY", "passwd")
+    long_name = pick(21, "AWS_SECRET_ACCESS_KEY", "aws_secret_access_key", "stripe_secret_key", "github_access_token", "DATABASE_PASSWORD", F.concat(word(4), F.lit("_"), name, F.lit("_"), word(5), F.lit("_"), word(6)), F.concat_ws("_", word(4), word(5), word(6), word(7)))
     prose = F.concat(pick(11, "", ". ", "### ", ", ", "\n", "!! "), word(1), F.lit(" "), pick(12, word(2), F.upper(word(2)), F.lit("de la"), F.lit("le ua")), F.lit(" "))
     sign = pick(6, ' = "', '="', ": ", ": '", "=", ' := "', ' = &quot;', "='", '": "')
     close = F.when(sign.contains('"'), '"').when(sign.contains("'"), "'").when(sign.contains("&"), "&quot;").otherwise(F.lit(" "))
@@ -123,6 +135,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> Data
         finding(pick(18, F.concat(F.lit("your_"), word(4), F.lit("_"), word(5), F.lit("_here")), F.lit("xxxxxxxxxxxxxxxxxxxxxxxx"), F.lit("EXAMPLE_KEY_0000000000000000"), F.lit("change_me_please_now"), F.concat(F.lit("insert_"), word(4), F.lit("_token_here"))), F.concat(prose, name, sign), close),
         finding(cut(mixed, 40, 64, 80), F.concat(prose, F.lit("data:image/png;base64,"))),
         finding(F.concat(word(4), word(5), word(6)), prose),
+        finding(long_name, F.concat(prose, pick(22, "", '"', "export ", "?")), F.concat(sign, F.left(hexes, F.lit(20)))),
     )
     label = F.pmod(F.col("id"), F.lit(2)).cast("double")
     path = F.when(label == 1, pick(19, "src1", "src12", "app/config.py", "deploy/prod.env", "README.md", "tests/fixtures/data.json", "", "page.html")).otherwise(pick(20, "src1", "src12", "app/config.py", "docs/guide.md", "README.md", "tests/fixtures/data.json", "", "page.html"))
