@@ -9,8 +9,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Long runs of key characters, and shorter values that a password's name announces.
-CANDIDATE = r"""[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?|(?<=(?i:password|passwd|pwd)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?)[^\s"'&<>=]{8,}"""
+#: A key's name, its sign and an opening quote. Bounded, as it stands in a lookbehind.
+_NAMED = r"""(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key|bearer|client[_-]?key|signing)[\w-]{0,24}(?:["']|&quot;)?[ \t]{0,3}(?::=|=>|[=:])[ \t]{0,3}"""
+_SIGN = r"""[=:>][ \t]{0,3}"""
+_OPEN = r"""(?:["']|&quot;)?(?:(?i:bearer|basic) )?"""
+_WEB = r"[A-Za-z0-9_-]"
+#: Private keys in PEM, whole JWTs, passwords in URLs, values of 8 and more characters that a key's name announces (up to
+#: the quote, or else without closing marks), and long runs of key characters. Short tests stand before the lookbehinds.
+CANDIDATE = "|".join((
+    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]{0,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\n|\\r){1,4}[A-Za-z0-9+/]{32,}={0,2}){1,400})",
+    rf"eyJ{_WEB}{{5,}}\.{_WEB}*\.{_WEB}*(?:\.{_WEB}+){{0,2}}",
+    r"""(?<=:)(?<=://[^\s/:@"'<>]{0,64}:)[^\s/"'<>]{1,256}(?=@)""",
+    rf"""(?<=["'])(?=[^\s"']{{8}})(?<={_SIGN}["'])(?<={_NAMED}["'])[^\s"']{{8,}}(?=["'])""",
+    rf"""(?<=[=:> \t"';])(?=[^\s"'&<>=]{{8}})(?<={_SIGN}{_OPEN})(?<={_NAMED}{_OPEN})[^\s"'&<>=]{{8,}}(?<![,;:.)\]}}])(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?""",
+    r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?",
+))
 #: Characters of context on either side that the forest sees; a candidate has one at least, so as many neighbours hold them.
 BEFORE, AFTER = 48, 24
 
@@ -32,7 +45,8 @@ KEY_WORDS = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|apikey|auth|credenti
 OTHER_WORDS = r"(?i)(commit|revision|sha-?[0-9]+|md5|checksum|digest|etag|hash|uuid|guid|build|version|serial|order|isbn|base64|image|integrity|example|sample|dummy|placeholder|revoked)"
 FEATURES = [
     "length", "transitions", "digits", "uppers", "distinct", "hex", "only_digits", "uuid", "vowel_turns", "longest_run", "dictionary", "slashes",
-    "placeholder", "prefix", "key_word", "key_word_next", "other_word", "assigned", "quoted", "in_path", "test_path", "code_path", "is_name",
+    "placeholder", "prefix", "key_word", "key_word_next", "other_word", "assigned", "quoted", "in_path", "test_path", "code_path", "is_name", "jwt", "pem", "url_login",
+    "call", "marks",
 ]
 
 
@@ -69,6 +83,11 @@ def with_features(found: DataFrame) -> DataFrame:
         "quoted": _flag(before.rlike(r"""(["']|&quot;)$""") & after.rlike(r"""^(["']|&quot;)""")),
         "in_path": _flag(before.rlike(r"""([/\\.]|https?:)\S*$""") | after.rlike(r"^(\.[a-z]{2,4}\b|[/\\])")),
         "is_name": _flag(after.rlike(r"""^(["']|&quot;)?[ \t]{0,3}(:=|=>|[=:][^=:/])""")),
+        "jwt": _flag(c.rlike(r"^eyJ[\w-]{8,}\.[\w-]*\.[\w-]{16,}")),
+        "pem": _flag(c.rlike("^-----BEGIN ")),
+        "url_login": _flag(before.rlike(r"://[^\s/:@]*:$") & after.startswith("@")),
+        "call": _flag(c.rlike(r"[(\[{$<]|^[A-Za-z_]+(\.[A-Za-z_]+)+$") | after.rlike(r"^[(\[]")),
+        "marks": share("[^A-Za-z0-9/_-]"),
         "test_path": _flag(path.rlike("(?i)(test|fixture|example|sample|mock|doc|readme)")),
         "code_path": _flag(path.rlike(r"(?i)\.(py|js|ts|java|go|rb|php|c|cpp|sh|ya?ml|json|env|ini|cfg|toml|properties)$")),
     }
@@ -101,9 +120,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
 def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> DataFrame:
     """n labelled findings formed by rule, half of them keys: candidate, before, after, path, label.
 
-    Keys: hexadecimal, base64 and mixed values and provider prefixes behind a key's name in several notations.
+    Keys: hexadecimal, base64 and mixed values and provider prefixes behind a key's name in several notations, short ones
+    and ones with other signs, JWTs, private keys in PEM, and passwords in URLs.
     Others: digests behind their names, digits, UUIDs, identifiers and paths of dictionary words, rules of signs,
-    placeholders behind a key's name, inline images, digests in running text, and keys' names of 16 and more characters.
+    placeholders behind a key's name, inline images, digests in running text, keys' names of 16 and more characters,
+    and words, calls and placeholders where a value or a URL's password would be.
     """
     pick = lambda salt, *options: F.element_at(F.array(*[F.lit(o) if isinstance(o, str) else o for o in options]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
     hexes = F.sha2(F.concat_ws("-", F.col("id"), F.lit(seed)), 512)
@@ -118,8 +139,23 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> Data
     prose = F.concat(pick(11, "", ". ", "### ", ", ", "\n", "!! "), word(1), F.lit(" "), pick(12, word(2), F.upper(word(2)), F.lit("de la"), F.lit("le ua")), F.lit(" "))
     sign = pick(6, ' = "', '="', ": ", ": '", "=", ' := "', ' = &quot;', "='", '": "')
     close = F.when(sign.contains('"'), '"').when(sign.contains("'"), "'").when(sign.contains("&"), "&quot;").otherwise(F.lit(" "))
-    yes = F.struct(key.alias("candidate"), F.concat(prose, name, sign).alias("before"), F.concat(close, F.lit(" "), word(3)).alias("after"))
+    named = F.struct(key.alias("candidate"), F.concat(prose, name, sign).alias("before"), F.concat(close, F.lit(" "), word(3)).alias("after"))
     finding = lambda c, before, after="": F.struct(c.alias("candidate"), (before if isinstance(before, Column) else F.lit(before)).alias("before"), (after if isinstance(after, Column) else F.concat(F.lit(after), F.lit(" "), word(3))).alias("after"))
+    plain = F.regexp_replace(mixed, "[+/=]", "x")
+    short = pick(23, F.left(plain, F.lit(8)), F.left(plain, F.lit(10)), F.left(plain, F.lit(12)), F.left(hexes, F.lit(14)), F.concat(word(4), F.left(digits, F.lit(4))), F.concat(word(4), F.lit("!"), F.left(plain, F.lit(5))))
+    signed = F.concat(F.left(plain, F.lit(7)), pick(24, ".", "~", "!", "$", "@", "#"), F.substring(plain, 8, 9), pick(25, ".", "~", "!", "$", "@"), F.substring(plain, 17, 11))
+    web = F.translate(mixed, "+/=", "-_x")
+    jwt = F.concat(F.lit("eyJ"), F.left(web, F.lit(17)), pick(26, ".eyJ", "."), F.substring(web, 18, 40), F.lit("."), F.substring(web, 40, 43))
+    kind = pick(27, "", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED ")
+    pem = F.concat(F.lit("-----BEGIN "), kind, F.lit("PRIVATE KEY-----\n"), F.left(mixed, F.lit(64)), F.lit("\n"), F.repeat(F.concat(F.substring(mixed, 9, 64), F.lit("\n")), pick(28, *[F.lit(n) for n in (1, 3, 12, 25)])), F.lit("-----END "), kind, F.lit("PRIVATE KEY-----"))
+    login = F.concat(prose, pick(29, "postgres", "https", "mongodb+srv", "amqp", "redis"), F.lit("://"), pick(30, word(4), "", "root"), F.lit(":"))
+    host = F.concat(F.lit("@"), word(5), pick(31, ".example.org/", ":5432/", "/"), word(6))
+    yes = pick(
+        32, named, named, named, named, named, named, named, named,
+        finding(pick(33, short, signed), F.concat(prose, name, sign), close), finding(pick(33, short, signed), F.concat(prose, name, sign), close),
+        finding(jwt, prose, pick(40, ".", "", " ")), finding(jwt, pick(34, prose, F.concat(prose, name, sign), F.concat(prose, F.lit("Authorization: Bearer ")))), finding(pem, pick(35, prose, F.concat(prose, name, sign))),
+        finding(pick(36, short, short, signed, F.left(plain, F.lit(20)), F.left(plain, F.lit(5))), login, host),
+    )
     joint = pick(7, "_", "-", "")
     identifier = F.concat(word(4), joint, F.initcap(word(5)), joint, word(6), joint, F.initcap(word(7)))
     no = pick(
@@ -136,11 +172,14 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> Data
         finding(cut(mixed, 40, 64, 80), F.concat(prose, F.lit("data:image/png;base64,"))),
         finding(F.concat(word(4), word(5), word(6)), prose),
         finding(long_name, F.concat(prose, pick(22, "", '"', "export ", "?")), F.concat(sign, F.left(hexes, F.lit(20)))),
+        finding(pick(37, F.concat(word(4), pick(38, "-", "_", "/", ""), word(5), word(6)), F.concat(word(4), F.lit("."), word(5), F.lit("_"), word(6)), F.concat(word(4), F.lit("("), word(5), F.lit("."), word(6)), F.concat(F.lit("${"), F.upper(word(4)), F.lit("_"), F.upper(word(5)), F.lit("}")), F.lit("required"), F.lit("********")), F.concat(prose, name, sign), close),
+        finding(pick(39, "password", "your_password", "changeme", "xxxxxxxx", "********", "${PASSWORD}", "<password>"), login, host),
+        finding(F.concat(F.lit("eyJ"), word(4), F.lit("."), word(5), F.lit("."), word(6)), prose),
     )
     label = F.pmod(F.col("id"), F.lit(2)).cast("double")
     path = F.when(label == 1, pick(19, "src1", "src12", "app/config.py", "deploy/prod.env", "README.md", "tests/fixtures/data.json", "", "page.html")).otherwise(pick(20, "src1", "src12", "app/config.py", "docs/guide.md", "README.md", "tests/fixtures/data.json", "", "page.html"))
     rows = spark.range(n).select(label.alias("label"), F.when(label == 1, yes).otherwise(no).alias("f"), path.alias("path"))
-    return rows.select("f.*", "path", "label").filter(F.length("candidate") >= 8)
+    return rows.select("f.*", "path", "label").filter((F.length("candidate") >= 8) | F.col("before").rlike("://[^ ]*:$"))
 
 
 def train(findings: DataFrame, trees: int = 30, depth: int = 9, seed: int = 17) -> PipelineModel:
