@@ -9,21 +9,26 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspan.llm.common import materialise
+
 #: A key's name, its sign and an opening quote. Bounded, as it stands in a lookbehind.
 _NAMED = r"""(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key|bearer|client[_-]?key|signing)[\w-]{0,24}(?:["']|&quot;)?[ \t]{0,3}(?::=|=>|[=:])[ \t]{0,3}"""
 _SIGN = r"""[=:>][ \t]{0,3}"""
 _OPEN = r"""(?:["']|&quot;)?(?:(?i:bearer|basic) )?"""
 _WEB = r"[A-Za-z0-9_-]"
 #: Private keys in PEM, whole JWTs, passwords in URLs, values of 8 and more characters that a key's name announces (up to
-#: the quote, or else without closing marks), and long runs of key characters. Short tests stand before the lookbehinds.
-CANDIDATE = "|".join((
-    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]{0,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\n|\\r){1,4}[A-Za-z0-9+/]{32,}={0,2}){1,400})",
+#: the quote, or else without closing marks), and long runs of key characters. Short tests stand before the lookbehinds,
+#: first of all that no candidate but a PEM begins within a word.
+CANDIDATE = r"(?:(?<![A-Za-z0-9_])|(?=-----BEGIN))(?:" + "|".join((
     rf"eyJ{_WEB}{{5,}}\.{_WEB}*\.{_WEB}*(?:\.{_WEB}+){{0,2}}",
+    "(?<=[=:> \t\"';])(?=[^\\s]{8})(?:" + "|".join((
+        rf"""(?<=["'])(?=[^\s"']{{8}})(?<={_SIGN}["'])(?<={_NAMED}["'])[^\s"']{{8,}}(?=["'])""",
+        rf"""(?=[^\s"'&<>=]{{8}})(?<={_SIGN}{_OPEN})(?<={_NAMED}{_OPEN})[^\s"'&<>=]{{8,}}(?<![,;:.)\]}}])(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?""",
+    )) + ")",
     r"""(?<=:)(?<=://[^\s/:@"'<>]{0,64}:)[^\s/"'<>]{1,256}(?=@)""",
-    rf"""(?<=["'])(?=[^\s"']{{8}})(?<={_SIGN}["'])(?<={_NAMED}["'])[^\s"']{{8,}}(?=["'])""",
-    rf"""(?<=[=:> \t"';])(?=[^\s"'&<>=]{{8}})(?<={_SIGN}{_OPEN})(?<={_NAMED}{_OPEN})[^\s"'&<>=]{{8,}}(?<![,;:.)\]}}])(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?""",
-    r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?",
-))
+    r"(?<![+/-])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?",
+    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]{0,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\n|\\r){1,4}[A-Za-z0-9+/]{32,}={0,2}){1,400})",
+)) + ")"
 #: Characters of context on either side that the forest sees; a candidate has one at least, so as many neighbours hold them.
 BEFORE, AFTER = 48, 24
 
@@ -100,21 +105,23 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
     before and after are the text's characters next to the candidate, also where they belong to other candidates.
     """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), path.alias("path")).filter(F.col("text").rlike(CANDIDATE))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    parts = F.arrays_zip(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("candidate"), F.split("text", CANDIDATE, -1).alias("between"))
-    found, gap = F.coalesce(F.col("part.candidate"), F.lit("")), F.col("part.between")
-    piece = F.concat(gap, found)
-    each = rows.select("id", "row", "path", F.posexplode(parts).alias("ordinal", "part")).select(
-        "id", "row", "path", "ordinal", F.col("part.candidate").alias("candidate"), F.length(gap).alias("gap"),
-        F.right(gap, F.lit(BEFORE)).alias("own"), F.right(piece, F.lit(BEFORE)).alias("tail"), F.left(piece, F.lit(AFTER)).alias("head"),
+    text = F.col("text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
+    # One search of the text: candidates are set between marks that it can't hold, as they are its own digest. Of the
+    # parts, even places are gaps and odd ones candidates.
+    mark = F.concat(F.lit("\x01"), F.md5("text"), F.lit("\x02"))
+    parts = F.split(F.regexp_replace(text, F.lit(CANDIDATE), F.concat(mark, F.lit("$0"), mark)), mark, -1)
+    each = rows.select("id", "row", "path", F.octet_length("text").alias("whole"), F.posexplode(parts).alias("place", "part"))
+    odd = F.col("place") % 2 == 1
+    each = each.filter((F.col("place") > 0) | (F.octet_length("part") < F.col("whole"))).select(
+        "id", "row", "path", "place", F.when(odd, F.col("part")).alias("candidate"), F.length("part").alias("length"),
+        F.right("part", F.lit(BEFORE)).alias("tail"), F.left("part", F.lit(AFTER)).alias("head"),
     )
-    by_text = Window.partitionBy("row").orderBy("ordinal")
-    earlier = F.array_join(F.collect_list("tail").over(by_text.rowsBetween(-BEFORE, -1)), "")
-    later = F.array_join(F.collect_list("head").over(by_text.rowsBetween(1, AFTER)), "")
-    start = F.sum(F.col("gap") + F.coalesce(F.length("candidate"), F.lit(0))).over(by_text) - F.length("candidate")
-    each = each.withColumn("before", F.right(F.concat(earlier, "own"), F.lit(BEFORE))).withColumn("after", F.left(later, F.lit(AFTER))).withColumn("start", start)
-    return each.filter(F.col("candidate").isNotNull()).select("id", "ordinal", "start", "candidate", "before", "after", "path")
+    by_text = Window.partitionBy("row").orderBy("place")
+    joined = lambda column, first, last: F.array_join(F.collect_list(column).over(by_text.rowsBetween(first, last)), "")
+    each = each.withColumn("before", F.right(joined("tail", -2 * BEFORE, -1), F.lit(BEFORE))).withColumn("after", F.left(joined("head", 1, 2 * AFTER), F.lit(AFTER)))
+    each = each.withColumn("start", F.sum("length").over(by_text) - F.col("length")).filter(F.col("candidate").isNotNull())
+    return each.select("id", F.floor(F.col("place") / 2).cast("int").alias("ordinal"), "start", "candidate", "before", "after", "path")
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> DataFrame:
@@ -126,10 +133,20 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> Data
     placeholders behind a key's name, inline images, digests in running text, keys' names of 16 and more characters,
     and words, calls and placeholders where a value or a URL's password would be.
     """
+    ids = spark.range(n)
+
+    def written(**columns: Column) -> list[Column]:
+        """The columns, computed once: what is formed of them stays small enough to plan and compile."""
+        nonlocal ids
+        ids = materialise(ids.select("*", *[c.alias(k) for k, c in columns.items()]))
+        return [F.col(k) for k in columns]
+
     pick = lambda salt, *options: F.element_at(F.array(*[F.lit(o) if isinstance(o, str) else o for o in options]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
     hexes = F.sha2(F.concat_ws("-", F.col("id"), F.lit(seed)), 512)
     mixed = F.regexp_replace(F.base64(F.unhex(hexes)), r"\s", "")
-    word = lambda i: F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(100 + i)), F.lit(len(DICTIONARY))) + 1).cast("int"))
+    chosen = lambda i: F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(100 + i)), F.lit(len(DICTIONARY))) + 1).cast("int"))
+    hexes, mixed, *_ = written(hexes=hexes, mixed=mixed, **{f"word{i}": chosen(i) for i in range(1, 8)})
+    word = lambda i: F.col(f"word{i}")
     cut = lambda x, *sizes: F.left(x, pick(55, *[F.lit(s) for s in sizes]))
     digits = F.regexp_replace(hexes, "[a-f]", "")
     hex_any = pick(2, cut(hexes, 32, 40, 64, 22, 24), F.upper(cut(hexes, 32, 40, 64)))
@@ -139,6 +156,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> Data
     prose = F.concat(pick(11, "", ". ", "### ", ", ", "\n", "!! "), word(1), F.lit(" "), pick(12, word(2), F.upper(word(2)), F.lit("de la"), F.lit("le ua")), F.lit(" "))
     sign = pick(6, ' = "', '="', ": ", ": '", "=", ' := "', ' = &quot;', "='", '": "')
     close = F.when(sign.contains('"'), '"').when(sign.contains("'"), "'").when(sign.contains("&"), "&quot;").otherwise(F.lit(" "))
+    key, name, long_name, prose, sign, close, hex_any = written(key=key, name=name, long_name=long_name, prose=prose, sign=sign, close=close, hex_any=hex_any)
     named = F.struct(key.alias("candidate"), F.concat(prose, name, sign).alias("before"), F.concat(close, F.lit(" "), word(3)).alias("after"))
     finding = lambda c, before, after="": F.struct(c.alias("candidate"), (before if isinstance(before, Column) else F.lit(before)).alias("before"), (after if isinstance(after, Column) else F.concat(F.lit(after), F.lit(" "), word(3))).alias("after"))
     plain = F.regexp_replace(mixed, "[+/=]", "x")
@@ -150,6 +168,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> Data
     pem = F.concat(F.lit("-----BEGIN "), kind, F.lit("PRIVATE KEY-----\n"), F.left(mixed, F.lit(64)), F.lit("\n"), F.repeat(F.concat(F.substring(mixed, 9, 64), F.lit("\n")), pick(28, *[F.lit(n) for n in (1, 3, 12, 25)])), F.lit("-----END "), kind, F.lit("PRIVATE KEY-----"))
     login = F.concat(prose, pick(29, "postgres", "https", "mongodb+srv", "amqp", "redis"), F.lit("://"), pick(30, word(4), "", "root"), F.lit(":"))
     host = F.concat(F.lit("@"), word(5), pick(31, ".example.org/", ":5432/", "/"), word(6))
+    short, signed, jwt, pem, login, host = written(short=short, signed=signed, jwt=jwt, pem=pem, login=login, host=host)
     yes = pick(
         32, named, named, named, named, named, named, named, named,
         finding(pick(33, short, signed), F.concat(prose, name, sign), close), finding(pick(33, short, signed), F.concat(prose, name, sign), close),
@@ -178,7 +197,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> Data
     )
     label = F.pmod(F.col("id"), F.lit(2)).cast("double")
     path = F.when(label == 1, pick(19, "src1", "src12", "app/config.py", "deploy/prod.env", "README.md", "tests/fixtures/data.json", "", "page.html")).otherwise(pick(20, "src1", "src12", "app/config.py", "docs/guide.md", "README.md", "tests/fixtures/data.json", "", "page.html"))
-    rows = spark.range(n).select(label.alias("label"), F.when(label == 1, yes).otherwise(no).alias("f"), path.alias("path"))
+    rows = ids.select(label.alias("label"), F.when(label == 1, yes).otherwise(no).alias("f"), path.alias("path"))
     return rows.select("f.*", "path", "label").filter((F.length("candidate") >= 8) | F.col("before").rlike("://[^ ]*:$"))
 
 
@@ -186,7 +205,8 @@ def train(findings: DataFrame, trees: int = 30, depth: int = 9, seed: int = 17)
     """A forest over FEATURES from labelled findings: candidate, before, after, path, label. Their number is the caller's bound."""
     gathered = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features", probabilityCol="chances")
-    ready = gathered.transform(with_features(findings)).select("features", "label")
+    # Written in two steps: the forest reads its rows several times, and each step's code stays small enough to compile.
+    ready = gathered.transform(materialise(with_features(materialise(findings)))).select("features", "label")
     return PipelineModel([gathered, forest.fit(ready)])
 
 
