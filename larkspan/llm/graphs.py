@@ -6,15 +6,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import materialise
+from larkspan.llm.common import SALTS, materialise, salt
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """Join the neighbours of each node to the least of its neighbourhood: the larger neighbours, or the others."""
+def _star(edges: DataFrame, larger: bool, salts: int = SALTS) -> DataFrame:
+    """Join the neighbours of each node to the least of its neighbourhood: the larger neighbours, or the others.
+
+    The least neighbours aggregate before their shuffle; they meet the edges by node and salt, a row for each salt that
+    the node's edges have, so that a hub's edges are spread and no table outgrows the edges.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if larger else both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    met = both.join(least, both["u"] == least["w"])
+    both = both.withColumn("s", salt("v", salts=salts))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("s").alias("held")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "held")
+    met = both.join(least.select("w", "m", F.explode("held").alias("t")), (F.col("u") == F.col("w")) & (F.col("s") == F.col("t")))
     if larger:
         return met.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
     moved = met.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("w").alias("b")))
