@@ -240,3 +240,12 @@ def live(events: DataFrame, today: str, end_time: str, lat: float | None = None,
 
 def daypart(hour: Column) -> Column:
     return F.when((hour >= 5) & (hour < 12), "morning").when((hour >= 12) & (hour < 17), "afternoon").otherwise("evening")
+
+
+def searched(events: DataFrame, query: str, category: str | None = None) -> DataFrame:
+    """Events whose title, venue or category holds the query, in any case; of one category if it is given. A blank query holds anywhere."""
+    found = events
+    if query.strip():
+        q = query.lower()
+        found = found.filter(F.lower("title").contains(q) | F.coalesce(F.lower("venue_name").contains(q), F.lit(False)) | F.coalesce(F.lower("category").contains(q), F.lit(False)))
+    return found.filter(F.lower("category") == category.lower()) if category else found
