@@ -79,3 +79,89 @@ def tiers(sources: DataFrame, rules: list[tuple[int, list[str]]]) -> DataFrame:
             hit = hit | F.col("url").ilike(p)
         out = F.when(hit, tier).otherwise(out)
     return sources.withColumn("tier", out)
+
+
+def enqueued(calls: DataFrame, queue: DataFrame, sources: DataFrame, column: str = "jobs") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The jobs of JSON arrays of {source_id, payload, next_scrape_at}; the queue and the sources after them.
+
+    Pending jobs of the same sources go, the new ones come in as pending (jobs that repeat are all inserted); a source's
+    next scrape becomes the latest that its jobs name, and stays if they name none.
+    """
+    one = F.explode(F.from_json(F.col(column), "array<struct<source_id: long, payload: string, next_scrape_at: long>>"))
+    jobs = calls.select(one.alias("job")).select("job.source_id", F.coalesce("job.payload", F.lit("{}")).alias("payload"), "job.next_scrape_at")
+    named = jobs.groupBy("source_id").agg(F.max("next_scrape_at").alias("_next"))
+    pending = F.col("status") == "pending"
+    kept = queue.filter(~pending).unionByName(queue.filter(pending).join(named, "source_id", "left_anti"))
+    after = kept.unionByName(jobs.select("source_id", F.lit("pending").alias("status"), "payload"), allowMissingColumns=True)
+    moved = sources.join(named, "source_id", "left").withColumn("next_scrape_at", F.coalesce("_next", "next_scrape_at")).drop("_next")
+    return jobs, after, moved
+
+
+def requeued(events: DataFrame, staging: DataFrame, now: int) -> DataFrame:
+    """The staging table after coming events without an image were asked for again: known URLs become pending, new ones are added."""
+    poor = events.filter((F.col("image_url").isNull() | (F.col("image_url") == "")) & F.col("source_url").isNotNull() & (F.col("ats") >= now))
+    asked = poor.groupBy("source_url").agg(F.min("source_id").alias("_source"), F.lit(True).alias("_again"))
+    both = staging.join(asked, "source_url", "full")
+    again = F.coalesce("_again", F.lit(False))
+    return both.select(
+        "source_url", F.coalesce("source_id", "_source").alias("source_id"), F.when(again, "pending").otherwise(F.col("status")).alias("status"),
+        F.coalesce("parsing_method", F.lit("ai")).alias("parsing_method"), F.when(again, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+
+
+def counted_errors(sources: DataFrame, failed: DataFrame, worked: DataFrame) -> DataFrame:
+    """Sources with one more error in a row where they are among `failed`, and none where among `worked`, which is applied last."""
+    marked = sources.join(failed.select("source_id", F.lit(1).alias("_failed")).distinct(), "source_id", "left").join(worked.select("source_id", F.lit(1).alias("_worked")).distinct(), "source_id", "left")
+    return marked.withColumn("errors", F.when(F.col("_worked").isNotNull(), 0).otherwise(F.col("errors") + F.coalesce("_failed", F.lit(0)))).drop("_failed", "_worked")
+
+
+#: The stages of an item, and the time that entering a stage sets.
+STAGES = "discovered analyzing awaiting_fetch fetching cleaning extracting validating enriching deduplicating ready_to_persist vectorizing indexed geo_incomplete quarantined failed".split()
+STAGE_TIMES = {"awaiting_fetch": ("analyzed_at",), "cleaning": ("fetched_at",), "validating": ("extracted_at",), "enriching": ("validated_at",), "deduplicating": ("enriched_at",), "indexed": ("vectorized_at", "persisted_at")}
+
+
+def advanced(moves: DataFrame) -> DataFrame:
+    """Items after all their moves (item_id, ats, move_id, next_stage, data, lat, lng): stage, latest data and place, and times of stages.
+
+    A fold by aggregates: the stage of the last move, the last value given of each fact, the last entry of each stage.
+    Moves to a stage that there is not are errors.
+    """
+    order = F.struct("ats", "move_id")
+    known = moves.filter(F.coalesce(F.col("next_stage").isin(*STAGES), F.lit(False)) | F.raise_error(F.concat(F.lit("no stage "), F.coalesce("next_stage", F.lit("null")))).isNull())
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    times = [F.max(F.when(F.col("next_stage") == stage, F.col("ats"))).alias(name) for stage, names in STAGE_TIMES.items() for name in names]
+    return known.groupBy("item_id").agg(F.max_by("next_stage", order).alias("stage"), F.max("ats").alias("updated_at"), last("data"), last("lat"), last("lng"), *times)
+
+
+def retried(items: DataFrame, error: Column, most: int = 3) -> DataFrame:
+    """Items after a failure: failed for good from the third attempt on, else waiting again; no worker holds them."""
+    status = F.when(F.col("attempts") >= most, "failed").otherwise("awaiting_enrichment")
+    return items.withColumns({"status": status, "last_error": error, "worker": F.lit(None).cast("string")})
+
+
+def cache_after(cache: DataFrame, hits: DataFrame, now: int, days: int = 180) -> DataFrame:
+    """A cache's live entries after look-ups (key, ats): each that found its entry alive adds to hit_count and sets last_hit_at."""
+    alive = cache.withColumn("expires_at", F.col("created_at") + days * 86400)
+    met = hits.join(alive.select("key", "created_at", "expires_at"), "key").filter((F.col("ats") >= F.col("created_at")) & (F.col("ats") < F.col("expires_at")))
+    found = met.groupBy("key").agg(F.count(F.lit(1)).alias("_hits"), F.max("ats").alias("_last"))
+    return alive.filter(F.col("expires_at") > now).join(found, "key", "left").withColumns({"hit_count": F.col("hit_count") + F.coalesce("_hits", F.lit(0)), "last_hit_at": F.greatest("last_hit_at", "_last")}).drop("_hits", "_last")
+
+
+def persona_counters(events: DataFrame, profiles: DataFrame, stats: DataFrame) -> DataFrame:
+    """(profile_id, persona, rallies_hosted) after events: each adds one to its creator's present persona; others stay."""
+    made = events.groupBy(F.col("created_by").alias("profile_id")).agg(F.count(F.lit(1)).alias("_made")).join(profiles, "profile_id").select("profile_id", "persona", "_made")
+    both = stats.join(made, ["profile_id", "persona"], "full")
+    return both.select("profile_id", "persona", (F.coalesce("rallies_hosted", F.lit(0)) + F.coalesce("_made", F.lit(0))).alias("rallies_hosted"))
+
+
+def commitments_made(changes: DataFrame) -> DataFrame:
+    """(profile_id, events_committed): how often an attendance (event_id, profile_id, ats, status) became `going` without being it before."""
+    before = F.lag("status").over(Window.partitionBy("event_id", "profile_id").orderBy("ats", "change_id"))
+    became = changes.withColumn("_became", (F.col("status") == "going") & (before.isNull() | (before != "going")))
+    return became.groupBy("profile_id").agg(F.count_if("_became").alias("events_committed"))
+
+
+def push_records(rows: DataFrame, status: str = "awaiting_enrichment") -> DataFrame:
+    """item_id and the JSON record that is pushed for each row of a change feed that has the status; works on streams too."""
+    record = F.struct(F.lit("INSERT").alias("type"), F.lit("raw_event_staging").alias("table"), F.struct(*[F.col(c) for c in rows.columns]).alias("record"))
+    return rows.filter(F.col("status") == status).select("item_id", F.to_json(record).alias("body"))

@@ -162,3 +162,44 @@ def archive_candidates(sources: DataFrame, threshold: int) -> DataFrame:
 def claim(queue: DataFrame, stage: str, limit: int, most_failures: int = 3) -> DataFrame:
     """The next items of a stage: highest priority, then oldest."""
     return queue.filter((F.col("stage") == stage) & (F.col("failures") < most_failures)).orderBy(F.desc("priority"), F.asc("ats"), "item_id").limit(limit)
+
+
+def request_statistics(log: DataFrame, now: int, seconds: int = 3600) -> DataFrame:
+    """Requests of the last hour by key and type: number, first, last and how long ago that was."""
+    recent = log.filter(F.col("ats") >= now - seconds).groupBy("rate_key", "key_type")
+    return recent.agg(F.count(F.lit(1)).alias("total_requests"), F.max("ats").alias("last_request_at"), F.min("ats").alias("first_request_at"), (F.lit(now) - F.max("ats")).alias("seconds_since"))
+
+
+def healthy_sources(sources: DataFrame, least: int = 40, tier: int | None = None, limit: int = 50) -> DataFrame:
+    """The first enabled sources of enough health: tier ascending, health descending, never scraped first."""
+    good = F.coalesce(F.col("enabled"), F.lit(False)) & (F.col("health") >= least)
+    good = good & (F.col("tier") == tier) if tier is not None else good
+    return sources.filter(good).orderBy(F.asc("tier"), F.desc("health"), F.asc_nulls_first("last_scraped"), "source_id").limit(limit)
+
+
+def quarantined_sources(sources: DataFrame, below: int = 40) -> DataFrame:
+    return sources.filter((F.col("health") < below) | F.coalesce(F.col("disabled_reason") == "health_score_quarantine", F.lit(False)))
+
+
+def bucket_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """The q-quantile of cumulative histograms (keys, upper bound `le`, `n` up to it), linear within the bucket it falls in.
+
+    The lowest bucket begins at 0; in the open one (`le` infinite) the highest finite bound stands.
+    """
+    order = Window.partitionBy(*keys).orderBy("le")
+    rows = buckets.withColumns({"_low": F.coalesce(F.lag("le").over(order), F.lit(0.0)), "_before": F.coalesce(F.lag("n").over(order), F.lit(0)), "_all": F.max("n").over(Window.partitionBy(*keys))})
+    hit = rows.filter((F.col("n") >= F.col("_all") * q) & (F.col("_all") > 0)).groupBy(*keys).agg(F.min(F.struct("le", "_low", "_before", "n", "_all")).alias("_b"))
+    b = F.col("_b")
+    inside = b["_low"] + (b["le"] - b["_low"]) * (b["_all"] * q - b["_before"]) / F.nullif(b["n"] - b["_before"], F.lit(0))
+    return hit.select(*keys, F.when(b["le"] == float("inf"), b["_low"]).otherwise(F.coalesce(inside, b["_low"])).alias("quantile"))
+
+
+def trailing_least(rows: DataFrame, keys: list[str], column: str, seconds: int) -> DataFrame:
+    """The least value of the last seconds up to each row."""
+    return rows.withColumn("least", F.min(column).over(Window.partitionBy(*keys).orderBy("ats").rangeBetween(-seconds, 0)))
+
+
+def reset_and_listed(queue: DataFrame, stale: Column) -> DataFrame:
+    """The ids of the items that were reset, as texts, each with their number."""
+    gone = queue.filter(stale)
+    return gone.select(F.col("item_id").cast("string").alias("item_id"), F.lit(gone.count()).cast("long").alias("reset_count"))
