@@ -86,6 +86,23 @@ def join_checked(large: DataFrame, small: DataFrame, keys: list[str], how: str =
     return salted.join(held, on, how).drop("_salt", "_s", *[f"_k{i}" for i in range(len(keys))])
 
 
+def sifted(rows: DataFrame, hashed: Column, keys: DataFrame, key: str, most_bits: int = 1 << 29) -> tuple[DataFrame, DataFrame]:
+    """rows whose hash is surely none of the keys, and rows whose hash may be one.
+
+    `keys` holds hashes (long), materialised, as they are counted. They become a table of bits, 64 a key and `most_bits`
+    (64 MB) at most, which is broadcast. Beyond that more rows count as doubtful, all of them at last; what the caller
+    does with these must be right for any row. So rows that a few keys don't concern need no shuffle.
+    """
+    bits = min(most_bits, max(1 << 15, 1 << (64 * keys.count()).bit_length()))
+    page = lambda h: F.shiftright(F.pmod(h, F.lit(bits)), 15)
+    place = lambda h: F.pmod(h, F.lit(1 << 15))
+    pages = keys.groupBy(page(F.col(key)).alias("_page")).agg(F.bitmap_construct_agg(place(F.col(key))).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place(F.col("_hash")), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_hash", hashed).join(F.broadcast(pages), page(F.col("_hash")) == F.col("_page"), "left")
+    met = met.withColumn("_in", F.coalesce(F.getbit(byte, F.pmod(F.col("_hash"), F.lit(8)).cast("int")), F.lit(0)) == 1).drop("_bits", "_page", "_hash")
+    return met.filter(~F.col("_in")).drop("_in"), met.filter("_in").drop("_in")
+
+
 def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """rows with their position from 0 in the given total order: a range-partitioned sort, and offsets by partition."""
     spark = rows.sparkSession

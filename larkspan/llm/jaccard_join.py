@@ -8,11 +8,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm import sequences as S
-from larkspan.llm.common import BROADCAST_ROWS, SALTS, as_rows, materialise, salt, unpacked
+from larkspan.llm.common import SALTS, as_rows, materialise, salt, sifted, unpacked
 from larkspan.llm.graphs import components, spanning
 from larkspan.llm.substring_dedup import words
 
@@ -20,10 +21,10 @@ from larkspan.llm.substring_dedup import words
 HASHES, ROWS = 128, 4
 #: Hashes that are compared before the posterior is looked at again.
 STEPS = (16, 32, 64, 128)
-#: Members of a bucket or component that meet in a task; larger ones are dealt to pairs of blocks.
-BLOCK = 512
+#: Members of a bucket that meet; larger ones are dealt to pairs of blocks. Members of buckets in a task, about.
+BLOCK, MEMBERS = 512, 20_000
 #: Texts that are hashed at once, and pairs that are compared at once.
-TEXTS, PAIRS = 64, 200_000
+TEXTS, PAIRS = 64, 50_000
 
 _A = S.mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = S.mixed(np.arange(1, HASHES + 1, dtype=np.uint64) + np.uint64(1 << 20))
@@ -58,14 +59,15 @@ def _signatures(size: int):
         for batch in batches:
             for begin in range(0, len(batch), TEXTS):
                 part = batch.slice(begin, TEXTS)
-                hashes, edges = shingles(*S.utf8(part.column(2)), size)
+                data, offsets = S.utf8(part.column(2))
+                hashes, edges = shingles(data, offsets, size)
                 least = min_hashes(hashes, edges)
                 keys = np.broadcast_to(band, (len(least), len(band))).copy()
                 for r in range(ROWS):
                     keys = S.mixed(keys * np.uint64(0xD1342543DE82EF95) + least[:, r :: ROWS])
                 has = np.diff(edges) > 0
                 keys = [k.view(np.int64) if ok else np.zeros(0, np.int64) for k, ok in zip(keys, has, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in least.astype(np.uint8)], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["name", "id", "signature", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in least.astype(np.uint8)], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.diff(offsets))], ["name", "id", "signature", "bands", "bytes"])
 
     return run
 
@@ -119,31 +121,43 @@ def _block_pairs(mine: np.ndarray, low: int, high: int) -> Iterator[tuple[np.nda
             yield np.repeat(part, len(right)), np.tile(right, len(part))
 
 
-def _linked_in_buckets(table: pa.Table, least: dict[int, int]) -> pa.Table:
-    """Edges that connect a bucket's members as the pairs that survive pruning do."""
-    node, mine = np.asarray(table.column("cid")), np.asarray(table.column("block"))
+def _first_shared(bands: np.ndarray, a: np.ndarray, b: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Whether the bucket is the least of those that both of a pair are in: each pair belongs to one of its buckets."""
+    both = np.where((bands[a] == bands[b]) & (bands[a] != 0), bands[a], np.iinfo(np.int64).max)
+    return both.min(axis=1) == bucket
+
+
+def _candidate_pairs(table: pa.Table, least: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a bucket and the pairs among them that belong to it and survive pruning; all buckets of two come as one."""
+    mine, key = np.asarray(table.column("block")), np.asarray(table.column("key"))
     low, high = np.asarray(table.column("low")), np.asarray(table.column("high"))
     signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
-    groups = list(_members(table, "high", "low", "key"))
-    edges: list[tuple[np.ndarray, np.ndarray]] = []
-    twos = [g for g in groups if len(g) == 2]
-    if twos:  # most buckets: all at once
-        a, b = np.array(twos).T
-        fit = (low[a] == high[a]) | (mine[a] != mine[b])
-        a, b = a[fit], b[fit]
+    bands = np.asarray(pc.list_flatten(table.column("buckets").combine_chunks())).reshape(-1, HASHES // ROWS)
+
+    def chosen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         kept = surviving(signatures, a, b, least)
-        edges.append((node[a[kept]], node[b[kept]]))
+        return kept[_first_shared(bands, a[kept], b[kept], key[a[kept]])]
+
+    groups = list(_members(table, "high", "low", "key"))
+    twos = np.array([g for g in groups if len(g) == 2]).reshape(-1, 2)
+    for begin in range(0, len(twos), PAIRS):
+        a, b = twos[begin : begin + PAIRS].T
+        fit = np.flatnonzero((low[a] == high[a]) | (mine[a] != mine[b]))
+        fit = fit[chosen(a[fit], b[fit])]
+        yield np.concatenate((a[fit], b[fit])), np.arange(len(fit)), np.arange(len(fit)) + len(fit)
     for g in groups:
-        if len(g) < 3:
-            continue
-        found = [(np.zeros(0, int),) * 2]
-        for a, b in _block_pairs(mine[g], low[g[0]], high[g[0]]):
-            kept = surviving(signatures[g], a, b, least)
-            found.append(spanning(len(g), a[kept], b[kept]))
-        root, leaf = spanning(len(g), *(np.concatenate(x) for x in zip(*found, strict=True)))
-        edges.append((node[g[root]], node[g[leaf]]))
-    a, b = (np.concatenate(x) for x in zip(*edges, strict=True)) if edges else (np.zeros(0, np.int64),) * 2
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        if len(g) > 2:
+            found = [(np.zeros(0, int),) * 2]
+            for a, b in _block_pairs(mine[g], low[g[0]], high[g[0]]):
+                kept = chosen(g[a], g[b])
+                found.append((a[kept], b[kept]))
+            yield g, *(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _meeting(table: pa.Table, least: dict[int, int]) -> pa.Table:
+    """The members of buckets that have a candidate there."""
+    some = [np.zeros(0, int), *(g[np.unique(np.concatenate((a, b)))] for g, a, b in _candidate_pairs(table, least))]
+    return table.drop_columns("task").take(pa.array(np.concatenate(some)))
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -163,29 +177,29 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _verified(table: pa.Table, size: int, threshold: Fraction) -> pa.Table:
-    """Links of the members of components: for each text how many documents and texts it links to, and edges that connect them."""
-    nodes, mine, copies = np.asarray(table.column("cid")), np.asarray(table.column("block")), np.asarray(table.column("copies"))
-    low, high = np.asarray(table.column("low")), np.asarray(table.column("high"))
-    rows: list[tuple[np.ndarray, ...]] = []
+def _verified(table: pa.Table, size: int, threshold: Fraction, least: dict[int, int]) -> pa.Table:
+    """Links among candidates: for each text how many documents and texts it links to in a bucket, and edges that connect them."""
+    nodes, copies = np.asarray(table.column("cid")), np.asarray(table.column("copies"))
     text_column = table.column("text").combine_chunks()
-    for g in _members(table, "high", "low", "comp"):
-        g = g[np.unique(nodes[g], return_index=True)[1]]  # repeated rows of one text
+    rows: list[tuple[np.ndarray, ...]] = []
+    for g, a, b in _candidate_pairs(table, least):
+        if not len(a):
+            continue
         hashes, edges = shingles(*S.utf8(text_column.take(pa.array(g))), size)
-        sets = [np.unique(hashes[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        sets = [np.unique(hashes[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
         n = np.array([len(s) for s in sets])
-        both = _overlaps(sets)
-        linked = threshold.denominator * both >= threshold.numerator * (n[:, None] + n[None, :] - both)
-        linked &= (n > 0)[:, None] & (n > 0)[None, :]
-        if low[g[0]] == high[g[0]]:
-            np.fill_diagonal(linked, False)
+        if len(a) > 4 * len(g):
+            both = _overlaps(sets)[a, b]
         else:
-            linked &= mine[g][:, None] != mine[g][None, :]
-        some = np.flatnonzero(linked.any(axis=1))
-        none = np.full(len(some), -1)
-        rows.append((nodes[g[some]], none, (linked @ copies[g])[some], linked.sum(axis=1)[some]))
-        root, leaf = spanning(len(g), *np.nonzero(linked))
-        rows.append((nodes[g[root]], nodes[g[leaf]], np.zeros(len(root), np.int64), np.zeros(len(root), np.int64)))
+            both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)])
+        linked = (threshold.denominator * both >= threshold.numerator * (n[a] + n[b] - both)) & (n[a] > 0)
+        a, b = a[linked], b[linked]
+        texts = np.bincount(np.concatenate((a, b)), minlength=len(g))
+        documents = np.bincount(np.concatenate((a, b)), weights=np.concatenate((copies[g[b]], copies[g[a]])), minlength=len(g))
+        some = np.flatnonzero(texts)
+        rows.append((nodes[g[some]], np.full(len(some), -1), documents[some], texts[some]))
+        root, leaf = spanning(len(g), a, b)
+        rows.append((nodes[g[root]], nodes[g[leaf]], np.zeros(len(root)), np.zeros(len(root))))
     columns = [np.concatenate(x).astype(np.int64) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4
     return pa.table(dict(zip(("cid", "other", "documents", "texts"), columns, strict=True)))
 
@@ -208,11 +222,12 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: floa
     documents, its copies included. Null ids count as the largest; null text is a text of its own without links.
 
     Copies meet once, as one text. Texts that share a band of MinHash values are candidates; buckets with the same
-    members in several bands are looked at once. Pairs in a bucket are compared some hashes at a time and dropped when
-    the posterior probability of reaching the threshold falls below `tolerance`; a bucket reports edges that connect
-    its survivors, fewer than its members. Within the components that these form all pairs are verified on their
-    shingle sets, and each text reports its number of links and edges that connect it: rows grow with the texts, not
-    with the pairs. Buckets and components of more than BLOCK texts are dealt to pairs of blocks.
+    members in several bands are looked at once. Each pair belongs to the least of the buckets that it shares; there its
+    hashes are compared some at a time, and it is dropped when the posterior probability of reaching the threshold falls
+    below `tolerance`. Members with a candidate then meet again with their texts, and the candidate pairs alone are
+    verified on their shingle sets: work follows the buckets, however long a chain of links becomes. A bucket reports
+    each text's number of links and edges that connect it: rows grow with the texts, not with the pairs. Buckets of more
+    than BLOCK texts are dealt to pairs of blocks; only texts that have a candidate leave the scan.
 
     Repeated rows are copies. An empty table gives no rows. Extra columns are ignored.
     """
@@ -237,30 +252,35 @@ def _linked(docs: DataFrame, threshold: float, size: int, tolerance: float, id_c
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     source = docs.select(F.col(id_col).alias("id"), _name(F.col(text_col)).alias("name"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    signed = source.select("name", "id", "text").mapInArrow(_signatures(size), f"name binary, id {kind}, signature binary, bands array<long>")
+    signed = source.select("name", "id", "text").mapInArrow(_signatures(size), f"name binary, id {kind}, signature binary, bands array<long>, bytes long")
     signed = materialise(signed.withColumn("salt", salt(F.coalesce(F.col("id").cast("string"), F.lit("")), salts=salts)))
     least_id = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")))
-    classes = signed.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), least_id["id"].alias("text_id"), F.collect_set("salt").alias("salts"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    classes = signed.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), least_id["id"].alias("text_id"), F.collect_set("salt").alias("salts"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()))
 
-    bands = classes.select("cid", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("first"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).filter("n > 1")
-    buckets = buckets.groupBy("n", "first", "x", "y").agg(F.min("key").alias("key")).select(F.col("key").alias("bucket"), "n")
-    members = bands.join(buckets, bands["key"] == buckets["bucket"]).select("cid", "key", "n")
-    members = materialise(members).join(classes.select("cid", "signature"), "cid")
+    bands = classes.select("cid", F.posexplode("bands").alias("band", "key"), salt("cid", salts=salts).alias("salt"))
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("first"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"), F.collect_set("salt").alias("salts")).filter("n > 1")
+    alike = Window.partitionBy("n", "first", "x", "y")  # a bucket in each band at most
+    buckets = buckets.withColumn("bucket", F.min("key").over(alike)).select(F.col("key").alias("held"), "bucket", "n", F.explode("salts").alias("held_salt"))
+    met = bands.join(buckets, (F.col("key") == F.col("held")) & (F.col("salt") == F.col("held_salt")))
+    members = met.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("of"), F.collect_set(F.struct(F.col("bucket").alias("key"), "n")).alias("in"))
+    members = members.select("cid", F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda i: F.coalesce(F.try_element_at("of", i), F.lit(0).cast("long"))).alias("buckets"), "in")
+    members = materialise(members.join(classes.drop("bands", "salts"), "cid"))
     least = least_matches(threshold, tolerance)
-    dealt = _in_blocks(members, "key", "n").withColumn("task", F.pmod("task_key", F.lit(4 * tasks)).cast("int")).select("task", "cid", "key", "block", "low", "high", "signature")
-    candidates = dealt.groupBy("task").applyInArrow(lambda part: _linked_in_buckets(part, least), "a long, b long")
-    found = components(candidates)
-
-    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("members")).select(F.col("root").alias("comp"), "members")
-    open_ = found.join(sizes, found["root"] == sizes["comp"]).select("node", "comp", "members")
-    open_ = materialise(open_.join(classes.select("cid", "name", "text_id", "copies"), open_["node"] == F.col("cid")).select("cid", "comp", "members", "copies", F.col("name").alias("own"), "text_id"))
-    of = F.broadcast(open_) if open_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else open_
-    texts = source.join(of, (source["name"] == open_["own"]) & source["id"].eqNullSafe(open_["text_id"])).select("cid", "comp", "members", "copies", "text")
-    dealt = _in_blocks(texts, "comp", "members").withColumn("task", F.pmod("task_key", F.lit(4 * tasks)).cast("int")).select("task", "cid", "comp", "copies", "block", "low", "high", "text")
+    dealt = members.select("*", F.explode("in").alias("one")).select("*", "one.key", "one.n").drop("in", "one")
+    rows = members.select(F.explode("in.n").alias("n")).agg(F.sum(F.ceil(F.col("n") / BLOCK))).first()[0] or 0
+    dealt = _in_blocks(dealt, "key", "n").withColumn("task", F.pmod("task_key", F.lit(max(4 * tasks, rows // MEMBERS))).cast("int")).drop("task_key", "n")
+    found = materialise(dealt.groupBy("task").applyInArrow(lambda part: _meeting(part, least), dealt.drop("task").schema))
+
+    keys = materialise(found.select(F.xxhash64("name", "text_id").alias("key")).distinct())
+    _, texts = sifted(source, F.xxhash64("name", "id"), keys, "key")
+    one = F.row_number().over(Window.partitionBy("name", "id").orderBy("name"))  # of repeated rows
+    texts = texts.withColumn("one", one).filter("one = 1").select(F.col("name").alias("own"), "id", "text")
+    size_of = found.agg(F.sum("bytes")).first()[0] or 0
+    met = found.join(texts, F.col("name").eqNullSafe(F.col("own")) & F.col("text_id").eqNullSafe(F.col("id"))).drop("name", "own", "id", "text_id", "bytes")
+    met = met.withColumn("task", F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(4 * tasks, size_of // S.GROUP_BYTES))).cast("int"))
     exact = Fraction(str(threshold))
-    verified = materialise(dealt.groupBy("task").applyInArrow(lambda part: _verified(part, size, exact), "cid long, other long, documents long, texts long"))
+    verified = materialise(met.groupBy("task").applyInArrow(lambda part: _verified(part, size, exact, least), "cid long, other long, documents long, texts long"))
     linked = components(verified.filter("other >= 0").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     counts = verified.filter("other < 0").groupBy("cid").agg(F.sum("documents").alias("documents"), F.sum("texts").alias("texts"))
 
@@ -272,15 +292,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each class, all columns unchanged: that with the least id, null ids last, and of texts that share it the least MD5.
 
     Different texts may share an id or have none; each class keeps one. Of rows with the same text and id, one stays.
+    Rows that share text and id with no dropped one stay where they are; only the others meet the representatives.
     """
-    from pyspark.sql import Window
-
-    _, known = _linked(docs, threshold, size, tolerance, id_col, text_col, salts)
+    signed, known = _linked(docs, threshold, size, tolerance, id_col, text_col, salts)
     least = F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id").alias("id"), F.col("name").alias("name")))
-    first = known.groupBy("root").agg(least.alias("_f")).select(F.col("_f.id").alias("_first"), F.col("_f.name").alias("_text"))
-    row = as_rows(docs)
-    keyed = row.withColumn("_own", _name(F.col("_r")[text_col]))
-    met = keyed.join(first, (keyed["_own"] == first["_text"]) & keyed["_r"][id_col].eqNullSafe(first["_first"]))
+    first = materialise(known.groupBy("root").agg(least.alias("_f")).select("root", F.col("_f.id").alias("_first"), F.col("_f.name").alias("_text")))
+    of_text = known.select("name", F.explode("salts").alias("_salt"), "root", "copies").join(first, "root").select(F.col("name").alias("_name"), "_salt", "_first", (F.col("name") == F.col("_text")).alias("_is_first"))
+    rows = signed.select("name", "id", "salt").join(of_text, (F.col("name") == F.col("_name")) & (F.col("salt") == F.col("_salt")))
+    gone = rows.filter(~(F.col("_is_first") & F.col("id").eqNullSafe(F.col("_first")))).select("name", "id")
+    again = rows.groupBy("name", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", "id")
+    keys = materialise(gone.unionByName(again).select(F.xxhash64("name", "id").alias("_key")))
+
+    keyed = as_rows(docs).withColumn("_own", _name(F.col("_r")[text_col]))
+    clear, doubtful = sifted(keyed, F.xxhash64("_own", F.col("_r")[id_col]), keys, "_key")
+    _, wanted = sifted(first.drop("root"), F.xxhash64("_text", "_first"), keys, "_key")
+    met = doubtful.join(wanted, doubtful["_own"].eqNullSafe(wanted["_text"]) & doubtful["_r"][id_col].eqNullSafe(wanted["_first"]))
     content = F.xxhash64(*[F.col("_r")[c] for c, kind in docs.dtypes if "map<" not in kind])
     place = F.row_number().over(Window.partitionBy("_text", "_first").orderBy(content))
-    return unpacked(met.withColumn("_place", place).filter("_place = 1"))
+    return unpacked(clear.select("_r").unionByName(met.withColumn("_place", place).filter("_place = 1").select("_r")))
