@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import SALTS, SPACE, as_rows, materialise, salt, unpacked
+from larkspan.llm.common import SALTS, SPACE, as_rows, materialise, salt, sifted, unpacked
 
 
 def normalised(text: Column) -> Column:
@@ -64,12 +64,16 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that `refine` keeps, all columns unchanged. Cases are as there."""
-    from pyspark.sql import Window
+    """The rows of docs that `refine` keeps, all columns unchanged. Cases are as there.
 
-    keep = refine(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha"))
-    row = as_rows(docs)
-    keyed = row.withColumn("_own_sha", F.unhex(F.sha2(normalised(F.col("_r")[text_col]), 256)))
-    met = keyed.join(keep, (keyed["_own_sha"] == keep["_keep_sha"]) & keyed["_r"][id_col].eqNullSafe(keep["_keep_id"]))
+    Rows whose digest and id no dropped row has stay where they are; only the others, and the few that a table of bits
+    can't tell from them, meet the kept ones by digest and id. Of repeated rows one stays.
+    """
+    found = materialise(refine(docs, id_col, text_col).select(F.col(id_col).alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha"), "kept"))
+    dropped = materialise(found.filter("not kept").select(F.xxhash64("_keep_sha", "_keep_id").alias("_key")))
+    keyed = as_rows(docs).withColumn("_own_sha", F.unhex(F.sha2(normalised(F.col("_r")[text_col]), 256)))
+    clear, doubtful = sifted(keyed, F.xxhash64("_own_sha", F.col("_r")[id_col]), dropped, "_key")
+    _, keep = sifted(found.filter("kept").drop("kept"), F.xxhash64("_keep_sha", "_keep_id"), dropped, "_key")
+    met = doubtful.join(keep, doubtful["_own_sha"].eqNullSafe(keep["_keep_sha"]) & doubtful["_r"][id_col].eqNullSafe(keep["_keep_id"]))
     place = F.row_number().over(Window.partitionBy("_keep_sha", "_keep_id").orderBy("_keep_sha"))
-    return unpacked(met.withColumn("_place", place).filter("_place = 1"))
+    return unpacked(clear.select("_r").unionByName(met.withColumn("_place", place).filter("_place = 1").select("_r")))
