@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larkspan.functions.geo import valid_coordinates
+from larkspan.functions.text import any_part
 
 #: Fixed values, in order: category, whole words that mean it, and parts of a URL that do.
 CATEGORY_WORDS: list[tuple[str, str, str]] = [
@@ -35,7 +36,7 @@ ENGLISH_WORDS = (
 ).split()
 ENGLISH_MARKS = ("in english", "english spoken", "english language", "performed in english", "presented in english", "english subtitles", "international event", "all english", "expats welcome")
 #: Titles that aren't events.
-NOISE = r"(?i)^reactie op|^comment on|^re:|antwoorden$|reply$|leestijd|geschreven door|posted by|ticketprijs bij evenement|^geen evenement|^foto|door een bezoeker"
+NOISE = r"^reactie op|^comment on|^re:|antwoorden$|reply$|leestijd|geschreven door|posted by|ticketprijs bij evenement|^geen evenement|^foto|door een bezoeker"
 #: Interaction rules, in order; then the generic categories.
 INTERACTION: list[tuple[str, str]] = [
     ("high", r"workshop|masterclass|cursus|les\b|training|netwerk|network|meetup|meet-up|borrel|drinks?|social\s+event|speed\s*dat|pub\s*quiz|trivia|game\s*night|spel|karaoke|dance\s*class|dansles|yoga|fitness|wandel|walk|tour\b|rondleiding|proeverij|tasting"),
@@ -55,28 +56,47 @@ def category(text: Column, url: Column | None = None, default: Column | None = N
     out = None
     for name, _, parts in CATEGORY_WORDS if url is not None else ():
         out = F.when(url.rlike(f"(?i){parts}"), name) if out is None else out.when(url.rlike(f"(?i){parts}"), name)
-    for name, words, _ in CATEGORY_WORDS:
-        test = text.rlike(rf"(?:^|[^A-Za-z0-9_])(?:{words})(?:$|[^A-Za-z0-9_])")
-        out = F.when(test, name) if out is None else out.when(test, name)
+    words = F.array_distinct(F.split(text, "[^a-z0-9_]+"))
+    tests = []
+    for name, alternatives, _ in CATEGORY_WORDS:
+        single = [w for w in alternatives.split("|") if w.isascii() and w.isalnum()]
+        phrases = [w for w in alternatives.split("|") if w not in single]
+        tests.append((name, single, [(w, rf"(?:^|[^A-Za-z0-9_]){w}(?:$|[^A-Za-z0-9_])") for w in phrases]))
+
+    def by_words(x: Column) -> Column:
+        found = None
+        for name, single, phrases in tests:
+            test = F.arrays_overlap(x["words"], F.array(*[F.lit(w) for w in single]))
+            for phrase, bounded in phrases:
+                test = test | (x["text"].contains(phrase) & x["text"].rlike(bounded))
+            found = F.when(test, name) if found is None else found.when(test, name)
+        return found
+
+    # An array of one, so that the text is split once.
+    named = F.get(F.transform(F.array(F.struct(text.alias("text"), words.alias("words"))), by_words), F.lit(0))
+    out = F.when(named.isNotNull(), named) if out is None else out.when(named.isNotNull(), named)
     return out.otherwise(F.coalesce(default, F.lit("COMMUNITY")) if default is not None else F.lit("COMMUNITY"))
 
 
 def is_probable_event(title: Column) -> Column:
     lower = F.lower(F.coalesce(title, F.lit("")))
-    return ~lower.rlike(NOISE) & (F.length(lower) >= 5) & ~lower.isin("admin", "geen titel", "no title", "anonymous")
+    return ~any_part(lower, NOISE) & (F.length(lower) >= 5) & ~lower.isin("admin", "geen titel", "no title", "anonymous")
 
 
 def language_profile(text: Column) -> Column:
     """struct<language, dutch_score, english_score> by points for words, endings, letter pairs and plain statements."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    whole = lambda pattern: F.regexp_count(lower, F.lit(rf"(?<![a-z0-9_]){pattern}(?![a-z0-9_])"))
-    pair = {p: F.regexp_count(lower, F.lit(p)) for p in DUTCH_PAIRS}
-    dutch = 2 * whole(f"(?:{'|'.join(DUTCH_WORDS)})")
-    dutch = dutch + sum((F.when(n > 2, F.least(n, F.lit(5))).otherwise(0) for n in pair.values()), F.lit(0))
-    dutch = dutch + whole(f"[a-z]{{3,}}(?:{'|'.join(DUTCH_ENDINGS)})")
-    dutch = dutch + F.when(pair["ij"] >= 2, 2 * pair["ij"]).otherwise(0)
-    english = 2 * whole(f"(?:{'|'.join(ENGLISH_WORDS)})") + sum((F.when(lower.contains(m), 10).otherwise(0) for m in ENGLISH_MARKS), F.lit(0))
-    enough = (F.length(lower) >= 50) & (whole("[a-z]{2,}") >= 10)
+
+    def counted(x: Column) -> Column:
+        words, lower = x["words"], x["lower"]
+        many = lambda test: F.size(F.filter(words, test))
+        pair = {p: (F.length(lower) - F.length(F.replace(lower, F.lit(p), F.lit("")))) / 2 for p in DUTCH_PAIRS}
+        dutch = 2 * many(lambda w: w.isin(*DUTCH_WORDS)) + many(lambda w: w.rlike(f"^[a-z]{{3,}}(?:{'|'.join(DUTCH_ENDINGS)})$"))
+        dutch = dutch + sum((F.when(n > 2, F.least(n, F.lit(5.0))).otherwise(0.0) for n in pair.values()), F.lit(0.0))
+        dutch = dutch + F.when(pair["ij"] >= 2, 2 * pair["ij"]).otherwise(0.0)
+        english = 2 * many(lambda w: w.isin(*ENGLISH_WORDS)) + sum((F.when(lower.contains(m), 10).otherwise(0) for m in ENGLISH_MARKS), F.lit(0))
+        enough = (F.length(lower) >= 50) & (many(lambda w: w.rlike("^[a-z]{2,}$")) >= 10)
+        return F.struct(dutch.alias("dutch"), english.alias("english"), enough.alias("enough"))
 
     def profile(points: Column) -> Column:
         total = points["dutch"] + points["english"] + 1
@@ -87,9 +107,9 @@ def language_profile(text: Column) -> Column:
         )
         return F.struct(language.alias("language"), nl.alias("dutch_score"), en.alias("english_score"))
 
-    # An array of one, so that the points are counted once and named.
-    counted = F.struct(dutch.alias("dutch"), english.alias("english"), enough.alias("enough"))
-    return F.get(F.transform(F.array(counted), profile), F.lit(0))
+    # Arrays of one, so that the text is split once, and the points are counted once.
+    split = F.struct(lower.alias("lower"), F.split(lower, "[^a-z0-9_]+").alias("words"))
+    return F.get(F.transform(F.transform(F.array(split), counted), profile), F.lit(0))
 
 
 def interaction_mode(category_: Column, description: Column) -> Column:
@@ -97,7 +117,7 @@ def interaction_mode(category_: Column, description: Column) -> Column:
     text = F.lower(F.concat_ws(" ", F.coalesce(category_, F.lit("")), F.coalesce(description, F.lit(""))))
     out = None
     for mode, pattern in INTERACTION:
-        out = F.when(text.rlike(pattern), mode) if out is None else out.when(text.rlike(pattern), mode)
+        out = F.when(any_part(text, pattern), mode) if out is None else out.when(any_part(text, pattern), mode)
     plain = F.regexp_replace(F.upper(F.coalesce(category_, F.lit(""))), r"[-_\s]", "")
     for name, mode in GENERIC.items():
         out = out.when(plain.contains(name) | F.lit(name).contains(plain), mode)

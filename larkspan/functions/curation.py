@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import collapse, first_match
+from larkspan.functions.text import any_part, collapse, first_match
 
 #: Parts of a text that force a category before all others.
 FAMILY_FIRST = "basisschool|speeltuin|kinderopvang|zwemles|peutergroep|kinderfeest|jeugdclub|schoolfeest|kinderactiviteit|gezinsdag|voorlezen|kinderboerderij|kinderdisco|sinterklaas|kinderen|ouder-kind"
@@ -78,9 +78,9 @@ def _blank(c: Column) -> Column:
 def category_by_parts(text: Column) -> Column:
     """The category of the first rule of which the text holds a part, anywhere in a word; else COMMUNITY."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    out = F.when(lower.rlike(FAMILY_FIRST), "FAMILY").when(lower.rlike(SOCIAL_FIRST), F.when(lower.rlike(SOCIAL_FOOD), "FOOD").otherwise("SOCIAL"))
+    out = F.when(any_part(lower, FAMILY_FIRST), "FAMILY").when(any_part(lower, SOCIAL_FIRST), F.when(any_part(lower, SOCIAL_FOOD), "FOOD").otherwise("SOCIAL"))
     for name, parts in PARTS:
-        out = out.when(lower.rlike(parts), name)
+        out = out.when(any_part(lower, parts), name)
     return out.otherwise("COMMUNITY")
 
 

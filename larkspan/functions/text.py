@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,21 @@ def first_match(text: Column, *patterns: str, group: int = 1) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns])
 
 
+def any_part(text: Column, pattern: str) -> Column:
+    """Whether the text has one of the alternatives of a pattern without groups around them.
+
+    Plain alternatives are looked for as they are; others are matched only where their first letters occur, which is
+    many times faster over long texts than one pattern of all.
+    """
+    out = F.lit(False)
+    for part in pattern.split("|"):
+        plain = re.fullmatch(r"[\w /.:-]+", part.replace(".", "*")) is not None
+        letters = re.match(r"\^?([\w -]*)", part).group(1)
+        sure = letters[:-1] if part[len(letters) + part.startswith("^"):][:1] in ("?", "*") else letters
+        out = out | (text.contains(part) if plain else text.contains(sure) & text.rlike(part) if sure else text.rlike(part))
+    return out
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 

@@ -286,14 +286,15 @@ CHANGED = "SELECT page_id, sha256(html) AS content_hash FROM pages WHERE page_id
 
 
 def natural_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = V.events(spark, sf_dir).withColumn("source_url", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("https://a.example/"), (F.col("event_id") % 900).cast("string"))))
-    return dedup.natural_duplicates(e.filter("event_id % 10 = 3 or event_id % 10 = 4"), e.filter("event_id % 10 < 2")).select("event_id", "duplicate_of")
+    """Events of odd number among those of even number."""
+    e = V.events(spark, sf_dir).withColumn("source_url", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("https://a.example/"), (F.col("event_id") % 901).cast("string"))))
+    return dedup.natural_duplicates(e.filter("event_id % 2 = 1"), e.filter("event_id % 2 = 0")).select("event_id", "duplicate_of")
 
 
-NATURAL = f"""WITH {V.EVENTS}, x AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN event_id % 900 END AS url FROM ev),
-u AS (SELECT url, min(event_id) AS by_url FROM x WHERE event_id % 10 < 2 AND url IS NOT NULL GROUP BY 1),
-t AS (SELECT lower(title) AS title, ats // 86400 AS day, min(event_id) AS by_title FROM x WHERE event_id % 10 < 2 GROUP BY 1, 2)
-SELECT event_id, coalesce(by_url, by_title) AS duplicate_of FROM x LEFT JOIN u USING (url) LEFT JOIN t ON t.title = lower(x.title) AND day = ats // 86400 WHERE event_id % 10 IN (3, 4)"""
+NATURAL = f"""WITH {V.EVENTS}, x AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN event_id % 901 END AS url FROM ev),
+u AS (SELECT url, min(event_id) AS by_url FROM x WHERE event_id % 2 = 0 AND url IS NOT NULL GROUP BY 1),
+t AS (SELECT lower(title) AS title, ats // 86400 AS day, min(event_id) AS by_title FROM x WHERE event_id % 2 = 0 GROUP BY 1, 2)
+SELECT event_id, coalesce(by_url, by_title) AS duplicate_of FROM x LEFT JOIN u USING (url) LEFT JOIN t ON t.title = lower(x.title) AND day = ats // 86400 WHERE event_id % 2 = 1"""
 
 
 def fuzzy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,16 +347,16 @@ REPEATED = "SELECT sha256(coalesce(text, '')) AS fingerprint, count(*) AS times
 def commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attended and created events of each host, attended ones first in a tie, by month; newest three by joining marked."""
     e = V.events(spark, sf_dir).select("event_id", "event_date", "created_by")
-    went = V.attendees(spark, sf_dir).filter("status = 'going' and profile_id <= 20").groupBy("profile_id", "event_id").agg(F.max("joined_at").alias("joined_at"))
+    went = V.attendees(spark, sf_dir).filter("status = 'going'").groupBy("profile_id", "event_id").agg(F.max("joined_at").alias("joined_at"))
     attended = went.join(e, "event_id").select("profile_id", "event_id", "event_date", F.lit("attended").alias("role"), "joined_at")
-    created = e.filter("created_by <= 20").select(F.col("created_by").alias("profile_id"), "event_id", "event_date", F.lit("created").alias("role"), F.lit(None).cast("long").alias("joined_at"))
+    created = e.filter("created_by is not null").select(F.col("created_by").alias("profile_id"), "event_id", "event_date", F.lit("created").alias("role"), F.lit(None).cast("long").alias("joined_at"))
     both = attended.unionByName(created.join(attended.select("profile_id", "event_id"), ["profile_id", "event_id"], "left_anti"))
     return both.groupBy("profile_id", F.date_format("event_date", "MMMM yyyy").alias("month")).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("role") == "attended").alias("attended"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_date", "event_id"))), lambda x: x["event_id"].cast("string")), ",").alias("event_ids"))
 
 
 COMMITMENTS = f"""WITH {V.EVENTS},{V.ATTENDEES},
-w AS (SELECT DISTINCT profile_id, event_id, 'attended' AS role FROM att WHERE status = 'going' AND profile_id <= 20),
-c AS (SELECT created_by AS profile_id, event_id, 'created' AS role FROM ev WHERE created_by <= 20),
+w AS (SELECT DISTINCT profile_id, event_id, 'attended' AS role FROM att WHERE status = 'going'),
+c AS (SELECT created_by AS profile_id, event_id, 'created' AS role FROM ev WHERE created_by IS NOT NULL),
 b AS (SELECT w.* FROM w JOIN ev USING (event_id) UNION ALL SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.profile_id = c.profile_id AND w.event_id = c.event_id))
 SELECT profile_id, strftime(make_timestamp(ats * 1000000), '%B %Y') AS month, count(*) AS events, count(*) FILTER (WHERE role = 'attended') AS attended, string_agg(event_id::VARCHAR, ',' ORDER BY ats, event_id) AS event_ids
 FROM b JOIN ev USING (event_id) GROUP BY 1, 2"""

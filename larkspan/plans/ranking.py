@@ -226,12 +226,12 @@ SELECT group_id, cluster, members, hub_lat, hub_lng FROM rk WHERE n = 1"""
 
 
 def _free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")).filter("event_id % 3 = 0")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
     return e.select((F.col("user_id") % 30).alias("group_id"), "user_id", (F.col("s") - F.col("s") % 1800).alias("start"), (F.col("s") - F.col("s") % 1800 + 1800 * (1 + F.col("event_id") % 20)).alias("end"))
 
 
 _FREE = """fr AS (SELECT user_id % 30 AS group_id, user_id, (epoch_us(ts) // 1000000) - (epoch_us(ts) // 1000000) % 1800 AS s, (epoch_us(ts) // 1000000) - (epoch_us(ts) // 1000000) % 1800 + 1800 * (1 + event_id % 20) AS e
-  FROM events WHERE event_id % 3 = 0)"""
+  FROM events)"""
 _WINDOW = (1704585600, 1705190400)
 
 

@@ -39,13 +39,13 @@ SELECT doc_id, CASE WHEN NOT enough THEN 'Other' WHEN n > 0.6 AND e < 0.2 THEN '
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     mode = classify.interaction_mode(F.lit(""), F.col("text"))
-    return d.select("doc_id", classify.category(F.col("text"), F.concat(F.lit("https://x.example/"), F.when(F.col("doc_id") % 50 == 0, "museum/1").otherwise("a"))).alias("category"), mode.alias("mode"), classify.is_probable_event(F.substring("text", 1, 40)).alias("probable"))
+    return d.select("doc_id", classify.category(F.col("text"), F.concat(F.lit("https://x.example/"), F.when(F.col("doc_id") % 50 == 0, "museum/1").otherwise("a"))).alias("category"), mode.alias("mode"), classify.is_probable_event(F.col("text")).alias("probable"))
 
 
 _CASES = " ".join(f"WHEN regexp_matches(u, '(?i){parts}') THEN '{name}'" for name, _, parts in classify.CATEGORY_WORDS)
 _WORDS = " ".join(f"WHEN regexp_matches(t, '(?:^|[^A-Za-z0-9_])(?:{words})(?:$|[^A-Za-z0-9_])') THEN '{name}'" for name, words, _ in classify.CATEGORY_WORDS)
 _MODES = " ".join(f"WHEN regexp_matches(' ' || t, '{pattern}') THEN '{mode}'" for mode, pattern in classify.INTERACTION)
-CATEGORIES = f"""WITH d AS (SELECT doc_id, lower(text) AS t, 'https://x.example/' || CASE WHEN doc_id % 50 = 0 THEN 'museum/1' ELSE 'a' END AS u, lower(substr(text, 1, 40)) AS h FROM documents)
+CATEGORIES = f"""WITH d AS (SELECT doc_id, lower(text) AS t, 'https://x.example/' || CASE WHEN doc_id % 50 = 0 THEN 'museum/1' ELSE 'a' END AS u, lower(text) AS h FROM documents)
 SELECT doc_id, CASE {_CASES} {_WORDS} ELSE 'COMMUNITY' END AS category, CASE {_MODES} ELSE 'high' END AS mode,
   NOT regexp_matches(h, '{classify.NOISE}') AND length(h) >= 5 AND h NOT IN ('admin', 'geen titel', 'no title', 'anonymous') AS probable FROM d"""
 
