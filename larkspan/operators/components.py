@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.session import shared_dir
+
 
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) of the nodes of edges (a, b); the root is the least node of its component.
@@ -14,10 +16,7 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="larkspan-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")).checkpoint()
     for _ in range(rounds):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -42,32 +43,40 @@ def similar_times(a: Column, b: Column, hours: int = 2) -> Column:
 
 
 def _alike(a: str, b: str) -> bool:
-    a, b = _NUMBER.sub("", a), _NUMBER.sub("", b)
+    """Of titles without their numbers."""
     return a == b or (len(a) > 3 and len(b) > 3 and (a in b or b in a))
 
 
 def series(events: DataFrame, window_hours: int = 2) -> DataFrame:
     """event_id and series of each event: the id of the series' first event.
 
-    An event joins the first series, in order of date and id, whose first event has a like title and hour; venue and
-    weekday agree within a block, so each block is a task's group. Events without a venue or hour start their own.
+    An event joins the first series, in order of date and id, whose first event has a like title and hour, of the same
+    venue and weekday. Rows are sorted by venue, weekday and date and pass in batches; what is held are the first events
+    of the venue's series, and for each title and hour that came the series that it joined, as that never changes.
+    Events without a venue or hour start their own.
     """
     keyed = events.select("event_id", "event_date", normalised(F.col("title")).alias("title"), normalised(F.col("venue_name")).alias("venue"), F.dayofweek("event_date").alias("weekday"), hour_of(F.col("event_time")).alias("hour"))
     blocked = keyed.filter((F.col("venue") != "") & F.col("hour").isNotNull())
 
-    def fold(block: pd.DataFrame) -> pd.DataFrame:
-        firsts: list[tuple[str, int, int]] = []
-        out = []
-        for row in block.sort_values(["event_date", "event_id"]).itertuples():
-            found = next((i for t, h, i in firsts if abs(h - row.hour) <= window_hours and _alike(t, row.title)), None)
-            if found is None:
-                firsts.append((row.title, row.hour, row.event_id))
-                found = row.event_id
-            out.append(found)
-        ordered = block.sort_values(["event_date", "event_id"])
-        return pd.DataFrame({"event_id": ordered["event_id"], "series": out})
-
-    grouped = blocked.groupBy("venue", "weekday").applyInPandas(fold, "event_id long, series long")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, firsts, joined = None, [], {}
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                if (row.venue, row.weekday) != place:
+                    place, firsts, joined = (row.venue, row.weekday), [], {}
+                title = _NUMBER.sub("", row.title)
+                if (title, row.hour) not in joined:
+                    found = next((i for t, h, i in firsts if abs(h - row.hour) <= window_hours and _alike(t, title)), None)
+                    if found is None:
+                        firsts.append((title, row.hour, row.event_id))
+                        found = row.event_id
+                    joined[title, row.hour] = found
+                out.append(joined[title, row.hour])
+            yield pd.DataFrame({"event_id": batch["event_id"], "series": out})
+
+    ordered = blocked.repartition("venue", "weekday").sortWithinPartitions("venue", "weekday", "event_date", "event_id")
+    grouped = ordered.mapInPandas(fold, "event_id long, series long")
     alone = keyed.filter((F.col("venue") == "") | F.col("hour").isNull()).select("event_id", F.col("event_id").alias("series"))
     return grouped.unionByName(alone)
 

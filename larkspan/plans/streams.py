@@ -40,6 +40,38 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.run_to_end(machines.stream(rows, "breaker"), "append")
 
 
+def _stepped(state: str, step: str, output: str) -> str:
+    """SQL of a machine: all sources take their next row together. state and step: columns; output: what each row shows."""
+    names = [c.rsplit(" AS ", 1)[1] for c in state.split("; ")]
+    nexts = ", ".join(f"{e} AS {n}" for e, n in zip(step.split("; "), names, strict=True))
+    return f"""WITH RECURSIVE {V.QUEUE}, o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ats, item_id) AS n FROM qu),
+r AS (SELECT source_id, 0::BIGINT AS n, NULL::BIGINT AS item_id, {state.replace("; ", ", ")} FROM (SELECT DISTINCT source_id FROM qu)
+UNION ALL SELECT o.source_id, o.n, o.item_id, {nexts} FROM r JOIN o ON o.source_id = r.source_id AND o.n = r.n + 1)
+SELECT item_id, source_id, {output} FROM r WHERE n > 0"""
+
+
+_FRESH = f"(r.start IS NULL OR o.ats - r.start > {machines.RATE_SECONDS})"
+_USED = f"(CASE WHEN {_FRESH} THEN 0 ELSE r.used END)"
+_START = f"(CASE WHEN {_FRESH} THEN o.ats ELSE r.start END)"
+RATE_WINDOWS = _stepped(
+    "NULL::BIGINT AS start; 0::BIGINT AS used; true AS allowed; 0::BIGINT AS wait_ms",
+    f"{_START}; least({_USED} + 1, {machines.RATE_MOST}); {_USED} < {machines.RATE_MOST}; CASE WHEN {_USED} < {machines.RATE_MOST} THEN 0 ELSE ({_START} + {machines.RATE_SECONDS} - o.ats) * 1000 END",
+    "start AS window_start, allowed, wait_ms",
+)
+_NOW = "(CASE WHEN r.name = 'OPEN' AND r.til <= o.ats THEN 'HALF_OPEN' ELSE r.name END)"
+_OPENS = f"(o.failed AND {_NOW} <> 'OPEN' AND r.failures >= 4)"
+BREAKER = _stepped(
+    "'CLOSED' AS name; 0::BIGINT AS failures; 0::BIGINT AS opens; 0::BIGINT AS til",
+    f"CASE WHEN NOT o.failed THEN 'CLOSED' WHEN {_OPENS} THEN 'OPEN' ELSE {_NOW} END; CASE WHEN o.failed THEN r.failures + 1 ELSE 0 END; CASE WHEN NOT o.failed THEN 0 WHEN {_OPENS} THEN r.opens + 1 ELSE r.opens END; "
+    f"CASE WHEN NOT o.failed THEN 0 WHEN {_OPENS} THEN o.ats + least(1800 * pow(2, r.opens), 86400)::BIGINT ELSE r.til END",
+    "name AS breaker, failures, opens",
+)
+_EMPTY = f"(CASE WHEN o.value >= {machines.EMPTY_BELOW} THEN 0 ELSE r.empties + 1 END)"
+_UP = f"({_EMPTY} >= 3 AND r.level < 2)"
+ESCALATION = _stepped("0::BIGINT AS level; 0::BIGINT AS empties", f"CASE WHEN {_UP} THEN r.level + 1 ELSE r.level END; CASE WHEN {_UP} THEN 0 ELSE {_EMPTY} END", "['static', 'puppeteer', 'scrapingbee'][level + 1] AS fetcher, empties AS empty_pages")
+_AFTER = "greatest(0, least(100, r.health + CASE WHEN o.failed THEN -20 WHEN o.stage = 'indexed' THEN 10 ELSE 2 END))"
+SOURCE_HEALTH = _stepped("70::BIGINT AS health; true AS enabled", f"{_AFTER}; CASE WHEN {_AFTER} < 40 THEN false WHEN r.health < 40 AND {_AFTER} >= 50 THEN true ELSE r.enabled END", "health, enabled")
+
 #: A breaker opens at five failures since the last success; how many in a row there are needs no state.
 FAILURES = f"""WITH {V.QUEUE},
 g AS (SELECT *, count(*) FILTER (WHERE NOT failed) OVER (PARTITION BY source_id ORDER BY ats, item_id ROWS UNBOUNDED PRECEDING) AS g FROM qu),
@@ -48,7 +80,7 @@ r AS (SELECT *, count(*) FILTER (WHERE failed) OVER (PARTITION BY source_id, g O
 SELECT item_id, source_id, run AS failures_in_a_row, max(run >= 6) OVER (PARTITION BY source_id ORDER BY ats, item_id ROWS UNBOUNDED PRECEDING) AS quarantined, greatest(0, 100 - 5 * all_failed) AS reliability_hundredths FROM r"""
 
 QUERIES = {
-    "wt1_rate_windows": (_replayed("rate_window"), None), "wt8_circuit_breaker": (_replayed("breaker"), None), "wt11_fetcher_escalation": (_replayed("escalation"), None),
-    "wt12_source_health": (_replayed("health"), None), "wt7_source_failures": (_replayed("failures"), FAILURES), "wt3_stream_buckets": (stream_buckets, STREAM_BUCKETS),
-    "wt2_stream_sliding": (stream_sliding, STREAM_SLIDING), "wt8_stream_breaker": (stream_breaker, None),
+    "wt1_rate_windows": (_replayed("rate_window"), RATE_WINDOWS), "wt8_circuit_breaker": (_replayed("breaker"), BREAKER), "wt11_fetcher_escalation": (_replayed("escalation"), ESCALATION),
+    "wt12_source_health": (_replayed("health"), SOURCE_HEALTH), "wt7_source_failures": (_replayed("failures"), FAILURES), "wt3_stream_buckets": (stream_buckets, STREAM_BUCKETS),
+    "wt2_stream_sliding": (stream_sliding, STREAM_SLIDING), "wt8_stream_breaker": (stream_breaker, BREAKER),
 }

@@ -129,7 +129,17 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.links(table(spark, sf_dir, "pages"), "page_id", "url", "html", allowed=r"(?i)/", most=5)
+    return html.links(table(spark, sf_dir, "pages"), "page_id", "url", "html", allowed=r"(?i)/")
+
+
+_DECODED = "href"
+for _name, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&euro;", "€"), ("&amp;", "&")):
+    _DECODED = f"replace({_DECODED}, '{_name}', '{_sign}')"
+#: The pages' links are paths from the root.
+LINKS = rf"""WITH l AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) AS origin, regexp_extract_all(html, '(?i)href=["'']([^"''#]+)["'']', 1) AS l FROM pages),
+h AS (SELECT page_id, origin, unnest(l) AS href, unnest(range(len(l))) AS at_ FROM l), x AS (SELECT page_id, at_, regexp_replace(origin || {_DECODED}, '/+$', '') AS link FROM h),
+f AS (SELECT page_id, link, min(at_) AS at_ FROM x WHERE NOT regexp_matches(link, '(?i)\.(jpg|jpeg|png|gif|svg|css|js|pdf|zip|ico|webp)(\?|$)') GROUP BY 1, 2),
+r AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY at_, link)::INT AS rank FROM f) SELECT page_id, rank, link FROM r WHERE rank <= 50"""
 
 
 def extracted_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +180,6 @@ SEARCH = """WITH c AS (SELECT upper(n_name[1]) || lower(n_name[2:]) AS city FROM
 
 QUERIES = {
     "c4_language_profiles": (language_profiles, LANGUAGE), "c1_categories": (categories, CATEGORIES), "c6_persona_tags": (persona_tags, PERSONA), "x1_text_keys": (text_keys, TEXT_KEYS),
-    "d1_parsed_dates": (parsed_dates, PARSED), "c8_validated": (validated, VALIDATED), "x12_url_keys": (url_keys, URL_KEYS), "s12_page_facts": (page_facts, None), "s22_page_links": (page_links, None),
+    "d1_parsed_dates": (parsed_dates, PARSED), "c8_validated": (validated, VALIDATED), "x12_url_keys": (url_keys, URL_KEYS), "s12_page_facts": (page_facts, None), "s22_page_links": (page_links, LINKS),
     "s11_extracted_cards": (extracted_cards, CARDS), "s18_calendar_round_trip": (calendar_round_trip, CALENDAR), "s21_search_queries": (search_queries, SEARCH),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +17,18 @@ def get_session(master: str | None = None, app: str = "larkspan", shuffle_partit
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    fallback = tempfile.mkdtemp(prefix="larkspan-")
+    spark.conf.set("spark.checkpoint.dir", fallback)
+    return fallback
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, read lazily by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

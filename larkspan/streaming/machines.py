@@ -93,9 +93,8 @@ MACHINES = {
 }
 
 
-def _run(machine: Machine, rows: pd.DataFrame, state: tuple, keep: list[str]) -> tuple[pd.DataFrame, tuple]:
+def _run(machine: Machine, ordered: pd.DataFrame, state: tuple, keep: list[str]) -> tuple[pd.DataFrame, tuple]:
     out = []
-    ordered = rows.sort_values(["ats", "item_id"], kind="stable")
     for row in ordered.itertuples(index=False):
         state, result = machine.step(state, row)
         out.append(result)
@@ -103,9 +102,22 @@ def _run(machine: Machine, rows: pd.DataFrame, state: tuple, keep: list[str]) ->
 
 
 def replay(queue: DataFrame, name: str, key: str = "source_id") -> DataFrame:
-    """item_id, key and the machine's output for each row of a table, in order of time within the key."""
+    """item_id, key and the machine's output for each row of a table, in order of time within the key.
+
+    Rows are sorted within partitions of the key and pass in batches; only the state is held, however long a history is.
+    """
     machine = MACHINES[name]
-    return queue.groupBy(key).applyInPandas(lambda rows: _run(machine, rows, machine.start, ["item_id", key])[0], f"item_id long, {key} long, {machine.output}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, current = machine.start, None
+        for batch in batches:
+            for value, rows in batch.groupby(key, sort=False, dropna=False):
+                if current is None or value != current[0]:
+                    state, current = machine.start, (value,)
+                out, state = _run(machine, rows, state, ["item_id", key])
+                yield out
+
+    return queue.repartition(key).sortWithinPartitions(key, "ats", "item_id").mapInPandas(run, f"item_id long, {key} long, {machine.output}")
 
 
 def stream(queue: DataFrame, name: str, key: str = "source_id", idle_ms: int | None = None) -> DataFrame:
@@ -119,7 +131,7 @@ def stream(queue: DataFrame, name: str, key: str = "source_id", idle_ms: int | N
         if held.hasTimedOut:
             held.remove()
             return
-        rows = pd.concat(list(parts))
+        rows = pd.concat(list(parts)).sort_values(["ats", "item_id"], kind="stable")
         out, state = _run(machine, rows, held.get if held.exists else machine.start, ["item_id", key])
         held.update(state)
         if idle_ms:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.session import shared_dir
+
 
 def tumbling(stream: DataFrame, time: str, length: str, keys: list[str], late: str | None = None) -> DataFrame:
     """Counts by window and keys. With `late`, rows older than the newest less that much are dropped and state is bounded."""
@@ -26,10 +27,7 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="larkspan-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
