@@ -50,6 +50,28 @@ IMAGE = r"\.(?i:jpg|jpeg|png|webp|gif)|assets\.|images/|media/|cdn\.|cloudfront"
 #: Titles and paths of pages that aren't one event's.
 GENERIC_TITLE = r"(?i)^(?:concerten in|events? in|agenda|calendar|upcoming events|archive of|membership|lidmaatschap|visit |rondleiding|festivals en specials|ticket to the|indiestad$|super-sonic jazz$|tones$|kosmos$|sugar mountain)"
 LISTING_PATH = r"^/?(?:en|nl)?/?(?:agenda|events|calendar|programma|concerten)?/?$|/b/netherlands|/metro-areas/|/concerten-en-tickets/?$|/live-music-calendar/?$"
+OTHER_PATH = r"/subbrand/|/archive/?$|/membership/?$|/lidmaatschap|/visit/?$|/themes?/|/themas?/|/rondleidingen|/serie/|/abonnement|/pers/?$|/zakelijk"
+EVENT_PATH = "event|ticket|concert|show|workshop"
+#: Parts of a URL that is no event's image but counts visits, and of domains that aren't looked at.
+TRACKING = "facebook.com/tr|doubleclick|googletagmanager|google-analytics|analytics|pixel|adsystem"
+NOISE_DOMAINS = "tripadvisor.|facebook.com|booking.com|instagram.com|twitter.com|x.com|linkedin.com|pinterest.com|youtube.com|tiktok.com|yelp.|groupon.|expedia.|hotels.|airbnb.|marktplaats.nl|wikipedia.org"
+#: Signs of an event in a URL or its snippet.
+EVENT_SIGNS = "event|agenda|calendar|programma|tickets|concerten|festival|theater|uitagenda|evenement|activiteit"
+EVENT_DATE = r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{1,2}\s+(jan|feb|mrt|apr|mei|jun|jul|aug|sep|okt|nov|dec)"
+#: Tags of each category.
+TAGS = {
+    "MUSIC": "concert live jazz band dj klassiek pop rock orkest koor jam-sessie recital", "SOCIAL": "networking drink meetup borrel vrijmibo speeddate ontmoeting netwerk netwerken",
+    "ACTIVE": "yoga hiking run sport fitness dansles bootcamp surfen zeilen wandeling", "CULTURE": "film art theater museum expositie kunst cabaret comedy workshop cursus poëzie lezing",
+    "FOOD": "market wine beer proeverij brunch diner lunch streekmarkt", "NIGHTLIFE": "rave techno house club party festival dj", "FAMILY": "kids family fair speeltuin kinderboerderij jeugd",
+    "CIVIC": "buurt service vrijwilliger gemeente politiek inspraak", "COMMUNITY": "buurt vrijwilliger",
+}
+#: Fixed values, in order: how a page writes a time; what stands before the hours, and what behind the minutes.
+_HALF = r"(?:\s*(am|pm))?"
+_AT = r"(\d{1,2})[.:h](\d{2})"
+PAGE_TIMES = [
+    rf"aanvang[:\s]*{_AT}{_HALF}", rf"vanaf\s+{_AT}{_HALF}", rf"{_AT}\s*uur()", rf"beginn[:\s]*{_AT}{_HALF}", rf"ab\s+{_AT}{_HALF}", rf"{_AT}\s*uhr()", rf"starts?\s*(?:at\s*)?{_AT}{_HALF}", rf"from\s+{_AT}{_HALF}",
+    rf"doors?\s*(?:open\s*)?(?:at\s*)?{_AT}{_HALF}", rf"start[:\s]*(?:om\s*)?{_AT}{_HALF}", rf"time[:\s]*{_AT}{_HALF}", rf"om\s+{_AT}{_HALF}", rf"(\d{{1,2}})[.:](\d{{2}})\s*[-–—]\s*\d{{1,2}}[.:]\d{{2}}{_HALF}", rf"{_AT}\s*(am|pm)?",
+]
 #: Part of a URL, its fetcher, what to wait for, and whether it guards against robots; in order.
 KNOWN_DOMAINS = [
     ("eventbrite.com", "playwright", ".event-card", False), ("meetup.com", "playwright", "[data-event-id]", False), ("facebook.com", "browserless", None, True), ("ra.co", "browserless", ".listing", True),
@@ -133,7 +155,56 @@ def url_path(url: Column) -> Column:
 
 
 def is_listing_page(url: Column) -> Column:
-    return url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") & url_path(url).rlike(LISTING_PATH)
+    """Whether a URL's path is a list's or another page's than an event's: by pattern, short without a date, or ending in a small number."""
+    path = url_path(url)
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    dated = path.contains("-20") | path.rlike(r"\d{2}-\d{2}-\d{2,4}")
+    short = (F.size(parts) <= 2) & ~dated & (~path.rlike(EVENT_PATH) | (F.size(parts) < 2))
+    number = F.coalesce(F.try_element_at(parts, F.lit(-1)).rlike(r"^0*\d{1,4}$"), F.lit(False))
+    return url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") & (path.rlike(LISTING_PATH) | path.rlike(OTHER_PATH) | short | number)
+
+
+def is_tracking_url(url: Column) -> Column:
+    return any_part(F.lower(url), TRACKING)
+
+
+def is_noise_domain(domain: Column) -> Column:
+    lower = F.lower(domain)
+    out = F.lit(False)
+    for part in NOISE_DOMAINS.split("|"):
+        out = out | lower.contains(part)
+    return out
+
+
+def is_event_url(url: Column, snippet: Column) -> Column:
+    both = F.concat(F.lower(url), F.lit(" "), F.lower(snippet))
+    return any_part(both, EVENT_SIGNS) | F.lower(snippet).rlike(EVENT_DATE)
+
+
+def tags_in(text: Column, category: Column) -> Column:
+    """The category's tags that the text holds, in the order of their list."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    known = F.create_map(*[x for name, tags in TAGS.items() for x in (F.lit(name), F.array(*[F.lit(t) for t in tags.split()]))])
+    return F.coalesce(F.filter(F.try_element_at(known, category), lambda t: lower.contains(t)), F.array().cast("array<string>"))
+
+
+def written_time(text: Column) -> Column:
+    """HH:MM by the first of PAGE_TIMES whose hours are possible, in 24 hours."""
+    lower = F.lower(text)
+    found = []
+    for pattern in PAGE_TIMES:
+        hours, half = F.nullif(F.regexp_extract(lower, pattern, 1), F.lit("")).cast("int"), F.regexp_extract(lower, pattern, 3)
+        hours = F.when((half == "pm") & (hours < 12), hours + 12).when((half == "am") & (hours == 12), 0).otherwise(hours)
+        found.append(F.when(hours <= 23, F.concat(F.lpad(hours.cast("string"), 2, "0"), F.lit(":"), F.regexp_extract(lower, pattern, 2))))
+    return F.coalesce(*found)
+
+
+def repaired_json(text: Column) -> Column:
+    """Valid JSON as it is; else without trailing commas, with double quotes and quoted keys, if that is valid; else null."""
+    fixed = F.regexp_replace(text, r",\s*([}\]])", "$1")
+    fixed = F.regexp_replace(F.replace(fixed, F.lit("'"), F.lit('"')), r"([{,])\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*:", '$1"$2":')
+    fixed = F.regexp_replace(fixed, r"[\x00-\x1F\x7F]", "")
+    return F.when(F.try_parse_json(text).isNotNull(), text).when(F.try_parse_json(fixed).isNotNull(), fixed)
 
 
 def curated_errors(has_data: Column, source_url: Column, title: Column, city: Column, start: Column) -> Column:

@@ -76,6 +76,18 @@ def social_five_score(time: Column, venue: Column, address: Column, end_time: Co
     return sum((F.coalesce(f, F.lit(False)).cast("int") for f in facts), F.lit(0))
 
 
+def social_five_strict(start: Column, venue: Column, street: Column, city: Column, end_time: Column, minutes: Column, language: Column, interaction: Column) -> Column:
+    """The same where a start must be HH:MM, and a place is a venue with a street or a city."""
+    facts = [
+        start.rlike(r"^\d{2}:\d{2}$"),
+        (F.coalesce(venue, F.lit("")) != "") & (F.coalesce(F.nullif(street, F.lit("")), city, F.lit("")) != ""),
+        (F.coalesce(end_time, F.lit("")) != "") | F.coalesce(minutes > 0, F.lit(False)),
+        language.isin("NL", "EN", "Mixed", "Other"),
+        interaction.isin("high", "medium", "low", "passive"),
+    ]
+    return sum((F.coalesce(f, F.lit(False)).cast("int") for f in facts), F.lit(0))
+
+
 def missing_facts(**present: Column) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in present.items()]))
 

@@ -19,6 +19,11 @@ def insert_new(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFra
     return target.unionByName(fresh, allowMissingColumns=True)
 
 
+def deleted(target: DataFrame, keys_gone: DataFrame, keys: list[str]) -> DataFrame:
+    """target without the rows of the given keys; null keys match nothing."""
+    return target.join(keys_gone.select(*keys).distinct(), keys, "left_anti")
+
+
 def changed_only(pages: DataFrame, seen: DataFrame, key: str, content: str) -> DataFrame:
     """Pages whose content's hash isn't the last one seen."""
     hashed = pages.withColumn("content_hash", F.sha2(content, 256))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.plans import curation, derived, operations, ranking, streams, texts, writes
+from larkspan.plans import curation, derived, operations, ranking, reports, streams, texts, writes
 
 #: (query, SQL or None) by name; names begin with the operators' handles.
-_ALL = {**ranking.QUERIES, **operations.QUERIES, **texts.QUERIES, **streams.QUERIES, **derived.QUERIES, **curation.QUERIES, **writes.QUERIES}
+_ALL = {**ranking.QUERIES, **operations.QUERIES, **texts.QUERIES, **streams.QUERIES, **derived.QUERIES, **curation.QUERIES, **writes.QUERIES, **reports.QUERIES}
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -12,7 +12,7 @@ from larkspan.session import table
 
 _WORDS = ["workshop koken", "Borrel met wijn", "netwerken", "KINDEREN", "straat", "gemeenteraad", "De Markt", "live muziek", "hardlopen", "sinterklaas", "singles night", "een avond", "tabletop", "bos en duinen", "samen", ""]
 _NAMES = ["Jazz Night", "ab", "", None, "Agenda", "Concerten in Zwolle", "  x ", "Visit Utrecht", "Rondleiding", "Open Stage", "Tones", "Tones of Jazz"]
-_URLS = ["https://a.example/e/1", "https://www.eventbrite.com/b/netherlands/x", "https://a.example/events/", "https://a.example/nl/agenda", "https://ra.co/x", None, "", "https://vvv.example/a", "https://songkick.example/metro-areas/3", "http://a.example", "https://m.facebook.com/e", "ftp:/x"]
+_URLS = ["https://a.example/agenda/x/jazz-night", "https://a.example/tickets/jazz", "https://a.example/e/1", "https://a.example/archive/events/77/", "https://a.example/x/y/12-05-2026", "https://a.example/serie/x/y", "https://www.eventbrite.com/b/netherlands/x", "https://a.example/events/", "https://a.example/nl/agenda", "https://ra.co/x", None, "", "https://vvv.example/a", "https://songkick.example/metro-areas/3", "http://a.example", "https://m.facebook.com/e", "ftp:/x"]
 _IMAGES = ["https://a.example/x.JPG", "https://cdn.example/logo.png", None, "", "https://cdn.example/x", "https://a.example/images/1", "https://a.example/pixel/x.gif", "https://a.example/x", "https://a.cloudfront.net/q"]
 _STARTS = ["1998-05-01", "1999-01-01T20:00:00", None, "", "soon", "2001-02-03", "1998-13-40"]
 _CITIES = ["Amsterdam", None, "Zwolle", ""]
@@ -102,7 +102,8 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
 CURATED = f"""WITH d AS (SELECT o_orderkey AS k, {dealt_sql('o_orderkey', _NAMES)} AS n, {dealt_sql('o_orderkey', _URLS, 3)} AS u, {dealt_sql('o_orderkey', _CITIES, 7)} AS city,
   coalesce({dealt_sql('o_orderkey', _STARTS, 5)}, '') AS s, {dealt_sql('o_orderkey', _IMAGES)} AS img, least(o_orderkey % 26, 24) AS len, {dealt_sql('o_orderkey', [0.25, 0.5, 0.0], 2)}::DOUBLE AS conf, {dealt_sql('o_orderkey', [0.75, 0.25], 3)}::DOUBLE AS comp FROM orders),
 p AS (SELECT *, coalesce(nullif(lower(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1)), ''), '/') AS path, NOT ({' OR '.join(f"contains(lower(coalesce(img, '')), {quoted(x)})" for x in curation.NO_IMAGE)}) AND coalesce(regexp_matches(img, {quoted(curation.IMAGE)}), false) AS image_ok FROM d),
-e AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'No data extracted' WHEN u LIKE '%://%' AND regexp_matches(path, {quoted(curation.LISTING_PATH)}) THEN 'Extracted from listing page, not event detail'
+e AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'No data extracted' WHEN u LIKE '%://%' AND (regexp_matches(path, {quoted(curation.LISTING_PATH)}) OR regexp_matches(path, {quoted(curation.OTHER_PATH)}) OR regexp_matches(path, '/0*[0-9]{{1,4}}/?$')
+    OR (len(list_filter(string_split(path, '/'), lambda x: x <> '')) <= 2 AND NOT contains(path, '-20') AND (NOT regexp_matches(path, {quoted(curation.EVENT_PATH)}) OR len(list_filter(string_split(path, '/'), lambda x: x <> '')) < 2))) THEN 'Extracted from listing page, not event detail'
   ELSE {joined(["CASE WHEN coalesce(n, '') = '' THEN 'Missing event title' END", f"CASE WHEN regexp_matches(n, {quoted(curation.GENERIC_TITLE)}) THEN 'Generic/non-event page title detected' END", "CASE WHEN coalesce(city, '') = '' THEN 'Missing city' END", "CASE WHEN s IN ('soon', '1998-13-40') THEN 'Invalid start datetime' END"])} END AS errors FROM p)
 SELECT k AS event_id, errors, {joined(["CASE WHEN s = '' THEN 'No start datetime' WHEN s = '1998-05-01' THEN 'Event is in the past' END", "CASE WHEN len < 20 THEN 'Short description (' || len || ' chars)' END", "CASE WHEN len = 0 THEN 'Empty description' END", "CASE WHEN NOT image_ok THEN 'Invalid or missing event image' END", "CASE WHEN conf = 0.25 THEN 'Low extraction confidence: 0.25' END", "CASE WHEN comp = 0.25 THEN 'Low data completeness: 0.25' END"])} AS warnings,
   errors = '' AS is_valid, image_ok FROM e"""

@@ -61,6 +61,18 @@ def diversified_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.diversified(ranked.withColumn("final_score", F.round("final_score", 9)))
 
 
+#: Each step takes the best of the page's rest; of two remembered categories the older one loses two thirds.
+DIVERSIFIED_FEED = f"""{_EV.replace("WITH", "WITH RECURSIVE", 1)},{_SCORES},
+pg AS (SELECT event_id, category, round(base * least(urgency * trending, 1.5) * penalty, 9) AS final_score FROM sb ORDER BY final_score DESC, event_id LIMIT 100),
+po AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, event_id) AS pos FROM pg),
+d AS (SELECT 0 AS place, NULL::BIGINT AS event_id, NULL::VARCHAR AS category, 0.0::DOUBLE AS final_score, 0.0::DOUBLE AS diverse_score, []::VARCHAR[] AS last, []::BIGINT[] AS taken
+UNION ALL SELECT place + 1, event_id, category, final_score, diverse, list_append(last, category)[-2:], list_append(taken, event_id) FROM (
+  SELECT *, row_number() OVER (ORDER BY diverse DESC, pos) AS rn FROM (
+    SELECT d.place, d.last, d.taken, po.*, po.final_score * CASE WHEN list_contains(d.last, po.category) THEN 1 - (len(d.last) - (list_position(d.last, po.category) - 1)) / 3.0::DOUBLE ELSE 1.0::DOUBLE END AS diverse
+    FROM d, po WHERE NOT list_contains(d.taken, po.event_id))) WHERE rn = 1)
+SELECT event_id, category, final_score, diverse_score, place FROM d WHERE place > 0"""
+
+
 def nearby_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = feed.nearby(V.events(spark, sf_dir), V.attendees(spark, sf_dir), V.LAT, V.LNG, 5.0, ["music", "family", "social"], ["anchor", "signal"])
     return found.select("event_id", "category", "event_type", "attendee_count", F.round("distance_km", 5).alias("distance_km"), geo.distance_label(F.col("distance_km")).alias("label"), geo.walking_label(F.col("distance_km")).alias("walk"))
@@ -256,7 +268,7 @@ SELECT group_id, place, slot_start, slot_end, available, is_universal FROM rk WH
 
 
 QUERIES = {
-    "k1_personalised_feed": (personalised_feed, PERSONALISED_FEED), "m_score_parts": (score_parts, SCORE_PARTS), "k2_diversified_feed": (diversified_feed, None),
+    "k1_personalised_feed": (personalised_feed, PERSONALISED_FEED), "m_score_parts": (score_parts, SCORE_PARTS), "k2_diversified_feed": (diversified_feed, DIVERSIFIED_FEED),
     "k8_nearby_events": (nearby_events, NEARBY_EVENTS), "k6_mission_events": (mission_events, MISSION_EVENTS), "k7_friends_pulse": (friends_pulse, FRIENDS_PULSE),
     "k12_event_stacks": (event_stacks, EVENT_STACKS), "k10_discovery_rails": (discovery_rails, DISCOVERY_RAILS), "k14_live_events": (live_events, LIVE_EVENTS),
     "k11_ritual_events": (ritual_events, None), "n5_ritual_streaks": (ritual_streaks, RITUAL_STREAKS), "k4_similar_vectors": (similar_vectors, SIMILAR_VECTORS),

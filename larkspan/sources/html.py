@@ -193,7 +193,7 @@ def dom(page: str) -> list[dict]:
 
 def feed(page: str) -> list[dict]:
     """RSS items, or Atom entries where there are none; entries without a title go."""
-    if not re.search(r"<(rss|feed|rdf:RDF)\b", page[:2000], re.I):
+    if not re.search(r"<(rss|feed|rdf:RDF)\b", page, re.I):
         return []
 
     def cards(tag: str, link) -> list[dict]:
