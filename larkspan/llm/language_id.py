@@ -28,18 +28,18 @@ def _letter_table() -> np.ndarray:
     return np.array([c if chr(c).isalpha() else 32 for c in range(1 << 16)], np.uint32)
 
 
-def _letters(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _letters(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     """Lower-case code points of runs of texts, other characters than letters as single blanks, and their text's number.
 
-    Yields (first text, text after the last, code points, text numbers from the first). A text longer than a chunk
-    comes in slices that overlap by the longest n-gram less one; each n-gram begins in one slice.
+    Yields (first text, text after the last, code points, text numbers from the first, begins): n-grams that begin at
+    `begins` or later belong to the next slice. A text longer than a chunk comes in slices, each of which begins with a
+    letter and has the two code points that follow it, so that slices together have exactly the n-grams of the text.
     """
-    overlap = max(ORDERS) - 1
     held: list[str] = []
     first, size = 0, 0
 
     def coded(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        points = np.frombuffer("\0".join(parts).lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        points = np.frombuffer("\0".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
         number = np.cumsum(points == 0)
         known = _letter_table()[np.minimum(points, 0xFFFF)]
         for far in np.unique(points[points > 0xFFFF]):
@@ -48,40 +48,49 @@ def _letters(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np
         same[1:] = (number[1:] == number[:-1]) & (known[1:] == 32) & (known[:-1] == 32)
         return known[~same], number[~same]
 
+    def whole(parts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+        points, number = coded(parts)
+        return points, number, len(points)
+
     for i, text in enumerate(texts):
-        text = (text or "").replace("\0", " ")
+        text = (text or "").replace("\0", " ").lower()
         if held and size + len(text) > CHUNK_CHARS:
-            yield first, i, *coded(held)
+            yield first, i, *whole(held)
             held, first, size = [], i, 0
-        while len(text) > CHUNK_CHARS:
-            yield i, i + 1, *coded([text[:CHUNK_CHARS]])
-            text = text[CHUNK_CHARS - overlap :]
-        held.append(text)
-        size += len(text)
+        begin = 0
+        while len(text) - begin > CHUNK_CHARS:
+            end = begin + CHUNK_CHARS
+            follows = next((j for j in range(end, len(text)) if text[j].isalpha()), len(text))
+            own = text[begin:end] + " " * (follows > end)
+            points, number = coded([own + text[follows : follows + max(ORDERS) - 1]])
+            yield i, i + 1, points, number, len(coded([own])[0]) if follows < len(text) else len(points)
+            begin = follows
+        held.append(text[begin:])
+        size += len(text) - begin
     if held:
-        yield first, len(texts), *coded(held)
+        yield first, len(texts), *whole(held)
 
 
-def _grams(points: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, bucket) of all n-grams, for each order; n-grams don't span texts and have a letter in them."""
+def _grams(points: np.ndarray, number: np.ndarray, begins: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) of all n-grams that begin before `begins`, for each order; n-grams don't span texts and have a letter in them."""
     letter = points != 32
     for order in ORDERS:
-        n = len(points) - order + 1
+        n = min(len(points) - order + 1, begins)
         if n <= 0:
             continue
         hashed, any_letter = np.zeros(n, np.uint64), np.zeros(n, bool)
         for k in range(order):
             hashed = (hashed + points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             any_letter |= letter[k : k + n]
-        inside = any_letter & (number[:n] == number[order - 1 :])
+        inside = any_letter & (number[:n] == number[order - 1 : order - 1 + n])
         yield number[:n][inside], (hashed[inside] >> np.uint64(49)).astype(np.int32)
 
 
 def text_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text's n-grams and how often each occurs."""
     total = np.zeros(BUCKETS, np.int64)
-    for _, _, points, number in _letters([text]):
-        for _, bucket in _grams(points, number):
+    for _, _, *slice_ in _letters([text]):
+        for _, bucket in _grams(*slice_):
             total += np.bincount(bucket, minlength=BUCKETS)
     found = np.flatnonzero(total)
     return found.astype(np.int32), total[found].astype(np.float32)
@@ -101,8 +110,8 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin in range(0, len(texts), 64):
             part = texts[begin : begin + 64]
             seen = np.zeros((len(part), BUCKETS), bool)
-            for first, _, points, number in _letters(part):
-                for text, bucket in _grams(points, number):
+            for first, _, *slice_ in _letters(part):
+                for text, bucket in _grams(*slice_):
                     seen[text + first, bucket] = True
             found += seen.sum(axis=0)
     some = np.flatnonzero(found)
@@ -125,8 +134,8 @@ class Model:
     def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all texts, and which of them have a letter."""
         sums, grams = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        for first, after, points, number in _letters(texts):
-            for text, bucket in _grams(points, number):
+        for first, _, *slice_ in _letters(texts):
+            for text, bucket in _grams(*slice_):
                 if not len(text):
                     continue
                 begins = np.concatenate(([0], np.flatnonzero(np.diff(text)) + 1))
@@ -222,7 +231,7 @@ def fit(docs: DataFrame, learnable: Column, max_docs: int = 2000, id_col: str =
     sample = rows.withColumn("share", share).filter(F.col("share") < limit).select("lang", "text", "share").mapInArrow(_features, "lang string, buckets binary, counts binary, share long")
     training, held = [], []
     # In an order of their own, so that reruns learn alike; the limit holds where one id repeats without end.
-    for row in sorted(sample.limit(2 * max_docs).collect(), key=lambda r: (r["share"], r["lang"], bytes(r["buckets"]))):
+    for row in sample.orderBy("share", "lang", "buckets", "counts").limit(2 * max_docs).collect():
         at, n = np.frombuffer(row["buckets"], np.int32), np.frombuffer(row["counts"], np.float32)
         if len(at):
             (held if row["share"] % 5 == 0 else training).append((at, SCALE * n / n.sum() * idf[at], languages.index(row["lang"])))
