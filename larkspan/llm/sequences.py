@@ -14,9 +14,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.llm.common import materialise, sifted
+
 NO_DOC = np.uint32(0xFFFFFFFF)
 #: Text that a task reads before it sends its entries on.
 CHUNK_BYTES = 32_000_000
@@ -112,6 +114,27 @@ def uid(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))))
 
 
+def once(named: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (uid, ...) with one of those that share a uid, and how often the shared ones occur (uid, n); None without any.
+
+    So rows that repeat without end don't meet in one group of texts; `again` gives each of them its result.
+    """
+    repeated = materialise(named.groupBy("uid").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1"))
+    if repeated.isEmpty():
+        return named, None
+    clear, doubtful = sifted(named, F.xxhash64("uid"), repeated.select(F.xxhash64("uid").alias("key")), "key")
+    place = F.row_number().over(Window.partitionBy("uid").orderBy("uid"))
+    return clear.unionByName(doubtful.withColumn("_place", place).filter("_place = 1").drop("_place")), repeated
+
+
+def again(results: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """Results by uid, as often as their rows occur, without the uid."""
+    if repeated is not None:
+        times = F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1))))
+        results = results.join(repeated, "uid", "left").select(*results.columns, times.alias("_time")).drop("_time")
+    return results.drop("uid")
+
+
 def text_groups(name: Column, groups: int) -> Column:
     return F.pmod(F.conv(F.substring(F.hex(name), 1, 8), 16, 10).cast("long"), F.lit(groups)).cast("int")
 

@@ -111,8 +111,8 @@ def _removal(texts: pa.Table, found: pa.Table, window: int, with_text: bool) ->
         line = b" ".join(kept)
         for c, v in zip(rows, (len(own), len(own) - len(kept), hashlib.sha256(line).hexdigest(), line.decode() if with_text else None), strict=True):
             rows[c].append(v)
-    columns = [texts.column("id"), pa.array(rows["n_words"], pa.int64()), pa.array(rows["n_removed"], pa.int64()), pa.array(rows["kept_sha256"], pa.string())]
-    return pa.Table.from_arrays(columns + [pa.array(rows["kept"], pa.string())] * with_text, ["id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
+    columns = [texts.column("uid"), texts.column("id"), pa.array(rows["n_words"], pa.int64()), pa.array(rows["n_removed"], pa.int64()), pa.array(rows["kept_sha256"], pa.string())]
+    return pa.Table.from_arrays(columns + [pa.array(rows["kept"], pa.string())] * with_text, ["uid", "id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -132,11 +132,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         raise ValueError("the window is too short for the cover")
     parts, groups = S.plan_sizes(docs, text_col)
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("uid", S.uid("id", "text"))
+    named, repeated = S.once(named)
     texts = named.select(S.text_groups(F.col("uid"), groups).alias("texts"), "uid", "id", "text")
     seen = named.select("uid", "text").mapInArrow(_anchors(window, parts), S.ENTRIES_DDL)
     anchors = seen.groupBy("part").applyInArrow(lambda part: S.count_part(part, groups), S.FOUND_DDL)
     spread = texts.groupBy("texts").cogroup(anchors.groupBy("texts")).applyInArrow(lambda group, found: _windows(group, found, window, parts), S.ENTRIES_DDL)
     repeats = spread.groupBy("part").applyInArrow(lambda part: S.count_part(part, groups), S.FOUND_DDL)
     kind = texts.schema["id"].dataType.simpleString()
-    out = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return texts.groupBy("texts").cogroup(repeats.groupBy("texts")).applyInArrow(lambda group, found: _removal(group, found, window, with_text), out).withColumnRenamed("id", id_col)
+    out = f"uid binary, id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    results = texts.groupBy("texts").cogroup(repeats.groupBy("texts")).applyInArrow(lambda group, found: _removal(group, found, window, with_text), out)
+    return S.again(results, repeated).withColumnRenamed("id", id_col)

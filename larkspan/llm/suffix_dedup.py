@@ -3,7 +3,8 @@
 Suffixes are bucketed by their first q bytes, and buckets are refined by the bucket identifiers of later offsets: a
 suffix's bucket at depth 2q is the pair of its bucket and that of the suffix q further on. An identifier is a hash of
 the q bytes, equal wherever they are, so refining needs no renumbering between tasks, and buckets of one suffix are
-final and dropped at once. With q half the window, one refinement reaches the window's depth.
+final and dropped at once. With q half the window (the two halves of an odd one share a byte), one refinement reaches
+the window's depth, so it stands for the whole recursion.
 
 All suffixes of all texts can't be sorted within a few times the input's size; so the first buckets hold only the
 suffixes that each window chooses for itself, the one with the least identifier among its own. Equal windows choose
@@ -66,7 +67,7 @@ class Buckets:
     """Bucket identifiers of a slice's q-byte prefixes, and the runs of windows that choose the same suffix."""
 
     def __init__(self, data: np.ndarray, edges: np.ndarray, window: int, families: tuple[int, ...] = (5, 6)):
-        self.window, self.q = window, window // 2
+        self.window, self.q = window, -(-window // 2)
         self.rolls = [S.rolling(f) for f in families]
         self.prefixes = [r.prefix(r.of_byte[data]) for r in self.rolls]
         self.edges, self.n = edges, len(data)
@@ -141,7 +142,7 @@ def _refined(texts: pa.Table, found: pa.Table, window: int, parts: int) -> pa.Ta
         wanted, which = np.unique(at[open_], return_inverse=True)
         data, offsets = S.utf8(texts.column("text").combine_chunks().take(pa.array(some[wanted])))
         run_pos, run_n, run_kind = pos[open_], n[open_], kind[open_]
-        q = window // 2
+        q = -(-window // 2)
         for piece, of, place, edges in _slices(data, offsets, window):
             buckets = Buckets(piece, edges, window)
             starts, docs, flags = [], [], []
@@ -177,8 +178,8 @@ def _removal(texts: pa.Table, found: pa.Table, window: int, with_text: bool) ->
         raw = kept.tobytes()
         for c, v in zip(rows, (len(own), len(own) - len(kept), spans, hashlib.sha256(raw).hexdigest(), raw if with_text else None), strict=True):
             rows[c].append(v)
-    columns = [texts.column("id"), *[pa.array(rows[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")], pa.array(rows["kept_sha256"], pa.string())]
-    return pa.Table.from_arrays(columns + [pa.array(rows["kept"], pa.binary())] * with_text, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+    columns = [texts.column("uid"), texts.column("id"), *[pa.array(rows[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")], pa.array(rows["kept_sha256"], pa.string())]
+    return pa.Table.from_arrays(columns + [pa.array(rows["kept"], pa.binary())] * with_text, ["uid", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
 
 def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -195,11 +196,13 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     """
     parts, groups = S.plan_sizes(docs, text_col)
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("uid", S.uid("id", "text"))
+    named, repeated = S.once(named)
     texts = named.select(S.text_groups(F.col("uid"), groups).alias("texts"), "uid", "id", "text")
     seen = named.select("uid", "text").mapInArrow(_chosen(window, parts), S.ENTRIES_DDL)
     runs = seen.groupBy("part").applyInArrow(lambda part: S.count_part(part, groups, refine=True), S.FOUND_DDL)
     alive = texts.groupBy("texts").cogroup(runs.groupBy("texts")).applyInArrow(lambda group, found: _refined(group, found, window, parts), S.ENTRIES_DDL)
     repeats = alive.groupBy("part").applyInArrow(lambda part: S.count_part(part, groups), S.FOUND_DDL)
     kind = texts.schema["id"].dataType.simpleString()
-    out = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.groupBy("texts").cogroup(repeats.groupBy("texts")).applyInArrow(lambda group, found: _removal(group, found, window, with_text), out).withColumnRenamed("id", id_col)
+    out = f"uid binary, id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    results = texts.groupBy("texts").cogroup(repeats.groupBy("texts")).applyInArrow(lambda group, found: _removal(group, found, window, with_text), out)
+    return S.again(results, repeated).withColumnRenamed("id", id_col)

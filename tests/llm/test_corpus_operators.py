@@ -83,7 +83,7 @@ def test_cover_meets_every_pair_of_offsets():
             assert any((i + d) % 21 in substring_dedup.COVER and (j + d) % 21 in substring_dedup.COVER for d in range(21))
 
 
-def test_suffix_dedup(docs, rows, empty, monkeypatch):
+def test_suffix_dedup(docs, rows, empty):
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, 100).collect())
     want = collections.Counter()
     for (i, *_), (s, gone) in zip(rows, brute_windows(rows, 100, lambda t: (t or "").encode()), strict=True):
@@ -93,6 +93,19 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch):
     assert suffix_dedup.remove_repeats(empty, 400).count() == 0
 
 
+def test_suffix_dedup_of_odd_windows_and_texts_of_several_slices(spark):
+    """A text of more than a slice shares a passage across its slices' border; strings that differ in their middle byte stay."""
+    rng = np.random.default_rng(5)
+    far = rng.integers(97, 123, suffix_dedup.SLICE + 5000).astype(np.uint8).tobytes().decode()
+    shared = far[suffix_dedup.SLICE - 60 : suffix_dedup.SLICE + 60]
+    head, tail = far[:25], far[26:51]
+    rows = [(1, far), (2, "A" * 30 + shared + "B" * 30), (3, "C" + head + "#" + tail + "D"), (4, far[100:150]), (5, far[100:151])]
+    rows += [(None, "said again " * 20)] * 50 + [(None, None)] * 30
+    got = collections.Counter((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 51).collect())
+    said = len("said again " * 20)
+    assert got == {(1, 120 + 51, 2): 1, (2, 120, 1): 1, (3, 0, 0): 1, (4, 0, 0): 1, (5, 51, 1): 1, (None, said, 1): 50, (None, 0, 0): 30}
+
+
 def test_suffix_runs_span_texts_in_slices(monkeypatch):
     """Runs of a long text in slices hold each window start once."""
     monkeypatch.setattr(suffix_dedup, "SLICE", 700)
@@ -238,6 +251,20 @@ def test_sharding_is_even(spark):
     assert max(sizes.values()) < 1.03 * sum(sizes.values()) / 8
 
 
+def test_sharding_keeps_groups_of_up_to_half_a_shard(spark):
+    """The law `bytes` forces larger groups apart, as one of them outweighs what a cut may err; up to there they stay whole."""
+    filler = [(i, f"{i:04d}" + "x" * 95, "en", f"s{i % 9}") for i in range(4000)]
+    goal = (sum(len(t) + 1 for _, t, *_ in filler) + 400 * 100) / 8
+    for copies, apart in ((int(goal / 2 / 100) - 30, False), (int(goal / 2 / 100) + 60, True)):
+        rows = filler[: 4000 - copies] + [(10_000 + i, "y" * 99, "en", f"s{i % 9}") for i in range(copies)]
+        placed = sharding.shard(documents(spark, rows), shards=8).collect()
+        where = {r.shard for r in placed if r.doc_id >= 10_000}
+        sizes = collections.Counter()
+        for r in placed:
+            sizes[r.shard] += r.size
+        assert (len(where) > 1) == apart and max(sizes.values()) < 1.03 * sum(sizes.values()) / 8
+
+
 def test_packing(docs, rows, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -277,6 +304,22 @@ def test_word_ids_equal_whole_text_ids():
         assert list(ids[bounds[i] : bounds[i + 1]]) == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_word_ids_of_mixed_texts_equal_the_tokenizers():
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from larkspan.llm import wordpiece
+
+    rng = random.Random(12)
+    pools = ["abcdefghijklmnop", "ABCÀÉÎßñÿŁőİı", "0123456789½²", " \t\n\u00a0\u2003", "'’.,;:!?()[]{}<|>_-#@$%", "日本語ΣςщЖ", "🙂🏳️\u200d\u0301"]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    path = public.path("word_bpe_49k.json")
+    ids, bounds = wordpiece.load(path).texts(pa.array(texts, pa.string()))
+    for i, found in enumerate(Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == found.ids, texts[i]
+
+
 def test_first_fit_decreasing_matches_a_plain_scan():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 101, 300)
@@ -298,8 +341,8 @@ def test_topk_search(spark):
     rows += [(50, None, "x"), (None, rows[5][1], "x"), (101, [float("nan")] * 24, "x"), (102, [None] * 24, "x"), (150, [1.0, 2.0], "x"), (103, [], "x"), (20, rows[20][1], "x")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     usable = [(i, np.floor(256 * np.array(v))) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)]
-    for block in (2048, 7):
-        got = topk_search.search(frame, "vec_id % 50 = 0", 5, query_block=block, vector_block=4 * block).collect()
+    for block in (1 << 24, 3000):
+        got = topk_search.search(frame, "vec_id % 50 = 0", 5, block_bytes=block).collect()
         by_query = collections.defaultdict(list)
         for r in got:
             by_query[r.query_id].append((r.rank, r.vec_id, r.score))
@@ -321,6 +364,27 @@ def test_segment_bound_holds():
     assert np.allclose(last, exact)
 
 
+def test_bounds_decide_pairs_before_their_score():
+    """Vectors of few smooth shapes: most pairs are dropped by their bounds, and the result is that of all scores."""
+    rng = np.random.default_rng(7)
+    shapes = np.repeat(rng.normal(size=(12, 8)), 8, axis=1)
+    vectors = np.floor(256 * (shapes[rng.integers(0, 12, 6000)] + 0.05 * rng.normal(size=(6000, 64))))
+    queries, rows = vectors[::50], np.arange(6000)
+    q, v, s, scored = topk_search.block_top_k(queries, rows[::50], vectors, rows, rows, 5)
+    full = (queries @ vectors.T).astype(np.int64)
+    full[np.arange(120), rows[::50]] = -(2**60)
+    for i in range(120):
+        best = np.lexsort((rows, -full[i]))[:5]
+        assert v[q == i].tolist() == best.tolist() and s[q == i].tolist() == full[i, best].tolist()
+    assert scored < 0.3 * full.size
+
+
+def test_scores_beyond_a_float_are_compared_whole():
+    vectors = np.array([[2.0**30, 1.0], [2.0**30, 2.0], [2.0**30, 3.0], [2.0**30, 0.0]])
+    q, v, s, _ = topk_search.block_top_k(np.array([[2.0**30, 1.0]]), np.array([-1]), vectors, np.arange(4), np.arange(4), 2)
+    assert v.tolist() == [2, 1] and s.tolist() == [2**60 + 3, 2**60 + 2]
+
+
 LANGUAGES = {"en": "the quick brown fox and all of their friends went over the hills with the sheep", "fr": "le renard brun et toutes les amies sont allés sur les collines avec les moutons", "de": "der schnelle braune fuchs und alle seine freunde gingen mit den schafen über die hügel"}
 
 
@@ -345,11 +409,14 @@ def test_language_id(spark, empty):
 
 
 def test_slices_keep_every_gram(monkeypatch):
-    text = "".join(random.Random(9).choices("abc dé", k=5000))
-    whole = language_id.text_counts(text)
-    monkeypatch.setattr(language_id, "CHUNK_CHARS", 257)
-    sliced = language_id.text_counts(text)
-    assert abs(whole[1].sum() - sliced[1].sum()) <= 0.02 * whole[1].sum()
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abc dé", k=5000)), "ab" + "1 " * 900 + "ÇΣ x" * 200 + "  ", "İstanbul" * 100 + "9" * 700, "🙂a" * 400, "." * 2000]
+    whole = [language_id.text_counts(t) for t in texts]
+    for size in (257, 100, 64):
+        monkeypatch.setattr(language_id, "CHUNK_CHARS", size)
+        for text, (buckets, counts) in zip(texts, whole, strict=True):
+            sliced = language_id.text_counts(text)
+            assert sliced[0].tolist() == buckets.tolist() and sliced[1].tolist() == counts.tolist()
 
 
 def test_secret_scan(spark, empty):

@@ -39,3 +39,15 @@ def test_pipeline(spark, sf_dir):
             assert docs.columns == source.columns
     assert source.count() >= counts[0] >= counts[1] >= counts[2] > 0
     assert corpus_pipeline.run(spark, sf_dir).count() == counts[-1]
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3 + [(1, None, "en", "a", 0), (2, "", None, None, 0)]])
+def test_pipeline_of_nothing_and_of_nulls(spark, rows):
+    """Texts without a letter leave at the first stage; the later ones take an empty table."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialise(stage(spark, docs, ""))
+        assert docs.count() == 0 and (name == "packing" or docs.columns == columns)
