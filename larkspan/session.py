@@ -29,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+#: Tables whose rows hold whole texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's Parquet tables, read lazily by Spark's own reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's Parquet tables, read lazily by Spark's own reader.
+
+    A row group can't be split; where a table of texts comes in so few that they leave three quarters of the cores
+    without work, its rows are dealt out. Tables of many files are read as they are.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and cores >= 4 * rows.rdd.getNumPartitions():
+        return rows.repartition(cores)
+    return rows
