@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspan.session import shared_dir
+
 #: A word of the contracts: a run of characters that are neither a blank nor one of the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,22 +22,6 @@ BROADCAST_ROWS = 50_000
 SALTS = 64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    fallback = tempfile.mkdtemp(prefix="larkspan-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -51,7 +36,7 @@ def materialise(df: DataFrame) -> DataFrame:
     What reads the result recomputes nothing of df, not even when executors are lost. The files go when Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/larkspan-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/larkspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
