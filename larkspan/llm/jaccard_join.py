@@ -255,17 +255,24 @@ def _linked(docs: DataFrame, threshold: float, size: int, tolerance: float, id_c
     signed = source.select("name", "id", "text").mapInArrow(_signatures(size), f"name binary, id {kind}, signature binary, bands array<long>, bytes long")
     signed = materialise(signed.withColumn("salt", salt(F.coalesce(F.col("id").cast("string"), F.lit("")), salts=salts)))
     least_id = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")))
-    classes = signed.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), least_id["id"].alias("text_id"), F.collect_set("salt").alias("salts"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
-    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()))
+    repeated = materialise(signed.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("name").alias("key")))
+    alone, several = sifted(signed, F.xxhash64("name"), repeated, "key")
+    several = several.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), least_id["id"].alias("text_id"), F.collect_set("salt").alias("salts"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
+    alone = alone.select("name", F.lit(1).cast("long").alias("copies"), F.col("id").alias("text_id"), F.array("salt").alias("salts"), "signature", "bands", "bytes")
+    classes = materialise(several.unionByName(alone).withColumn("cid", F.monotonically_increasing_id()))
 
     bands = classes.select("cid", F.posexplode("bands").alias("band", "key"), salt("cid", salts=salts).alias("salt"))
+    shared = materialise(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    _, bands = sifted(bands, F.col("key"), shared, "key")
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("first"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"), F.collect_set("salt").alias("salts")).filter("n > 1")
     alike = Window.partitionBy("n", "first", "x", "y")  # a bucket in each band at most
     buckets = buckets.withColumn("bucket", F.min("key").over(alike)).select(F.col("key").alias("held"), "bucket", "n", F.explode("salts").alias("held_salt"))
     met = bands.join(buckets, (F.col("key") == F.col("held")) & (F.col("salt") == F.col("held_salt")))
     members = met.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("of"), F.collect_set(F.struct(F.col("bucket").alias("key"), "n")).alias("in"))
     members = members.select("cid", F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda i: F.coalesce(F.try_element_at("of", i), F.lit(0).cast("long"))).alias("buckets"), "in")
-    members = materialise(members.join(classes.drop("bands", "salts"), "cid"))
+    members = materialise(members)
+    _, near = sifted(classes.drop("bands", "salts"), F.xxhash64("cid"), members.select(F.xxhash64("cid").alias("key")), "key")
+    members = materialise(members.join(near, "cid"))
     least = least_matches(threshold, tolerance)
     dealt = members.select("*", F.explode("in").alias("one")).select("*", "one.key", "one.n").drop("in", "one")
     rows = members.select(F.explode("in.n").alias("n")).agg(F.sum(F.ceil(F.col("n") / BLOCK))).first()[0] or 0
