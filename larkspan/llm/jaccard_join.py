@@ -22,7 +22,7 @@ HASHES, ROWS = 128, 4
 #: Hashes that are compared before the posterior is looked at again.
 STEPS = (16, 32, 64, 128)
 #: Members of a bucket that meet; larger ones are dealt to pairs of blocks. Members of buckets in a task, about.
-BLOCK, MEMBERS = 256, 20_000
+BLOCK, MEMBERS = 128, 20_000
 #: Texts that are hashed at once, and pairs that are compared at once.
 TEXTS, PAIRS = 64, 50_000
 
