@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import any_part, collapse, first_match
+from larkspan.functions.text import any_part, first_match
 
 #: Parts of a text that force a category before all others.
 FAMILY_FIRST = "basisschool|speeltuin|kinderopvang|zwemles|peutergroep|kinderfeest|jeugdclub|schoolfeest|kinderactiviteit|gezinsdag|voorlezen|kinderboerderij|kinderdisco|sinterklaas|kinderen|ouder-kind"
@@ -323,10 +323,6 @@ def page_description(html: Column) -> Column:
     return first_match(html, *[rf"""(?i)<meta[^>]+{at}["'][^>]+content=["']([^"']+)["']""" for at in ("""property=["']og:description""", """name=["']description""")])
 
 
-def cheap_title(title: Column) -> Column:
-    return collapse(title)
-
-
 #: Where a page says where it is, in order: source, confidence, patterns of the latitude and of the longitude.
 _NUMBER = r"\s*(-?\d+(?:\.\d+)?)"
 _MAPS = [rf"(?i)google\.com/maps[^\"'\s]*?{mark}{_NUMBER.removeprefix(chr(92) + 's*')}{between}{_NUMBER.removeprefix(chr(92) + 's*')}" for mark, between in (("@", ","), ("!3d", "!4d"), ("center=", ","), ("ll=", ","), ("q=", ","))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ _DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 
 
 def _hours_column():
-    maps = [F.from_json(F.lit(__import__("json").dumps(h)), "map<string, array<string>>") for h in _HOURS]
+    maps = [F.from_json(F.lit(json.dumps(h)), "map<string, array<string>>") for h in _HOURS]
     return F.element_at(F.array(*maps), (F.col("k") % len(_HOURS) + 1).cast("int"))
 
 
