@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,38 @@ BROADCAST_ROWS = 50_000
 SALTS = 64
 
 
+def _give_back() -> None:
+    """Freed memory back to the system: workers stay for the next stage, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a partition's batches, which gives its memory back when the partition ends."""
+
+    def batches_of(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return batches_of
+
+
+def lean_group(run: Callable) -> Callable:
+    """The function of a group, which gives its memory back after each."""
+
+    def group_of(part):
+        try:
+            return run(part)
+        finally:
+            _give_back()
+
+    return group_of
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm import sequences as S
-from larkspan.llm.common import SALTS, as_rows, materialise, salt, sifted, unpacked
+from larkspan.llm.common import SALTS, as_rows, lean, lean_group, materialise, salt, sifted, unpacked
 from larkspan.llm.graphs import components, spanning
 from larkspan.llm.substring_dedup import words
 
@@ -252,7 +252,7 @@ def _linked(docs: DataFrame, threshold: float, size: int, tolerance: float, id_c
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     source = docs.select(F.col(id_col).alias("id"), _name(F.col(text_col)).alias("name"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    signed = source.select("name", "id", "text").mapInArrow(_signatures(size), f"name binary, id {kind}, signature binary, bands array<long>, bytes long")
+    signed = source.select("name", "id", "text").mapInArrow(lean(_signatures(size)), f"name binary, id {kind}, signature binary, bands array<long>, bytes long")
     signed = materialise(signed.withColumn("salt", salt(F.coalesce(F.col("id").cast("string"), F.lit("")), salts=salts)))
     least_id = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")))
     repeated = materialise(signed.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("name").alias("key")))
@@ -277,7 +277,7 @@ def _linked(docs: DataFrame, threshold: float, size: int, tolerance: float, id_c
     dealt = members.select("*", F.explode("in").alias("one")).select("*", "one.key", "one.n").drop("in", "one")
     rows = members.select(F.explode("in.n").alias("n")).agg(F.sum(F.ceil(F.col("n") / BLOCK))).first()[0] or 0
     dealt = _in_blocks(dealt, "key", "n").withColumn("task", F.pmod("task_key", F.lit(max(4 * tasks, rows // MEMBERS))).cast("int")).drop("task_key", "n")
-    found = materialise(dealt.groupBy("task").applyInArrow(lambda part: _meeting(part, least), dealt.drop("task").schema))
+    found = materialise(dealt.groupBy("task").applyInArrow(lean_group(lambda part: _meeting(part, least)), dealt.drop("task").schema))
 
     keys = materialise(found.select(F.xxhash64("name", "text_id").alias("key")).distinct())
     _, texts = sifted(source, F.xxhash64("name", "id"), keys, "key")
@@ -287,7 +287,7 @@ def _linked(docs: DataFrame, threshold: float, size: int, tolerance: float, id_c
     met = found.join(texts, F.col("name").eqNullSafe(F.col("own")) & F.col("text_id").eqNullSafe(F.col("id"))).drop("name", "own", "id", "text_id", "bytes")
     met = met.withColumn("task", F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(4 * tasks, size_of // S.GROUP_BYTES))).cast("int"))
     exact = Fraction(str(threshold))
-    verified = materialise(met.groupBy("task").applyInArrow(lambda part: _verified(part, size, exact, least), "cid long, other long, documents long, texts long"))
+    verified = materialise(met.groupBy("task").applyInArrow(lean_group(lambda part: _verified(part, size, exact, least)), "cid long, other long, documents long, texts long"))
     linked = components(verified.filter("other >= 0").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     counts = verified.filter("other < 0").groupBy("cid").agg(F.sum("documents").alias("documents"), F.sum("texts").alias("texts"))
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.llm.common import lean
+
 #: Hashed n-gram space and the lengths of the n-grams.
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -219,7 +221,7 @@ def fit(docs: DataFrame, learnable: Column, max_docs: int = 2000, id_col: str =
     if not sizes:
         return None
     languages = sorted(sizes)
-    counts = rows.select("text").mapInArrow(_presence, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(lean(_presence), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequency = np.zeros(BUCKETS)
     for row in counts.collect():  # at most BUCKETS rows
         frequency[row["bucket"]] = row["n"]
@@ -228,7 +230,7 @@ def fit(docs: DataFrame, learnable: Column, max_docs: int = 2000, id_col: str =
     quota = max(1, max_docs // len(languages))
     share = F.pmod(F.xxhash64("id", F.lit(21)), F.lit(1_000_000))
     limit = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1_000_000, -(-1_000_000 * quota // sizes[lang])))]), F.col("lang"))
-    sample = rows.withColumn("share", share).filter(F.col("share") < limit).select("lang", "text", "share").mapInArrow(_features, "lang string, buckets binary, counts binary, share long")
+    sample = rows.withColumn("share", share).filter(F.col("share") < limit).select("lang", "text", "share").mapInArrow(lean(_features), "lang string, buckets binary, counts binary, share long")
     training, held = [], []
     # In an order of their own, so that reruns learn alike; the limit holds where one id repeats without end.
     for row in sample.orderBy("share", "lang", "buckets", "counts").limit(2 * max_docs).collect():
@@ -266,7 +268,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = fit(docs, fold(id_col) != 0, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(_predict(model), f"_id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(lean(_predict(model)), f"_id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("_id", id_col)
 
 
 def _accept(model: Model | None, least: float, text_at: int):
@@ -282,4 +284,4 @@ def _accept(model: Model | None, least: float, text_at: int):
 def accepted(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The rows of docs whose text has a language with a score of `least_score` or more; all columns unchanged."""
     model = fit(docs, fold(id_col) != 0, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
-    return docs.mapInArrow(_accept(model, least_score, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(lean(_accept(model, least_score, docs.columns.index(text_col))), docs.schema)

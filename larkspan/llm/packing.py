@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import wordpiece
+from larkspan.llm.common import lean, lean_group
 
 #: Bytes of text that a worker turns into ids at once; a longer text is taken alone.
 CHUNK_BYTES = 2_000_000
@@ -111,7 +112,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = Non
     names = ["doc_id", "group", "start", "length", "ids_crc32", "doc_tokens"]
     schema = pa.schema([(c, pa.int64()) for c in names] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
     ddl = ", ".join(f"{c} long" for c in names) + (", ids array<int>" if with_ids else "")
-    pieces = dealt.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids, schema), ddl)
+    pieces = dealt.mapInArrow(lean(_pieces(tokenizer_path, capacity, end_id, with_ids, schema)), ddl)
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         # In a fixed order, so that a task that runs again packs alike.
@@ -120,4 +121,4 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = Non
         return group.assign(sequence_id=group["group"].astype("int64") * 2**32 + bins, offset=offsets).drop(columns="group")
 
     out = ddl.replace("group long, ", "") + ", sequence_id long, offset long"
-    return pieces.groupBy("group").applyInPandas(fill, out).withColumnRenamed("doc_id", id_col)
+    return pieces.groupBy("group").applyInPandas(lean_group(fill), out).withColumnRenamed("doc_id", id_col)
