@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import fuzzy_confidence, normal_title, similarity
+from larkspan.storage import written
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -26,23 +27,115 @@ def natural_duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
     return out.withColumn("duplicate_of", F.coalesce("_by_url", "_by_title")).drop("_by_url", "_by_title", "_title", "_day")
 
 
-def fuzzy_duplicates(new: DataFrame, known: DataFrame, hours: int = 2, least: float = 0.8) -> DataFrame:
+def _fewest(size: Column, edits: float) -> Column:
+    """How many edits a title may differ by from one of at most `size` characters."""
+    return F.floor(size * F.lit(edits) + F.lit(1e-9)).cast("int")
+
+
+def _segment(size: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of part i when `size` characters are cut into `parts` as equal as can be."""
+    base, long = F.floor(size / parts).cast("int"), F.pmod(size, parts)
+    return i * base + F.greatest(F.lit(0), i - (parts - long)), base + (i >= parts - long).cast("int")
+
+
+def title_segments(title: Column, edits: float) -> Column:
+    """Keys of a known title: the title cut into d + 1 parts, for each number of edits d that a partner's length allows."""
+    size = F.length(title)
+    longest = F.floor(size / F.lit(1 - edits) + F.lit(1e-9)).cast("int")
+
+    def cut(d: Column) -> Column:
+        def key(i: Column) -> Column:
+            start, length = _segment(size, d + 1, i)
+            return F.xxhash64(size, d, i, F.substring(title, start + 1, length))
+
+        return F.transform(F.sequence(F.lit(0), d), key)
+
+    return F.flatten(F.transform(F.sequence(_fewest(size, edits), _fewest(longest, edits)), cut))
+
+
+def title_probes(title: Column, edits: float) -> Column:
+    """Keys under which a known title within the allowed edits must stand: one of its d + 1 parts is left unchanged.
+
+    For each length that a partner may have, part i can have moved by i places at most, or, seen from the end, by what
+    is left of the edits; only substrings that begin there are keys.
+    """
+    own = F.length(title)
+    shortest, longest = F.ceil(own * F.lit(1 - edits) - F.lit(1e-9)).cast("int"), F.floor(own / F.lit(1 - edits) + F.lit(1e-9)).cast("int")
+
+    def of_length(size: Column) -> Column:
+        d, shift = _fewest(F.greatest(own, size), edits), own - size
+
+        def of_part(i: Column) -> Column:
+            start, length = _segment(size, d + 1, i)
+            low = F.greatest(F.lit(0), start - i, start + shift - (d - i))
+            high = F.least(own - length, start + i, start + shift + (d - i))
+            places = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda at: F.xxhash64(size, d, i, F.substring(title, at + 1, length)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), d), of_part))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(shortest, longest), of_length)))
+
+
+#: Titles of a key up to which each new title meets them all. A segment index looks up about as many parts for a title.
+FEW_TITLES = 400
+#: Keys that are broadcast at most.
+BROADCAST_KEYS = 50_000
+
+
+def similar_titles(new: DataFrame, known: DataFrame, keys: list[str], least: float, few: int = FEW_TITLES) -> DataFrame:
+    """(keys, new_title, known_title, alike) for titles of new and known (keys, title; distinct) of similarity `least` or more.
+
+    Where a key has up to `few` known titles, new ones meet them all. Beyond that titles meet by a segment index, only
+    where they share an unchanged part, so a hot key brings no more together than looks alike. Both ways find the same
+    pairs; each pair is verified once by its edit distance.
+    """
+    edits = 1 - least
+    hot = written(known.groupBy(*keys).count().filter(F.col("count") > few).drop("count"), "hot")
+    n = hot.limit(BROADCAST_KEYS + 1).count()
+    hot = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+    part = lambda rows, how: rows.join(hot, keys, how) if n else rows
+    held, asked = (rows.withColumnRenamed("title", name) for rows, name in ((known, "known_title"), (new, "new_title")))
+    short, long = F.least(F.length("new_title"), F.length("known_title")), F.greatest(F.length("new_title"), F.length("known_title"))
+    met = part(asked, "left_anti").join(part(held, "left_anti"), keys).filter(short >= F.lit(least - 1e-9) * long)
+    if n:
+        parts = part(held, "left_semi").withColumn("_key", F.explode(F.array_distinct(title_segments(F.col("known_title"), edits))))
+        probes = part(asked, "left_semi").withColumn("_key", F.explode(title_probes(F.col("new_title"), edits)))
+        met = met.unionByName(probes.join(parts, [*keys, "_key"]).select(*met.columns).distinct())
+    return met.withColumn("alike", similarity(F.col("new_title"), F.col("known_title"))).filter(F.col("alike") >= least - 1e-9)
+
+
+def fuzzy_duplicates(new: DataFrame, known: DataFrame, hours: int = 2, least: float = 0.8, few: int = FEW_TITLES) -> DataFrame:
     """The best known event for each new one whose time is within `hours` and whose confidence reaches `least`.
 
-    An interval join as an equi-join: time is cut into buckets as long as the window is wide, each new event looks into
-    its own and the neighbours, and the range is tested on what meets. Titles of known events are compared with the
-    edit distance, a venue that is alike adds a tenth.
+    Confidence is the titles' similarity by edit distance, and a tenth more where the venues are alike. Events that
+    agree in title, venue and time are one key, with the two least ids, so copies don't multiply. An interval join as an
+    equi-join: time is cut into buckets as long as the window is wide, and within a bucket different titles meet, in a
+    full one by the segment index. What similar titles bring together is tested for time and venue. A key keeps its two best, as one of
+    them may be the event itself; ties go to the smaller id. Events without a title have no duplicates.
     """
     width = 2 * hours * 3600
-    at = F.unix_seconds("event_date")
-    left = new.select(F.col("event_id").alias("new_id"), normal_title(F.col("title")).alias("new_title"), normal_title(F.col("venue_name")).alias("new_venue"), at.alias("new_at"), F.explode(F.array(*[F.floor(at / width) + d for d in (-1, 0, 1)])).alias("bucket"))
-    right = known.select(F.col("event_id").alias("known_id"), normal_title(F.col("title")).alias("known_title"), normal_title(F.col("venue_name")).alias("known_venue"), at.alias("known_at"), F.floor(at / width).alias("bucket"))
-    met = left.join(right, "bucket").filter((F.abs(F.col("new_at") - F.col("known_at")) <= hours * 3600) & (F.col("new_id") != F.col("known_id")))
-    # Lengths bound the similarity, so most pairs need no edit distance.
-    short, long = F.least(F.length("new_title"), F.length("known_title")), F.greatest(F.length("new_title"), F.length("known_title"))
-    near = met.filter(short >= (least - 0.1) * long)
-    sure = near.withColumn("confidence", fuzzy_confidence(similarity(F.col("new_title"), F.col("known_title")), similarity(F.col("new_venue"), F.col("known_venue")))).filter(F.col("confidence") >= least)
-    return first_of(sure, ["new_id"], [F.desc("confidence"), F.asc("known_id")]).select("new_id", "known_id", "confidence")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.select("event_id", normal_title(F.col("title")).alias("title"), normal_title(F.col("venue_name")).alias("venue"), F.unix_seconds("event_date").alias("at")).filter("title IS NOT NULL AND at IS NOT NULL")
+
+    key, own = ["title", "venue", "at"], keyed(new)
+    asked = own.select(*key).distinct()
+    asked = asked.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("at") - hours * 3600) / width), F.floor((F.col("at") + hours * 3600) / width))))
+    least_two = F.row_number().over(Window.partitionBy(*key).orderBy("event_id"))
+    held = keyed(known).distinct().withColumn("_n", least_two).filter("_n <= 2").groupBy(*key).agg(F.collect_list("event_id").alias("ids"))
+    held = held.withColumn("bucket", F.floor(F.col("at") / width))
+    titles = similar_titles(asked.select("bucket", "title").distinct(), held.select("bucket", "title").distinct(), ["bucket"], least - 0.1, few)
+    left = asked.select("bucket", F.col("title").alias("new_title"), F.col("venue").alias("new_venue"), F.col("at").alias("new_at")).join(titles, ["bucket", "new_title"])
+    right = held.select("bucket", F.col("title").alias("known_title"), F.col("venue").alias("known_venue"), F.col("at").alias("known_at"), "ids")
+    met = left.join(right, ["bucket", "known_title"]).filter(F.abs(F.col("new_at") - F.col("known_at")) <= hours * 3600)
+    sure = met.withColumn("confidence", fuzzy_confidence(F.col("alike"), similarity(F.col("new_venue"), F.col("known_venue")))).filter(F.col("confidence") >= least)
+    each = sure.select("new_title", "new_venue", "new_at", "confidence", F.explode("ids").alias("known_id"))
+    place = F.row_number().over(Window.partitionBy("new_title", "new_venue", "new_at").orderBy(F.desc("confidence"), F.asc("known_id")))
+    best = each.withColumn("_n", place).filter("_n <= 2").groupBy("new_title", "new_venue", "new_at").agg(F.array_sort(F.collect_list(F.struct("_n", "known_id", "confidence"))).alias("best"))
+    found = own.join(best, (own["title"] == best["new_title"]) & own["venue"].eqNullSafe(best["new_venue"]) & (own["at"] == best["new_at"]))
+    other = F.filter("best", lambda b: b["known_id"] != F.col("event_id"))
+    return found.select(F.col("event_id").alias("new_id"), F.get(other, F.lit(0)).alias("b")).filter("b IS NOT NULL").select("new_id", "b.known_id", "b.confidence")
 
 
 def overlaps(events: DataFrame, key: str, hours: float = 2.0) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,34 +65,6 @@ def client_rank(events: DataFrame, now: Column, lat: float | None, lng: float |
     return ranked.withColumn("final_score", final)
 
 
-def diversified(ranked: DataFrame, top: int = 100, memory: int = 2) -> DataFrame:
-    """Greedy re-ranking of the best `top` rows: each pick remembers the last two categories and marks them down.
-
-    Each pick depends on those before it, so the page is one group of at most `top` rows; it is cut before it meets.
-    A remembered category at place i of n is multiplied by 1 - (n - i) / (memory + 1): the older one loses more.
-    """
-
-    def pick(page: pd.DataFrame) -> pd.DataFrame:
-        rest = page.sort_values(["final_score", "event_id"], ascending=[False, True]).to_dict("records")
-        last: list = []
-        out = []
-        while rest:
-            best, best_score = 0, float("-inf")
-            for i, row in enumerate(rest):
-                score = row["final_score"]
-                if row["category"] in last:
-                    score *= 1 - (len(last) - last.index(row["category"])) / (memory + 1)
-                if score > best_score:
-                    best, best_score = i, score
-            row = rest.pop(best)
-            out.append({"event_id": row["event_id"], "category": row["category"], "final_score": row["final_score"], "diverse_score": best_score, "place": len(out) + 1})
-            last = [*last, row["category"]][-memory:]
-        return pd.DataFrame(out, columns=["event_id", "category", "final_score", "diverse_score", "place"])
-
-    page = ranked.select("event_id", "category", "final_score").orderBy(F.desc("final_score"), "event_id").limit(top)
-    return page.groupBy().applyInPandas(pick, "event_id long, category string, final_score double, diverse_score double, place int")
-
-
 def nearby(events: DataFrame, attendees: DataFrame, lat: float, lng: float, radius_km: float, categories: list[str] | None = None, types: list[str] | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """Events within a radius by distance, then date; optional filters are left out of the plan where not given."""
     near = events.filter(geo.within_box(F.col("lat"), F.col("lng"), lat, lng, radius_km))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import geo
-from larkspan.operators import feed, groups, rituals, search
+from larkspan.operators import diversity, feed, groups, rituals, search, vector_index
 from larkspan.plans import views as V
 from larkspan.session import table
+from larkspan.storage import new_path
 
 _SCORES = f"""
 sc AS (
@@ -58,19 +59,22 @@ SELECT event_id, round(category_score, 6) AS category_score, round(time_score, 6
 
 def diversified_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = feed.client_rank(feed.with_attendees(V.events(spark, sf_dir), V.attendees(spark, sf_dir)), V.now(), V.LAT, V.LNG, 25.0, V.PREFERRED)
-    return feed.diversified(ranked.withColumn("final_score", F.round("final_score", 9)))
+    return diversity.diversified(ranked.withColumn("final_score", F.round("final_score", 9)))
 
 
-#: Each step takes the best of the page's rest; of two remembered categories the older one loses two thirds.
+#: Each step takes the best of the categories' heads; of two remembered categories the older one loses two thirds.
 DIVERSIFIED_FEED = f"""{_EV.replace("WITH", "WITH RECURSIVE", 1)},{_SCORES},
-pg AS (SELECT event_id, category, round(base * least(urgency * trending, 1.5) * penalty, 9) AS final_score FROM sb ORDER BY final_score DESC, event_id LIMIT 100),
+pg AS (SELECT event_id, category, round(base * least(urgency * trending, 1.5) * penalty, 9) AS final_score FROM sb),
 po AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, event_id) AS pos FROM pg),
-d AS (SELECT 0 AS place, NULL::BIGINT AS event_id, NULL::VARCHAR AS category, 0.0::DOUBLE AS final_score, 0.0::DOUBLE AS diverse_score, []::VARCHAR[] AS last, []::BIGINT[] AS taken
-UNION ALL SELECT place + 1, event_id, category, final_score, diverse, list_append(last, category)[-2:], list_append(taken, event_id) FROM (
+qu AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY category) AS queue, row_number() OVER (PARTITION BY category ORDER BY pos) AS n FROM po),
+d AS (SELECT 0 AS place, NULL::BIGINT AS event_id, NULL::VARCHAR AS category, 0.0::DOUBLE AS final_score, 0.0::DOUBLE AS diverse_score, []::VARCHAR[] AS last,
+        (SELECT list(1::BIGINT ORDER BY queue) FROM (SELECT DISTINCT queue FROM qu)) AS reached
+UNION ALL SELECT place + 1, event_id, category, final_score, diverse, list_append(last, category)[-2:], [r + (i = queue)::BIGINT FOR r, i IN reached] FROM (
   SELECT *, row_number() OVER (ORDER BY diverse DESC, pos) AS rn FROM (
-    SELECT d.place, d.last, d.taken, po.*, po.final_score * CASE WHEN list_contains(d.last, po.category) THEN 1 - (len(d.last) - (list_position(d.last, po.category) - 1)) / 3.0::DOUBLE ELSE 1.0::DOUBLE END AS diverse
-    FROM d, po WHERE NOT list_contains(d.taken, po.event_id))) WHERE rn = 1)
-SELECT event_id, category, final_score, diverse_score, place FROM d WHERE place > 0"""
+    SELECT h.place, h.last, h.reached, qu.*, qu.final_score * CASE WHEN list_contains(h.last, qu.category) THEN 1 - (len(h.last) - (list_position(h.last, qu.category) - 1)) / 3.0::DOUBLE ELSE 1.0::DOUBLE END AS diverse
+    FROM (SELECT place, last, reached, unnest(reached) AS head, unnest(range(1, len(reached) + 1)) AS number FROM d) h JOIN qu ON qu.queue = h.number AND qu.n = h.head)) WHERE rn = 1)
+SELECT event_id, category, final_score, diverse_score, place::BIGINT AS place FROM d WHERE place > 0"""
 
 
 def nearby_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +194,34 @@ s AS (SELECT e.vec_id AS event_id, 'c' || e.label::VARCHAR AS category, {_SIM} A
 SELECT event_id, category, round(similarity, 6) AS similarity FROM s WHERE similarity > 0.1 ORDER BY similarity DESC, event_id LIMIT 10"""
 
 
+def _index(spark: SparkSession, sf_dir: str) -> vector_index.Index:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("event_id"), "embedding", F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"))
+    return vector_index.build(e, new_path(spark, "index"))
+
+
+def indexed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    found = vector_index.match(index, search.vector_of(index.vectors, 3), threshold=0.1, limit=10, category="c1")
+    return found.select("event_id", "category", F.round("similarity", 6).alias("similarity"))
+
+
+def indexed_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_index.find_similar(_index(spark, sf_dir), 0, threshold=0.2, limit=10).select("event_id", F.round("similarity", 6).alias("similarity"))
+
+
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th vector against all: the probes are tuned on other queries, and what they find is held against the exact answer."""
+    index = _index(spark, sf_dir)
+    queries = index.vectors.select(F.col("event_id").alias("query_id"), "embedding")
+    asked = queries.filter("query_id % 20 = 0")
+    probes = vector_index.tuned_probes(index, queries.filter("query_id % 20 = 1"))
+    found = vector_index.recall(vector_index.search_many(index, asked, probes=probes), vector_index.search_many(index, asked))
+    return found.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
+INDEX_RECALL = """SELECT count(*) AS queries, 10 * count(*) AS neighbours, TRUE AS enough FROM embeddings WHERE vec_id % 20 = 0"""
+
+
 def vibe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("event_id"), "embedding")
     placed = e.join(V.events(spark, sf_dir).select("event_id", "lat", "lng"), "event_id")
@@ -273,5 +305,6 @@ QUERIES = {
     "k12_event_stacks": (event_stacks, EVENT_STACKS), "k10_discovery_rails": (discovery_rails, DISCOVERY_RAILS), "k14_live_events": (live_events, LIVE_EVENTS),
     "k11_ritual_events": (ritual_events, None), "n5_ritual_streaks": (ritual_streaks, RITUAL_STREAKS), "k4_similar_vectors": (similar_vectors, SIMILAR_VECTORS),
     "k3_matched_vectors": (matched_vectors, MATCHED_VECTORS), "k5_vibe_search": (vibe_search, VIBE_SEARCH), "a26_group_centroids": (group_centroids, GROUP_CENTROIDS),
+    "k3_indexed_vectors": (indexed_vectors, MATCHED_VECTORS), "k4_indexed_similar": (indexed_similar, SIMILAR_VECTORS), "v1_index_recall": (index_recall, INDEX_RECALL),
     "g5_group_hubs": (group_hubs, GROUP_HUBS), "g6_common_slots": (common_slots, COMMON_SLOTS),
 }

@@ -6,14 +6,14 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from larkspan.operators import changes, components, dedup, feed, groups, rituals
+from larkspan.operators import changes, components, dedup, diversity, groups, rituals
 from larkspan.sources import html
 from larkspan.streaming import machines
 
 
 def test_diversity_follows_the_greedy_rule(spark):
     rows = [(i, c, s) for i, (c, s) in enumerate([("a", 1.0), ("a", 0.9), ("b", 0.5), ("a", 0.8), ("c", 0.1)])]
-    got = feed.diversified(spark.createDataFrame(rows, "event_id long, category string, final_score double")).orderBy("place").collect()
+    got = diversity.diversified(spark.createDataFrame(rows, "event_id long, category string, final_score double")).orderBy("place").collect()
     assert [r.event_id for r in got] == [0, 1, 2, 3, 4]
     assert [round(r.diverse_score, 4) for r in got] == [1.0, 0.6, 0.5, 0.2667, 0.1]
 
