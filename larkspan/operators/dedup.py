@@ -119,12 +119,12 @@ def fuzzy_duplicates(new: DataFrame, known: DataFrame, hours: int = 2, least: fl
     def keyed(rows: DataFrame) -> DataFrame:
         return rows.select("event_id", normal_title(F.col("title")).alias("title"), normal_title(F.col("venue_name")).alias("venue"), F.unix_seconds("event_date").alias("at")).filter("title IS NOT NULL AND at IS NOT NULL")
 
-    key, own = ["title", "venue", "at"], keyed(new)
+    key, own = ["title", "venue", "at"], written(keyed(new), "new")
     asked = own.select(*key).distinct()
     asked = asked.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("at") - hours * 3600) / width), F.floor((F.col("at") + hours * 3600) / width))))
-    least_two = F.row_number().over(Window.partitionBy(*key).orderBy("event_id"))
-    held = keyed(known).distinct().withColumn("_n", least_two).filter("_n <= 2").groupBy(*key).agg(F.collect_list("event_id").alias("ids"))
-    held = held.withColumn("bucket", F.floor(F.col("at") / width))
+    least_two = F.dense_rank().over(Window.partitionBy(*key).orderBy("event_id"))
+    held = keyed(known).withColumn("_n", least_two).filter("_n <= 2").groupBy(*key).agg(F.collect_set("event_id").alias("ids"))
+    held = written(held.withColumn("bucket", F.floor(F.col("at") / width)), "known")
     titles = similar_titles(asked.select("bucket", "title").distinct(), held.select("bucket", "title").distinct(), ["bucket"], least - 0.1, few)
     left = asked.select("bucket", F.col("title").alias("new_title"), F.col("venue").alias("new_venue"), F.col("at").alias("new_at")).join(titles, ["bucket", "new_title"])
     right = held.select("bucket", F.col("title").alias("known_title"), F.col("venue").alias("known_venue"), F.col("at").alias("known_at"), "ids")

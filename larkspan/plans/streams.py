@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.plans import views as V
-from larkspan.streaming import machines, windows
+from larkspan.session import table
+from larkspan.streaming import machines, state, windows
 
 
 def _replayed(name: str):
@@ -37,7 +38,58 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The breaker over the stream's keyed state; equal to its replay over the table."""
     source = windows.table_stream(spark, f"{sf_dir}/events.parquet")
     rows = source.select(F.col("event_id").alias("item_id"), F.col("user_id").alias("source_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ats"), (F.col("event_type") == "error").alias("failed"))
-    return windows.run_to_end(machines.stream(rows, "breaker"), "append")
+    return windows.run_to_end(state.stream_machine(rows, machines.MACHINES["breaker"]), "append")
+
+
+def _streamed(name: str):
+    """The machine over the table's files as a stream; equal to its replay over the table."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source = windows.table_stream(spark, f"{sf_dir}/events.parquet")
+        return windows.run_to_end(state.stream_machine(V.queue_of(source), machines.MACHINES[name]), "append")
+
+    return query
+
+
+def _cache_actions(rows: DataFrame) -> DataFrame:
+    """The stream of events as a cache's actions: each user's first sign-up makes the entry, all other events look it up."""
+    at = F.col("ts").cast("timestamp")
+    return rows.select(F.col("user_id").alias("key"), F.unix_seconds(at).alias("ats"), F.when(F.col("event_type") == "signup", "put").otherwise("hit").alias("kind"), at.alias("at"))
+
+
+def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key's entry as the stream leaves it: the row that was shown last, alive or expired."""
+    shown = windows.run_to_end(state.cached(_cache_actions(windows.table_stream(spark, f"{sf_dir}/events.parquet")), days=3), "append")
+    return shown.groupBy("key", "created_at").agg(F.max_by(F.struct("hit_count", "last_hit_at", "expires_at"), F.struct("hit_count", ~F.col("alive"))).alias("e")).select("key", "created_at", "e.*")
+
+
+STREAM_CACHE = """WITH a AS (SELECT user_id AS key, epoch_us(ts) // 1000000 AS ats, event_type = 'signup' AS put FROM events),
+c AS (SELECT key, min(ats) AS created_at FROM a WHERE put GROUP BY key)
+SELECT key, created_at, (1 + count(a.ats))::BIGINT AS hit_count, max(a.ats) AS last_hit_at, created_at + 3 * 86400 AS expires_at
+FROM c LEFT JOIN a USING (key) WHERE NOT coalesce(a.put, false) AND (a.ats IS NULL OR (a.ats >= created_at AND a.ats < created_at + 3 * 86400)) GROUP BY key, created_at
+UNION ALL SELECT key, created_at, 1, NULL, created_at + 3 * 86400 FROM c
+WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.key = c.key AND NOT a.put AND a.ats >= created_at AND a.ats < created_at + 3 * 86400)"""
+
+
+def _changes(rows: DataFrame) -> DataFrame:
+    """The stream of events as a change feed: a user's status is the kind of the last event."""
+    status = F.when(F.col("event_type") == "signup", "awaiting_enrichment").otherwise(F.col("event_type"))
+    return rows.select(F.col("user_id").alias("item_id"), F.col("event_id").alias("change_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ats"), status.alias("status"))
+
+
+def stream_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = windows.run_to_end(state.entered(_changes(windows.table_stream(spark, f"{sf_dir}/events.parquet"))), "append")
+    return found.select("item_id", "change_id", state.push_body(found, ["item_id", "status"]).alias("body"))
+
+
+def table_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = state.entered(_changes(table(spark, sf_dir, "events")))
+    return found.select("item_id", "change_id", state.push_body(found, ["item_id", "status"]).alias("body"))
+
+
+PUSHES = """WITH c AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS before FROM events)
+SELECT user_id AS item_id, event_id AS change_id, '{"type":"INSERT","table":"raw_event_staging","schema":"public","record":{"item_id":' || user_id || ',"status":"awaiting_enrichment"},"old_record":null}' AS body
+FROM c WHERE event_type = 'signup' AND before IS DISTINCT FROM 'signup'"""
 
 
 def _stepped(state: str, step: str, output: str) -> str:
@@ -83,4 +135,6 @@ QUERIES = {
     "wt1_rate_windows": (_replayed("rate_window"), RATE_WINDOWS), "wt8_circuit_breaker": (_replayed("breaker"), BREAKER), "wt11_fetcher_escalation": (_replayed("escalation"), ESCALATION),
     "wt12_source_health": (_replayed("health"), SOURCE_HEALTH), "wt7_source_failures": (_replayed("failures"), FAILURES), "wt3_stream_buckets": (stream_buckets, STREAM_BUCKETS),
     "wt2_stream_sliding": (stream_sliding, STREAM_SLIDING), "wt8_stream_breaker": (stream_breaker, BREAKER),
+    "wt1_stream_rate_windows": (_streamed("rate_window"), RATE_WINDOWS), "wt11_stream_escalation": (_streamed("escalation"), ESCALATION), "wt12_stream_health": (_streamed("health"), SOURCE_HEALTH),
+    "wt14_stream_cache": (stream_cache, STREAM_CACHE), "wt15_stream_pushes": (stream_pushes, PUSHES), "wt15_entered": (table_pushes, PUSHES),
 }

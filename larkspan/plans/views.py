@@ -95,7 +95,10 @@ RELATIONS = "re AS (SELECT 1 AS follower_id, s_suppkey AS following_id, CASE WHE
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as items of a work queue: five sources' worth of users, stages from types."""
-    e = table(spark, sf_dir, "events")
+    return queue_of(table(spark, sf_dir, "events"))
+
+
+def queue_of(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     stage = F.when(F.col("event_type") == "view", "discovered").when(F.col("event_type") == "click", "fetching").when(F.col("event_type") == "signup", "extracting").when(F.col("event_type") == "purchase", "indexed").otherwise("failed")
     return e.select(F.col("event_id").alias("item_id"), F.col("user_id").alias("source_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ats"), stage.alias("stage"), (F.col("event_type") == "error").alias("failed"), F.col("value"), k.alias("k"), F.concat(F.lit("strategy-"), (F.col("event_id") % 4).cast("string")).alias("strategy"))

@@ -5,12 +5,15 @@ A machine is a step (state, row) -> (state, output) of plain values; Spark parti
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+
+from larkspan.storage import written
 
 
 @dataclass(frozen=True)
@@ -21,6 +24,9 @@ class Machine:
     start: tuple
     output: str
     step: Callable[[tuple, object], tuple[tuple, tuple]]
+    #: When a state moves on without a row (seconds, or None), and how. Replays take the same step with the next row.
+    due: Callable[[tuple], int | None] = lambda state: None
+    expire: Callable[[tuple], tuple[tuple, tuple]] | None = None
 
     def output_names(self) -> list[str]:
         return [part.split()[0] for part in self.output.split(", ")]
@@ -53,6 +59,16 @@ def _breaker(state: tuple, row) -> tuple[tuple, tuple]:
     return (name, failures, opens, until), (name, failures, opens)
 
 
+def _cooling(state: tuple) -> int | None:
+    return state[3] if state[0] == "OPEN" else None
+
+
+def _cooled(state: tuple) -> tuple[tuple, tuple]:
+    """An open breaker whose time is over lets the next request try."""
+    after = ("HALF_OPEN", *state[1:])
+    return after, after[:3]
+
+
 def _escalation(state: tuple, row) -> tuple[tuple, tuple]:
     """Three pages in a row without events move a source to the next fetcher, as long as there is one."""
     level, empty = state
@@ -86,14 +102,14 @@ EMPTY_BELOW = 60.0
 
 MACHINES = {
     "rate_window": Machine("start long, used long", (None, 0), "window_start long, allowed boolean, wait_ms long", _rate_window),
-    "breaker": Machine("name string, failures long, opens long, until long", ("CLOSED", 0, 0, 0), "breaker string, failures long, opens long", _breaker),
+    "breaker": Machine("name string, failures long, opens long, until long", ("CLOSED", 0, 0, 0), "breaker string, failures long, opens long", _breaker, _cooling, _cooled),
     "escalation": Machine("level long, empty long", (0, 0), "fetcher string, empty_pages long", _escalation),
     "health": Machine("health long, enabled boolean", (70, True), "health long, enabled boolean", _health),
     "failures": Machine("run long, quarantined boolean, hundredths long", (0, False, 100), "failures_in_a_row long, quarantined boolean, reliability_hundredths long", _failures),
 }
 
 
-def _run(machine: Machine, ordered: pd.DataFrame, state: tuple, keep: list[str]) -> tuple[pd.DataFrame, tuple]:
+def run_machine(machine: Machine, ordered: pd.DataFrame, state: tuple, keep: list[str]) -> tuple[pd.DataFrame, tuple]:
     out = []
     for row in ordered.itertuples(index=False):
         state, result = machine.step(state, row)
@@ -101,42 +117,58 @@ def _run(machine: Machine, ordered: pd.DataFrame, state: tuple, keep: list[str])
     return pd.concat([ordered[keep].reset_index(drop=True), pd.DataFrame(out, columns=machine.output_names())], axis=1), state
 
 
-def replay(queue: DataFrame, name: str, key: str = "source_id") -> DataFrame:
-    """item_id, key and the machine's output for each row of a table, in order of time within the key.
+def _parts(rows: pd.DataFrame) -> list[tuple[str | None, pd.DataFrame]]:
+    """A block's rows by key, keys and rows in order; the null key is None."""
+    return [(None if pd.isna(k) else k, part) for k, part in rows.sort_values("_at").groupby("_key", sort=False, dropna=False)]
 
-    Rows are sorted within partitions of the key and pass in batches; only the state is held, however long a history is.
-    """
-    machine = MACHINES[name]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, current = machine.start, None
-        for batch in batches:
-            for value, rows in batch.groupby(key, sort=False, dropna=False):
-                if current is None or value != current[0]:
-                    state, current = machine.start, (value,)
-                out, state = _run(machine, rows, state, ["item_id", key])
-                yield out
-
-    return queue.repartition(key).sortWithinPartitions(key, "ats", "item_id").mapInPandas(run, f"item_id long, {key} long, {machine.output}")
 
+def replay(queue: DataFrame, name: str, key: str = "source_id", block_rows: int = 500_000, blocks: int | None = None) -> DataFrame:
+    """item_id, key and the machine's output for each row of a table, in order of time within the key.
 
-def stream(queue: DataFrame, name: str, key: str = "source_id", idle_ms: int | None = None) -> DataFrame:
-    """The same over a streaming DataFrame: state is kept by key between batches; idle keys are forgotten after idle_ms.
-
-    Within a batch rows are taken in order of time; a row that comes in a later batch than younger ones is taken then.
+    The table is range-partitioned by key and time into blocks of about `block_rows` rows, so a source with a third of
+    all rows is spread over many. A block of one key needs the state that the block before it ends in. All blocks run
+    from the first state at once; those that turn out to begin in another state run again, until no end changes. Most
+    histories forget how they began (a success closes a breaker, an idle hour ends a rate window, health meets its
+    bounds), so few blocks run twice; the result is exact in any case. The driver holds one state a block. Last, each
+    block gives its rows, from the state in which it begins.
     """
     machine = MACHINES[name]
-
-    def step(keys: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values(["ats", "item_id"], kind="stable")
-        out, state = _run(machine, rows, held.get if held.exists else machine.start, ["item_id", key])
-        held.update(state)
-        if idle_ms:
-            held.setTimeoutDuration(idle_ms)
-        yield out
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return queue.groupBy(key).applyInPandasWithState(step, f"item_id long, {key} long, {machine.output}", machine.state, "append", timeout)
+    count = blocks or max(1, -(-queue.count() // block_rows))
+    kind = queue.schema[key].dataType.simpleString()
+    sorted_rows = queue.repartitionByRange(count, key, "ats", "item_id").sortWithinPartitions(key, "ats", "item_id")
+    placed = written(sorted_rows.withColumns({"_block": F.spark_partition_id(), "_at": F.monotonically_increasing_id(), "_key": F.col(key).cast("string")}).drop(key), "blocks")
+    begins: dict[int, tuple] = {}
+    ends: dict[int, dict] = {}
+
+    def ending(begins: dict[int, tuple]):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            block = int(rows["_block"].iloc[0])
+            keys = _parts(rows)
+            state = begins.get(block, machine.start) if len(keys) == 1 else machine.start
+            for row in keys[-1][1].itertuples(index=False):
+                state, _ = machine.step(state, row)
+            return pd.DataFrame([(block, keys[0][0], keys[-1][0], len(keys) == 1, json.dumps(state))], columns=["block", "first", "last", "one", "state"])
+
+        return run
+
+    again: list[int] | None = None
+    while again is None or again:
+        rows = placed if again is None else placed.filter(F.col("_block").isin(again))
+        found = rows.groupBy("_block").applyInPandas(ending(begins), "block int, first string, last string, one boolean, state string").collect()
+        ends |= {r["block"]: r.asDict() for r in found}
+        order, after = sorted(ends), {}
+        for before, block in zip(order[:-1], order[1:], strict=True):
+            if ends[before]["last"] == ends[block]["first"]:
+                after[block] = tuple(json.loads(ends[before]["state"]))
+        again = [b for b in order if ends[b]["one"] and after.get(b, machine.start) != begins.get(b, machine.start)]
+        begins = after
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        block, out = int(rows["_block"].iloc[0]), []
+        for n, (_, part) in enumerate(_parts(rows)):
+            state = begins.get(block, machine.start) if n == 0 else machine.start
+            out.append(run_machine(machine, part, state, ["item_id", "_key"])[0])
+        return pd.concat(out)
+
+    shown = placed.groupBy("_block").applyInPandas(run, f"item_id long, _key string, {machine.output}")
+    return shown.select("item_id", F.col("_key").cast(kind).alias(key), *machine.output_names())
