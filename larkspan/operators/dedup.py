@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,15 +142,57 @@ def fuzzy_duplicates(new: DataFrame, known: DataFrame, hours: int = 2, least: fl
     return found.select(F.col("event_id").alias("new_id"), F.get(other, F.lit(0)).alias("b")).filter("b IS NOT NULL").select("new_id", "b.known_id", "b.confidence")
 
 
-def overlaps(events: DataFrame, key: str, hours: float = 2.0) -> DataFrame:
-    """All pairs (a < b) of a key's events that overlap; an event without an end lasts `hours`. Joined by days that they touch."""
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, a, b) from rows sorted by part, key and start: each of a part's own rows meets the intervals still open."""
+    at, still, kind = None, [], None
+    keys, firsts, seconds = [], [], []
+
+    def send() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64())], names=["key", "a", "b"])
+        for column in (keys, firsts, seconds):
+            column.clear()
+        return out
+
+    for batch in batches:
+        kind = batch.schema.field("key").type
+        for part, key, start, end, event, own in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "s", "e", "event_id", "own")), strict=True):
+            if (part, key) != at:
+                at, still = (part, key), []
+            while still and still[0][0] <= start:
+                heapq.heappop(still)
+            if own:
+                met = [other for _, begun, other in still if begun < end and other != event]
+                keys += [key] * len(met)
+                firsts += [min(event, other) for other in met]
+                seconds += [max(event, other) for other in met]
+            if end > start:
+                heapq.heappush(still, (end, start, event))
+            if len(keys) >= 50_000:
+                yield send()
+    if keys:
+        yield send()
+
+
+def overlaps(events: DataFrame, key: str, hours: float = 2.0, parts: int | None = None) -> DataFrame:
+    """All pairs (a < b) of a key's events that overlap; an event without an end lasts `hours`.
+
+    A sweep over the starts, range-partitioned by key and start: an event is in the part of its start, and in each
+    later one that it reaches into, where it is open from the beginning. There each start meets what is open. An event
+    of ten years costs a row for each part it spans; a key with a third of all events is spread over many parts, and
+    memory holds the open events of one key at a time. Events without key or start have no overlaps.
+    """
+    spark = events.sparkSession
     end = F.coalesce(F.col("end"), F.col("start") + int(hours * 3600))
-    timed = events.select(key, "event_id", F.col("start").alias("s"), end.alias("e"))
-    days = timed.withColumn("day", F.explode(F.sequence(F.floor(F.col("s") / 86400), F.floor(F.col("e") / 86400))))
-    a = days.select(key, "day", F.col("event_id").alias("a"), F.col("s").alias("s1"), F.col("e").alias("e1"))
-    b = days.select(key, "day", F.col("event_id").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    first_day = F.floor(F.greatest("s1", "s2") / 86400) == F.col("day")
-    return a.join(b, [key, "day"]).filter((F.col("a") < F.col("b")) & (F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")) & first_day).select(key, "a", "b")
+    timed = events.filter(F.col(key).isNotNull() & F.col("start").isNotNull()).select(F.col(key).alias("key"), "event_id", F.col("start").alias("s"), end.alias("e"))
+    kind = timed.schema["key"].dataType.simpleString()
+    count = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(timed.repartitionByRange(count, "key", "s").withColumn("part", F.spark_partition_id()), "starts")
+    firsts = placed.groupBy("part").agg(F.min(F.struct("key", "s")).alias("first")).collect()  # a row for each part
+    bounds = F.broadcast(spark.createDataFrame([(r["part"], *r["first"]) for r in firsts], f"later int, first_key {kind}, first_s bigint"))
+    reached = (F.col("first_key") == F.col("key")) & (F.col("later") > F.col("part")) & (F.col("first_s") < F.col("e"))
+    carried = placed.join(bounds, reached).select("key", "event_id", "s", "e", F.col("later").alias("part"), F.lit(False).alias("own"))
+    whole = placed.withColumn("own", F.lit(True)).unionByName(carried).repartition(count, "part").sortWithinPartitions("part", "key", "s", "own", "event_id")
+    return whole.mapInArrow(_sweep, f"key {kind}, a long, b long").withColumnRenamed("key", key)
 
 
 def neighbour_overlaps(events: DataFrame, key: str) -> DataFrame:
