@@ -132,35 +132,35 @@ def replay(queue: DataFrame, name: str, key: str = "source_id", block_rows: int
     bounds), so few blocks run twice; the result is exact in any case. The driver holds one state a block. Last, each
     block gives its rows, from the state in which it begins.
     """
-    machine = MACHINES[name]
-    count = blocks or max(1, -(-queue.count() // block_rows))
+    machine, spark = MACHINES[name], queue.sparkSession
+    count = blocks or max(spark.sparkContext.defaultParallelism, -(-queue.count() // block_rows))
     kind = queue.schema[key].dataType.simpleString()
     sorted_rows = queue.repartitionByRange(count, key, "ats", "item_id").sortWithinPartitions(key, "ats", "item_id")
     placed = written(sorted_rows.withColumns({"_block": F.spark_partition_id(), "_at": F.monotonically_increasing_id(), "_key": F.col(key).cast("string")}).drop(key), "blocks")
+    seen = placed.groupBy("_block").agg(F.min_by("_key", "_at").alias("first"), F.max_by("_key", "_at").alias("last"), (F.min(F.coalesce("_key", F.lit(""))) == F.max(F.coalesce("_key", F.lit("")))).alias("one")).orderBy("_block").collect()
+    onward = {a["_block"]: b for a, b in zip(seen[:-1], seen[1:], strict=True) if a["last"] == b["first"]}  # blocks whose last key goes on in the next
+    last = spark.createDataFrame([(r["_block"], r["last"]) for r in seen if r["_block"] in onward], "_block int, _last string")
+    ending = placed.join(F.broadcast(last), "_block").filter(F.col("_key").eqNullSafe(F.col("_last")))
     begins: dict[int, tuple] = {}
-    ends: dict[int, dict] = {}
+    ends: dict[int, tuple] = {}
 
-    def ending(begins: dict[int, tuple]):
+    def final(begins: dict[int, tuple]):
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             block = int(rows["_block"].iloc[0])
-            keys = _parts(rows)
-            state = begins.get(block, machine.start) if len(keys) == 1 else machine.start
-            for row in keys[-1][1].itertuples(index=False):
+            state = begins.get(block, machine.start)
+            for row in rows.sort_values("_at").itertuples(index=False):
                 state, _ = machine.step(state, row)
-            return pd.DataFrame([(block, keys[0][0], keys[-1][0], len(keys) == 1, json.dumps(state))], columns=["block", "first", "last", "one", "state"])
+            return pd.DataFrame([(block, json.dumps(state))], columns=["block", "state"])
 
         return run
 
-    again: list[int] | None = None
-    while again is None or again:
-        rows = placed if again is None else placed.filter(F.col("_block").isin(again))
-        found = rows.groupBy("_block").applyInPandas(ending(begins), "block int, first string, last string, one boolean, state string").collect()
-        ends |= {r["block"]: r.asDict() for r in found}
-        order, after = sorted(ends), {}
-        for before, block in zip(order[:-1], order[1:], strict=True):
-            if ends[before]["last"] == ends[block]["first"]:
-                after[block] = tuple(json.loads(ends[before]["state"]))
-        again = [b for b in order if ends[b]["one"] and after.get(b, machine.start) != begins.get(b, machine.start)]
+    one = {r["_block"] for r in seen if r["one"]}
+    again = list(onward)
+    while again:
+        rows = ending.filter(F.col("_block").isin(again)).groupBy("_block").applyInPandas(final({b: s for b, s in begins.items() if b in one}), "block int, state string")
+        ends |= {r["block"]: tuple(json.loads(r["state"])) for r in rows.collect()}
+        after = {b["_block"]: ends[a] for a, b in onward.items()}
+        again = [b for b in onward if b in one and after.get(b, machine.start) != begins.get(b, machine.start)]
         begins = after
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
