@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
-from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,131 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import collapse, decode_entities, first_match, strip_tags
+from larkspan.sources import structured
+from larkspan.sources.structured import CARD
 
-CARD = "struct<title:string,date:string,location:string,description:string,detail_url:string,image_url:string>"
 _FIELDS = ("title", "date", "location", "description", "detail_url", "image_url")
 STRATEGIES = ("hydration", "json_ld", "microdata", "feed", "dom")
-_EVENT_TYPES = re.compile(r"Event$|Festival$")
-_STATE = re.compile(r"""<script[^>]*id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>|window\.__(?:NUXT|INITIAL_STATE|PRELOADED_STATE|APP_DATA)__\s*=\s*(\{.*?\})\s*;?\s*</script>""", re.S)
-_LD = re.compile(r"""<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>""", re.S | re.I)
-
-
-def _text(value) -> str | None:
-    if isinstance(value, dict):
-        value = value.get("name") or value.get("url") or value.get("@value")
-    if isinstance(value, list):
-        return _text(value[0]) if value else None
-    return None if value is None or value == "" else str(value)
-
-
-def _first(node: dict, *names: str) -> str | None:
-    for name in names:
-        if (found := _text(node.get(name))) is not None:
-            return found
-    return None
-
-
-def _loads(text: str):
-    """JSON, with comments, trailing commas and line feeds in it mended if it needs that."""
-    try:
-        return json.loads(text)
-    except ValueError:
-        mended = re.sub(r",\s*([}\]])", r"\1", re.sub(r"/\*.*?\*/|<!--|-->", "", text, flags=re.S)).replace("\t", " ").replace("\r", " ").replace("\n", " ").strip().rstrip(";")
-        try:
-            return json.loads(mended)
-        except ValueError:
-            return None
-
-
-def _card(node: dict) -> dict:
-    place = node.get("location") or node.get("venue")
-    return {"title": _first(node, "title", "name", "headline"), "date": _first(node, "startDate", "date", "start_date", "start", "datetime"), "location": _text(place), "description": _first(node, "description", "summary"), "detail_url": _first(node, "url", "link", "permalink"), "image_url": _first(node, "image", "imageUrl", "thumbnail")}
-
-
-def _walk(node, depth: int) -> Iterator[dict]:
-    """Objects with a title and a date or place, at most ten levels down; what lies below such an object isn't searched."""
-    if depth > 10:
-        return
-    if isinstance(node, list):
-        for x in node:
-            yield from _walk(x, depth + 1)
-    elif isinstance(node, dict):
-        card = _card(node)
-        if card["title"] and (card["date"] or card["location"]):
-            yield card
-        else:
-            for x in node.values():
-                yield from _walk(x, depth + 1)
-
-
-def hydration(page: str) -> list[dict]:
-    return [card for a, b in _STATE.findall(page) for card in _walk(_loads(a or b), 0)]
-
-
-def json_ld(page: str) -> list[dict]:
-    out: list[dict] = []
-
-    def visit(node) -> None:
-        for x in node if isinstance(node, list) else [node]:
-            if not isinstance(x, dict):
-                continue
-            kinds = x.get("@type") if isinstance(x.get("@type"), list) else [x.get("@type")]
-            if any(isinstance(k, str) and _EVENT_TYPES.search(k) for k in kinds):
-                out.append(_card(x))
-            visit(x.get("@graph", []))
-            visit([e.get("item", e) if isinstance(e, dict) else e for e in x.get("itemListElement", []) or []])
-
-    for block in _LD.findall(page):
-        visit(_loads(unescape(block) if "&quot;" in block else block))
-    return [c for c in out if c["title"]]
-
-
-class _Microdata(HTMLParser):
-    """Items of a schema.org Event type and the properties directly in them."""
-
-    VOID = {"meta", "link", "img", "br", "input", "hr", "source", "area", "base", "col", "embed", "track", "wbr"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, dict | None, str | None]] = []
-        self.items: list[dict] = []
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        item = {} if "itemscope" in a and re.search(r"schema\.org/\w*(Event|Festival)$", a.get("itemtype") or "") else None
-        name = a.get("itemprop")
-        current = next((i for _, i, _ in reversed(self.open) if i is not None), None)
-        if item is not None:
-            self.items.append(item)
-        elif name and current is not None:
-            value = a.get("content") or a.get("datetime") or (a.get("href") or a.get("src") if tag in ("a", "img", "link") else None)
-            if value:
-                current.setdefault(name, value)
-        if tag not in self.VOID:
-            self.open.append((tag, item, name))
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        text = data.strip()
-        if not text:
-            return
-        name = next((n for _, i, n in reversed(self.open) if n), None)
-        current = next((i for _, i, _ in reversed(self.open) if i is not None), None)
-        if name and current is not None:
-            current.setdefault(name, text)
-
-
-def microdata(page: str) -> list[dict]:
-    if "itemscope" not in page:
-        return []
-    parser = _Microdata()
-    parser.feed(page)
-    return [c for c in (_card(i) for i in parser.items) if c["title"]]
+_VOID = {"meta", "link", "img", "br", "input", "hr", "source", "area", "base", "col", "embed", "track", "wbr"}
 
 
 class _Cards(HTMLParser):
@@ -150,7 +28,7 @@ class _Cards(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a, names = dict(attrs), f"{dict(attrs).get('class') or ''}".lower()
-        if tag in _Microdata.VOID:
+        if tag in _VOID:
             if tag == "img" and self.card is not None and a.get("src"):
                 self.card.setdefault("image_url", a["src"])
             return
@@ -172,7 +50,7 @@ class _Cards(HTMLParser):
                 self.card.setdefault("detail_url", a["href"])
 
     def handle_endtag(self, tag):
-        if tag in _Microdata.VOID:
+        if tag in _VOID:
             return
         if self.card is not None and self.depth == self.begin:
             if self.card.get("title"):
@@ -191,53 +69,43 @@ def dom(page: str) -> list[dict]:
     return parser.cards
 
 
-def feed(page: str) -> list[dict]:
-    """RSS items, or Atom entries where there are none; entries without a title go."""
-    if not re.search(r"<(rss|feed|rdf:RDF)\b", page, re.I):
-        return []
+def dom_cards(page: Column) -> Column:
+    """Cards by class names, which need the page's tree; pages that are null are not parsed."""
 
-    def cards(tag: str, link) -> list[dict]:
-        out = []
-        for block in re.findall(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", page):
-            pick = lambda *names: next((unescape(re.sub(r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", r"\1", m[1])).strip() for n in names if (m := re.search(rf"(?is)<{n}\b[^>]*>(.*?)</{n}>", block))), None) or None  # noqa: B023,E731
-            title = pick("title")
-            if title:
-                out.append({"title": title, "date": pick("pubDate", "dc:date", "published", "updated"), "location": pick("location"), "description": pick("description", "summary", "content"), "detail_url": link(block, pick), "image_url": None})
-        return out
+    @F.pandas_udf(f"array<{CARD}>")
+    def read(pages: pd.Series) -> pd.Series:
+        return pd.Series([[{f: c.get(f) for f in _FIELDS} for c in dom(page)] if isinstance(page, str) else [] for page in pages])
 
-    def atom_link(block: str, pick) -> str | None:
-        found = re.search(r"""<link[^>]*href=["']([^"']+)""", block)
-        return found[1] if found else None
-
-    return cards("item", lambda block, pick: pick("link")) or cards("entry", atom_link)
-
-
-_READERS = {"hydration": hydration, "json_ld": json_ld, "microdata": microdata, "feed": feed, "dom": dom}
+    return read(page)
 
 
 def waterfall(pages: DataFrame, key: str, html: str, order: tuple[str, ...] = STRATEGIES, preferred: str | None = None) -> DataFrame:
     """key, strategy, cards, trace: strategies in order until one finds a card; the trace tells what each found.
 
-    The preferred strategy comes first. A page's parsing is a helper of a Pandas UDF over Arrow batches; pages aren't
-    shuffled. Null pages have no cards.
+    The preferred strategy comes first. Structured data is read by expressions; only pages in which what comes before
+    the selectors found nothing go through a parser. Pages aren't shuffled. Null pages have no cards and no trace.
     """
     steps = [preferred, *[s for s in order if s != preferred]] if preferred else list(order)
-
-    @F.pandas_udf(f"struct<strategy:string,cards:array<{CARD}>,trace:array<struct<strategy:string,found:int>>>")
-    def read(column: pd.Series) -> pd.DataFrame:
-        rows = []
-        for page in column:
-            trace, won, cards = [], None, []
-            for step in steps if isinstance(page, str) else ():
-                cards = _READERS[step](page)
-                trace.append({"strategy": step, "found": len(cards)})
-                if cards:
-                    won = step
-                    break
-            rows.append((won, [{f: c.get(f) for f in _FIELDS} for c in cards], trace))
-        return pd.DataFrame(rows, columns=["strategy", "cards", "trace"])
-
-    return pages.withColumn("_read", read(F.col(html))).select(key, "_read.*")
+    native = {"hydration": structured.hydration, "json_ld": structured.json_ld, "microdata": structured.microdata, "feed": structured.feed}
+    at = steps.index("dom") if "dom" in steps else len(steps)
+    found = lambda names: F.array(*[F.struct(F.lit(n).alias("strategy"), native[n](F.col(html)).alias("cards")) for n in names])
+    none = F.array().cast(f"array<struct<strategy:string,cards:array<{CARD}>>>")
+    read = pages.withColumn("_found", found(steps[:at]) if at else none)
+    if at < len(steps):
+        open_ = ~F.exists("_found", lambda x: F.size(x["cards"]) > 0)
+        read = read.withColumn("_dom", dom_cards(F.when(open_, F.col(html))))
+        last = F.array(F.struct(F.lit("dom").alias("strategy"), F.col("_dom").alias("cards")))
+        read = read.withColumn("_found", F.concat("_found", last, found(steps[at + 1 :]) if at + 1 < len(steps) else none))
+
+    def result(all_: Column) -> Column:
+        won = F.array_position(F.transform(all_, lambda x: F.size(x["cards"]) > 0), True).cast("int")
+        best = F.when(won > 0, F.get(all_, won - 1))
+        trace = F.transform(F.slice(all_, 1, F.when(won > 0, won).otherwise(len(steps))), lambda x: F.struct(x["strategy"].alias("strategy"), F.size(x["cards"]).alias("found")))
+        return F.struct(best["strategy"].alias("strategy"), F.coalesce(best["cards"], F.array().cast(f"array<{CARD}>")).alias("cards"), trace.alias("trace"))
+
+    nothing = F.struct(F.lit(None).cast("string").alias("strategy"), F.array().cast(f"array<{CARD}>").alias("cards"), F.array().cast("array<struct<strategy:string,found:int>>").alias("trace"))
+    shown = F.when(F.col(html).isNull(), nothing).otherwise(F.element_at(F.transform(F.array("_found"), result), 1))
+    return read.select(key, shown.alias("_read")).select(key, "_read.*")
 
 
 def calendar_events(documents: DataFrame, key: str, text: str) -> DataFrame:
