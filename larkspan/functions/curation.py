@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import any_part, first_match
+from larkspan.sources import structured
 
 #: Parts of a text that force a category before all others.
 FAMILY_FIRST = "basisschool|speeltuin|kinderopvang|zwemles|peutergroep|kinderfeest|jeugdclub|schoolfeest|kinderactiviteit|gezinsdag|voorlezen|kinderboerderij|kinderdisco|sinterklaas|kinderen|ouder-kind"
@@ -323,39 +324,66 @@ def page_description(html: Column) -> Column:
     return first_match(html, *[rf"""(?i)<meta[^>]+{at}["'][^>]+content=["']([^"']+)["']""" for at in ("""property=["']og:description""", """name=["']description""")])
 
 
-#: Where a page says where it is, in order: source, confidence, patterns of the latitude and of the longitude.
 _NUMBER = r"\s*(-?\d+(?:\.\d+)?)"
-_MAPS = [rf"(?i)google\.com/maps[^\"'\s]*?{mark}{_NUMBER.removeprefix(chr(92) + 's*')}{between}{_NUMBER.removeprefix(chr(92) + 's*')}" for mark, between in (("@", ","), ("!3d", "!4d"), ("center=", ","), ("ll=", ","), ("q=", ","))]
-_MAPS.append(r"(?i)openstreetmap\.org[^\"'\s]*#map=\d+/(-?\d+(?:\.\d+)?)/(-?\d+(?:\.\d+)?)")
+#: Addresses of maps with a latitude and a longitude in them.
+_MAPS = (
+    r"(?i)google\.com/maps[^\"'\s]*?@(-?\d+(?:\.\d+)?),(-?\d+(?:\.\d+)?)",
+    r"(?i)google\.com/maps[^\"'\s]*?!3d(-?\d+(?:\.\d+)?)!4d(-?\d+(?:\.\d+)?)",
+    r"(?i)google\.com/maps[^\"'\s]*?center=(-?\d+(?:\.\d+)?),(-?\d+(?:\.\d+)?)",
+    r"(?i)google\.com/maps[^\"'\s]*?ll=(-?\d+(?:\.\d+)?),(-?\d+(?:\.\d+)?)",
+    r"(?i)google\.com/maps[^\"'\s]*?q=(-?\d+(?:\.\d+)?),(-?\d+(?:\.\d+)?)",
+    r"(?i)openstreetmap\.org[^\"'\s]*#map=\d+/(-?\d+(?:\.\d+)?)/(-?\d+(?:\.\d+)?)",
+)
 
 
-def _meta(at: str, name: str) -> str:
-    return rf"""(?i)<meta[^>]*{at}=["']{name}["'][^>]*content=["']{_NUMBER}"""
+def _meta(at: str, name: str) -> tuple[str, str]:
+    """A meta tag's number with its name before its content, and the other way round."""
+    return rf"""(?i)<meta[^>]*{at}=["']{name}["'][^>]*content=["']{_NUMBER}""", rf"""(?i)<meta[^>]*content=["']{_NUMBER}[^"']*["'][^>]*{at}=["']{name}["']"""
 
 
-def _in_geo(first: str, names: str) -> str:
-    """A coordinate in the geo object of JSON-LD, or in one that is typed as coordinates."""
-    return rf"""(?is)<script[^>]*application/ld\+json["'][^>]*>[^<]*?"{first}"[^<]*?"(?:{names})"\s*:\s*"?{_NUMBER}"""
+def _meta_pair(name: str, between: str) -> tuple[str, str]:
+    """A meta tag with both numbers in its content."""
+    both = rf"{_NUMBER}{between}{_NUMBER}"
+    return rf"""(?i)<meta[^>]*name=["']{name}["'][^>]*content=["']{both}""", rf"""(?i)<meta[^>]*content=["']{both}[^"']*["'][^>]*name=["']{name}["']"""
 
 
-PLACES: list[tuple[str, float, str, str]] = [
-    ("jsonld", 0.95, _in_geo("geo", "latitude|lat"), _in_geo("geo", "longitude|lng|lon")),
-    ("microdata", 0.9, rf"""(?i)<[^>]*itemprop=["']latitude["'][^>]*(?:content=["']|>){_NUMBER}""", rf"""(?i)<[^>]*itemprop=["']longitude["'][^>]*(?:content=["']|>){_NUMBER}"""),
+def _single(name: str) -> tuple[str, ...]:
+    return (rf"""(?i)<[^>]*itemprop=["']{name}["'][^>]*(?:content=["']|>){_NUMBER}""", rf"""(?i)<[^>]*content=["']{_NUMBER}["'][^>]*itemprop=["']{name}["']""")
+
+
+#: Where a page says where it is, beyond JSON-LD, in order: source, confidence, forms of the latitude and
+#: of the longitude; where the second are none, the first hold both.
+PLACES: list[tuple[str, float, tuple[str, ...], tuple[str, ...]]] = [
+    ("microdata", 0.9, _single("latitude"), _single("longitude")),
     ("opengraph", 0.9, _meta("property", "place:location:latitude"), _meta("property", "place:location:longitude")),
     ("opengraph", 0.85, _meta("property", "og:latitude"), _meta("property", "og:longitude")),
-    *[("embed", 0.85, p, p) for p in _MAPS],
-    ("meta", 0.85, rf"""(?i)<meta[^>]*name=["']geo\.position["'][^>]*content=["']{_NUMBER}[;,]{_NUMBER}""", ""),
-    ("meta", 0.8, rf"""(?i)<meta[^>]*name=["']ICBM["'][^>]*content=["']{_NUMBER}[,\s]+{_NUMBER}""", ""),
+    *[("embed", 0.85, (p,), ()) for p in _MAPS],
+    ("meta", 0.85, _meta_pair(r"geo\.position", "[;,]"), ()),
+    ("meta", 0.8, _meta_pair("ICBM", r"[,\s]+"), ()),
 ]
 
 
+def _coordinates(lat: Column, lng: Column, source: str, confidence: float) -> Column:
+    good = lat.between(-90, 90) & lng.between(-180, 180) & ~((lat == 0) & (lng == 0))
+    return F.when(good, F.struct(lat.alias("lat"), lng.alias("lng"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence")))
+
+
+def json_ld_coordinates(html: Column) -> Column:
+    """Of JSON-LD: an Event's place with geo (0.95), a Place with geo or bare GeoCoordinates (0.9), the first that is valid."""
+
+    def place(v: Column) -> Column:
+        number = lambda at, names: F.coalesce(*[F.try_variant_get(v, f"{at}.{n}", "string").try_cast("double") for n in names])
+        here = lambda at, confidence: _coordinates(number(at, ("latitude", "lat")), number(at, ("longitude", "lng", "lon")), "jsonld", confidence)
+        kind = F.try_variant_get(v, '$["@type"]', "string")
+        return F.when(kind == "Event", here("$.location.geo", 0.95)).when(kind == "Place", here("$.geo", 0.9)).when(kind == "GeoCoordinates", here("$", 0.9))
+
+    return F.get(F.filter(F.transform(structured.json_ld_nodes(html), place), lambda c: c.isNotNull()), F.lit(0))
+
+
 def page_coordinates(html: Column) -> Column:
     """struct<lat, lng, source, confidence> of the first place on a page whose coordinates are valid; null for short pages."""
-    found = []
+    found = [json_ld_coordinates(html)]
     for source, confidence, at, then in PLACES:
-        both = not then or at == then
-        lat = F.regexp_extract(html, at, 1).try_cast("double")
-        lng = F.regexp_extract(html, at if both else then, 2 if both else 1).try_cast("double")
-        good = lat.between(-90, 90) & lng.between(-180, 180) & ~((lat == 0) & (lng == 0))
-        found.append(F.when(good, F.struct(lat.alias("lat"), lng.alias("lng"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))))
+        read = lambda forms, group: F.coalesce(*[F.regexp_extract(html, form, group).try_cast("double") for form in forms])
+        found.append(_coordinates(read(at, 1), read(then, 1) if then else read(at, 2), source, confidence))
     return F.when(F.length(html) >= 100, F.coalesce(*found))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.storage import numbered
+
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], version: str) -> DataFrame:
     """target with source's rows inserted or put in place: of each key the row with the newest version, the source's of equal ones."""
@@ -170,3 +174,27 @@ def push_records(rows: DataFrame, status: str = "awaiting_enrichment") -> DataFr
     """item_id and the JSON record that is pushed for each row of a change feed that has the status; works on streams too."""
     record = F.struct(F.lit("INSERT").alias("type"), F.lit("raw_event_staging").alias("table"), F.struct(*[F.col(c) for c in rows.columns]).alias("record"))
     return rows.filter(F.col("status") == status).select("item_id", F.to_json(record).alias("body"))
+
+
+def keyed_union(lists: list[DataFrame], key: str, place: str) -> DataFrame:
+    """Lists one after another as a map by key: the last row of a key stands, at the position of its first; place counts from 1.
+
+    place orders each list; rows of a list that share a key count in that order too.
+    """
+    both = reduce(DataFrame.unionByName, [rows.withColumn("_list", F.lit(i)) for i, rows in enumerate(lists)])
+    at = F.struct("_list", place)
+    row = F.struct(*[F.col(c) for c in lists[0].columns if c != place])
+    kept = both.groupBy(F.col(key).alias("_key")).agg(F.min(at).alias("_at"), F.max_by(row, at).alias("_row"))
+    return numbered(kept, [F.col("_at")], "_n").select("_row.*", (F.col("_n") + 1).alias(place))
+
+
+def marked_duplicates(items: DataFrame, known: DataFrame, hash_col: str = "content_hash") -> DataFrame:
+    """items with duplicate_of, stage and last_failure_reason: those whose content one indexed row of known has are failed.
+
+    A hash that several indexed rows hold names no row, and null hashes meet none. The indexed rows are counted by hash
+    before the join, so that copies don't multiply.
+    """
+    one = known.filter((F.col("stage") == "indexed") & F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min("item_id").alias("_item"), F.count(F.lit(1)).alias("_n")).filter("_n = 1")
+    met = items.join(one.select(F.col(hash_col).alias("_hash"), "_item"), F.col(hash_col) == F.col("_hash"), "left")
+    is_copy = F.col("_item").isNotNull() & (F.col("_item") != F.col("item_id"))
+    return met.withColumns({"duplicate_of": F.when(is_copy, F.col("_item")), "stage": F.when(is_copy, "failed").otherwise(F.col("stage")), "last_failure_reason": F.when(is_copy, "Duplicate detected")}).drop("_hash", "_item")

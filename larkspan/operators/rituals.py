@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +14,8 @@ KEYWORDS = (
     "weekly", "monthly", "every", "recurring", "regular", "club", "meetup", "class", "group", "session",
     "wekelijks", "maandelijks", "elke", "borrel", "ritueel", "training", "les", "groep", "sessie",
 )
-_NUMBER = re.compile(r"\s*[#\-–]\s*\d+\s*$")
+#: What ends a numbered title.
+NUMBER = r"\s*[#\-–]\s*\d+\s*$"
 
 
 def normalised(text: Column) -> Column:
@@ -26,59 +27,76 @@ def has_keyword(title: Column, description: Column) -> Column:
     return F.exists(F.array(*[F.lit(k) for k in KEYWORDS]), lambda k: both.contains(k))
 
 
-def similar_titles(a: Column, b: Column) -> Column:
-    number = r"\s*[#\-–]\s*\d+\s*$"
-    a, b = F.regexp_replace(normalised(a), number, ""), F.regexp_replace(normalised(b), number, "")
-    inside = (F.length(a) > 3) & (F.length(b) > 3) & (a.contains(b) | b.contains(a))
-    return (a == b) | inside
-
-
 def hour_of(time: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(time, F.lit("")), r"^(\d{1,2}):?", 1), F.lit("")).cast("int")
 
 
-def similar_times(a: Column, b: Column, hours: int = 2) -> Column:
-    """Both known and no more hours apart; midnight isn't wrapped."""
-    return F.coalesce(F.abs(hour_of(a) - hour_of(b)) <= hours, F.lit(False))
+class _Firsts:
+    """The first events of a venue's series, found by title and hour without a look at all of them.
 
+    A title that holds another holds the other's first four letters, and one that is held has all its letters in fours
+    in the other: entries are listed by both, and of a title's fours the rarest is looked up.
+    """
 
-def _alike(a: str, b: str) -> bool:
-    """Of titles without their numbers."""
-    return a == b or (len(a) > 3 and len(b) > 3 and (a in b or b in a))
+    def __init__(self, hours: int):
+        self.hours, self.entries = hours, []
+        self.by_title, self.by_begin, self.by_four = defaultdict(list), defaultdict(list), defaultdict(list)
+
+    @staticmethod
+    def fours(title: str) -> set[str]:
+        return {title[i : i + 4] for i in range(len(title) - 3)}
+
+    def joined(self, title: str, hour: int, event_id: int) -> int:
+        """The event that begins the first series which the title and hour fit; a new series if there is none."""
+        fours = self.fours(title)
+        near = list(self.by_title[title])
+        near += [n for four in fours for n in self.by_begin.get(four, ()) if self.entries[n][0] in title]
+        if fours:
+            rarest = min(fours, key=lambda four: len(self.by_four.get(four, ())))
+            near += [n for n in self.by_four.get(rarest, ()) if title in self.entries[n][0]]
+        fit = min((n for n in near if abs(self.entries[n][1] - hour) <= self.hours), default=None)
+        if fit is not None:
+            return self.entries[fit][2]
+        n = len(self.entries)
+        self.entries.append((title, hour, event_id))
+        self.by_title[title].append(n)
+        if fours:
+            self.by_begin[title[:4]].append(n)
+            for four in fours:
+                self.by_four[four].append(n)
+        return event_id
 
 
 def series(events: DataFrame, window_hours: int = 2) -> DataFrame:
     """event_id and series of each event: the id of the series' first event.
 
     An event joins the first series, in order of date and id, whose first event has a like title and hour, of the same
-    venue and weekday. Rows are sorted by venue, weekday and date and pass in batches; what is held are the first events
-    of the venue's series, and for each title and hour that came the series that it joined, as that never changes.
-    Events without a venue or hour start their own.
+    venue and weekday; titles are alike without their numbers if they are equal or one of at least four letters holds
+    the other. Events that agree in venue, weekday, title and hour join the same series, so only the first of each goes
+    through the fold, sorted by venue, weekday and date, and the others take its answer by a join. Events without a
+    venue or hour start their own.
     """
-    keyed = events.select("event_id", "event_date", normalised(F.col("title")).alias("title"), normalised(F.col("venue_name")).alias("venue"), F.dayofweek("event_date").alias("weekday"), hour_of(F.col("event_time")).alias("hour"))
+    title = F.regexp_replace(normalised(F.col("title")), NUMBER, "")
+    keyed = events.select("event_id", "event_date", title.alias("title"), normalised(F.col("venue_name")).alias("venue"), F.dayofweek("event_date").alias("weekday"), hour_of(F.col("event_time")).alias("hour"))
+    key = ["venue", "weekday", "title", "hour"]
     blocked = keyed.filter((F.col("venue") != "") & F.col("hour").isNotNull())
+    distinct = blocked.groupBy(*key).agg(F.min(F.struct(F.col("event_date").isNotNull().alias("dated"), "event_date", "event_id")).alias("first")).select(*key, "first.*")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, firsts, joined = None, [], {}
+        place, firsts = None, None
         for batch in batches:
             out = []
             for row in batch.itertuples():
                 if (row.venue, row.weekday) != place:
-                    place, firsts, joined = (row.venue, row.weekday), [], {}
-                title = _NUMBER.sub("", row.title)
-                if (title, row.hour) not in joined:
-                    found = next((i for t, h, i in firsts if abs(h - row.hour) <= window_hours and _alike(t, title)), None)
-                    if found is None:
-                        firsts.append((title, row.hour, row.event_id))
-                        found = row.event_id
-                    joined[title, row.hour] = found
-                out.append(joined[title, row.hour])
-            yield pd.DataFrame({"event_id": batch["event_id"], "series": out})
-
-    ordered = blocked.repartition("venue", "weekday").sortWithinPartitions("venue", "weekday", "event_date", "event_id")
-    grouped = ordered.mapInPandas(fold, "event_id long, series long")
+                    place, firsts = (row.venue, row.weekday), _Firsts(window_hours)
+                out.append(firsts.joined(row.title, row.hour, row.event_id))
+            yield batch[key].assign(series=out)
+
+    ordered = distinct.repartition("venue", "weekday").sortWithinPartitions("venue", "weekday", "dated", "event_date", "event_id")
+    grouped = ordered.select(*key, "event_id").mapInPandas(fold, "venue string, weekday int, title string, hour int, series long")
+    met = blocked.join(grouped.withColumnsRenamed({k: f"_{k}" for k in key}), F.expr(" AND ".join(f"{k} <=> _{k}" for k in key))).select("event_id", "series")
     alone = keyed.filter((F.col("venue") == "") | F.col("hour").isNull()).select("event_id", F.col("event_id").alias("series"))
-    return grouped.unionByName(alone)
+    return met.unionByName(alone)
 
 
 def rituals(events: DataFrame, now: Column, least: int = 3) -> DataFrame:

@@ -20,14 +20,14 @@ _TICKETS = ["https://t.example/1", None, "tickets", "http://t.example"]
 
 
 def substring_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = V.events(spark, sf_dir).select("event_id", F.concat(F.lit("x "), dealt("event_id", _WORDS), F.lit(" "), F.substring("title", 1, 6)).alias("t"))
+    e = V.events(spark, sf_dir).select("event_id", F.concat(F.lit("x "), dealt("event_id", _WORDS), F.lit(" "), "title").alias("t"))
     return e.select("event_id", curation.category_by_parts(F.col("t")).alias("category"))
 
 
 _RULES = " ".join(f"WHEN regexp_matches(t, {quoted(parts)}) THEN '{name}'" for name, parts in curation.PARTS)
 CATEGORY_CASE = f"""CASE WHEN regexp_matches(t, {quoted(curation.FAMILY_FIRST)}) THEN 'FAMILY'
   WHEN regexp_matches(t, {quoted(curation.SOCIAL_FIRST)}) THEN CASE WHEN regexp_matches(t, {quoted(curation.SOCIAL_FOOD)}) THEN 'FOOD' ELSE 'SOCIAL' END {_RULES} ELSE 'COMMUNITY' END"""
-SUBSTRING = f"""WITH {V.EVENTS}, d AS (SELECT event_id, lower('x ' || {dealt_sql('event_id', _WORDS)} || ' ' || substr(title, 1, 6)) AS t FROM ev)
+SUBSTRING = f"""WITH {V.EVENTS}, d AS (SELECT event_id, lower('x ' || {dealt_sql('event_id', _WORDS)} || ' ' || title) AS t FROM ev)
 SELECT event_id, {CATEGORY_CASE} AS category FROM d"""
 
 
@@ -209,8 +209,13 @@ _MAPS = [
     '<script type="application/ld+json">{"@type":"Event","location":{"@type":"Place","geo":{"latitude":52.36,"longitude":"4.88"}}}</script>', '<i itemprop="latitude" content="51.5"></i><i itemprop="longitude">4.25</i>',
     '<meta property="place:location:latitude" content="53.2"><meta property="place:location:longitude" content="6.5">', '<a href="https://www.google.com/maps/place/x/@52.1,5.1,17z">m</a>', '<meta name="geo.position" content="50.8;5.7">',
     '<meta name="ICBM" content="52.5, 6.1">', '<meta property="og:latitude" content="0"><meta property="og:longitude" content="0">', "", '<a href="https://www.openstreetmap.org/x#map=15/52.7/6.2">o</a>',
+    '<meta content="53.25" property="place:location:latitude"><meta content="6.75" property="place:location:longitude">', '<meta content="50.75, 5.5" name="ICBM">',
+    '<script type="application/ld+json">[{"@type":"Product","geo":{"latitude":1,"longitude":2}},{"@type":"GeoCoordinates","lat":"52.25","lon":4.5}]</script>',
+    '<script type="application/ld+json">{"@graph":[{"@type":"Place","geo":{"latitude":95,"longitude":4}},{"@type":"Place","geo":{"latitude":-51.75,"lng":4.75}}]}</script>',
+    '<script type="application/ld+json">{"@type":"Product","geo":{"latitude":1,"longitude":2}}</script>', '<script type="application/ld+json">{broken "geo": {"latitude": 1, "longitude": 2}</script>',
 ]
-_FOUND = [(52.36, 4.88, "jsonld", 0.95), (51.5, 4.25, "microdata", 0.9), (53.2, 6.5, "opengraph", 0.9), (52.1, 5.1, "embed", 0.85), (50.8, 5.7, "meta", 0.85), (52.5, 6.1, "meta", 0.8), (None,) * 4, (None,) * 4, (52.7, 6.2, "embed", 0.85)]
+_FOUND = [(52.36, 4.88, "jsonld", 0.95), (51.5, 4.25, "microdata", 0.9), (53.2, 6.5, "opengraph", 0.9), (52.1, 5.1, "embed", 0.85), (50.8, 5.7, "meta", 0.85), (52.5, 6.1, "meta", 0.8), (None,) * 4, (None,) * 4, (52.7, 6.2, "embed", 0.85),
+          (53.25, 6.75, "opengraph", 0.9), (50.75, 5.5, "meta", 0.8), (52.25, 4.5, "jsonld", 0.9), (-51.75, 4.75, "jsonld", 0.9), (None,) * 4, (None,) * 4]
 
 
 def page_places(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,28 @@ SETS = f"""WITH {V.QUEUE}, f AS (SELECT DISTINCT source_id FROM qu WHERE failed)
 SELECT source_id, 'both' AS kind FROM (SELECT * FROM f INTERSECT SELECT * FROM i) UNION ALL SELECT source_id, 'only failing' FROM (SELECT * FROM f EXCEPT SELECT * FROM i) UNION ALL SELECT source_id, 'either' FROM (SELECT * FROM f UNION SELECT * FROM i)"""
 
 
+def keyed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of urgent orders, then of high ones: each once, where it came first, with its last order."""
+    o = table(spark, sf_dir, "orders")
+    lists = [o.filter(F.col("o_orderpriority") == p).select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("latest"), F.col("o_orderkey").alias("place")) for p in ("1-URGENT", "2-HIGH")]
+    return changes.keyed_union(lists, "customer", "place")
+
+
+KEYED_UNION = """WITH u AS (SELECT o_custkey AS customer, o_orderkey AS latest, CASE o_orderpriority WHEN '1-URGENT' THEN 0 ELSE 1 END * 1000000000000 + o_orderkey AS at_ FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+k AS (SELECT customer, arg_max(latest, at_) AS latest, min(at_) AS first FROM u GROUP BY customer)
+SELECT customer, latest, row_number() OVER (ORDER BY first) AS place FROM k"""
+
+
+def marked_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items of the queue: every third is indexed, the others are held against them by their content."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.sha2("text", 256).alias("content_hash"), F.when(F.col("doc_id") % 3 == 0, "indexed").otherwise("extracting").alias("stage"))
+    return changes.marked_duplicates(d.filter("stage = 'extracting'"), d).select("item_id", "stage", "duplicate_of", "last_failure_reason")
+
+
+MARKED = """WITH d AS (SELECT doc_id, sha256(text) AS h, doc_id % 3 = 0 AS indexed FROM documents), o AS (SELECT h, min(doc_id) AS item FROM d WHERE indexed AND h IS NOT NULL GROUP BY h HAVING count(*) = 1)
+SELECT doc_id AS item_id, CASE WHEN item IS NULL THEN 'extracting' ELSE 'failed' END AS stage, item AS duplicate_of, CASE WHEN item IS NOT NULL THEN 'Duplicate detected' END AS last_failure_reason FROM d LEFT JOIN o USING (h) WHERE NOT coalesce(indexed, true)"""
+
+
 def queue_by_source_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality board: daily statistics of the last days for a few sources, newest day first."""
     stats = ops.daily_source_stats(V.queue(spark, sf_dir))
@@ -191,5 +213,5 @@ QUERIES = {
     "k13_unified_itinerary": (unified_itinerary, ITINERARY), "k15_proposal_anchors": (proposal_anchors, ANCHORS), "k17_selected_places": (selected_places, PLACES), "m14_structured_scores": (structured_scores, STRUCTURED),
     "c11_prices_and_types": (prices_and_types, PRICES), "g3_parsed_points": (parsed_points, POINTS), "s19_audit_inserts": (audit_inserts, INSERTS), "l9_source_tiers": (source_tiers, TIERS),
     "a20_method_insights": (method_insights, INSIGHTS), "a25_dedup_statistics": (dedup_statistics, DEDUP_STATS), "a28_signal_counts": (signal_counts, SIGNALS), "n3_first_rows": (first_rows, FIRST_ROWS),
-    "j18_geocode_variants": (geocode_variants, GEOCODE), "u_set_operations": (set_operations, SETS), "k18_quality_board": (queue_by_source_day, BOARD),
+    "j18_geocode_variants": (geocode_variants, GEOCODE), "u_set_operations": (set_operations, SETS), "u4_keyed_union": (keyed_union, KEYED_UNION), "j20_marked_duplicates": (marked_duplicates, MARKED), "k18_quality_board": (queue_by_source_day, BOARD),
 }

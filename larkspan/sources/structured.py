@@ -77,8 +77,8 @@ def hydration(page: Column) -> Column:
     return F.transform(F.filter(reached, lambda v: _is(v, "OBJECT") & _is_event_card(v)), _card)
 
 
-def json_ld(page: Column) -> Column:
-    """Cards of the objects of an Event or Festival type in JSON-LD, also in graphs and item lists, level by level."""
+def json_ld_nodes(page: Column) -> Column:
+    """All objects of a page's JSON-LD as variants, also those in graphs and item lists, level by level."""
     blocks = F.regexp_extract_all(page, F.lit(_LD), F.lit(1))
     unquoted = F.transform(blocks, lambda b: F.when(b.contains("&quot;"), decode_entities(b)).otherwise(b))
     roots = F.filter(F.transform(unquoted, _parsed), lambda v: v.isNotNull())
@@ -97,13 +97,17 @@ def json_ld(page: Column) -> Column:
         return F.struct(F.flatten(F.transform(level, below)).alias("level"), F.concat(state["seen"], level).alias("seen"))
 
     start = F.struct(roots.alias("level"), F.array().cast("array<variant>").alias("seen"))
-    seen = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, deeper, lambda state: state["seen"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, deeper, lambda state: state["seen"])
+
+
+def json_ld(page: Column) -> Column:
+    """Cards of the objects of an Event or Festival type in JSON-LD."""
 
     def is_event(v: Column) -> Column:
         kinds = F.coalesce(F.try_variant_get(v, '$["@type"]', "array<string>"), F.array(F.try_variant_get(v, '$["@type"]', "string")))
         return F.exists(kinds, lambda k: F.coalesce(k.rlike(_EVENT), F.lit(False)))
 
-    return F.filter(F.transform(F.filter(seen, is_event), _card), lambda c: c["title"].isNotNull())
+    return F.filter(F.transform(F.filter(json_ld_nodes(page), is_event), _card), lambda c: c["title"].isNotNull())
 
 
 def _filled(text: Column) -> Column:

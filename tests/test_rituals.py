@@ -41,3 +41,23 @@ def test_machines_pass_histories_in_batches(spark):
         assert sorted(map(tuple, machines.replay(q, "breaker").collect())) == whole and len(whole) == 3000
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_hot_venue_folds_titles_and_not_events(spark):
+    """Many events of few titles at one venue, and many titles that hold each other, against the plain rule."""
+    import random
+
+    rng = random.Random(12)
+    start = datetime.datetime(2026, 1, 5)
+    parts = ["open", "mic", "jazz", "late", "night", "club", "abc", "ab"]
+    titles = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(120)]
+    rows = [(i, rng.choice(titles), "Hall", start + datetime.timedelta(days=7 * rng.randrange(30)), f"{rng.randrange(8, 24)}:00") for i in range(3000)]
+    got = {r.event_id: r.series for r in rituals.series(spark.createDataFrame(rows, "event_id long, title string, venue_name string, event_date timestamp, event_time string").repartition(3)).collect()}
+    firsts, want = [], {}
+    for i, title, _, _, time in sorted(rows, key=lambda r: (r[3], r[0])):
+        hour = int(time.split(":")[0])
+        fit = next((j for t, h, j in firsts if abs(h - hour) <= 2 and (t == title or (len(t) > 3 and len(title) > 3 and (t in title or title in t)))), None)
+        if fit is None:
+            firsts.append((title, hour, i))
+        want[i] = i if fit is None else fit
+    assert got == want and 10 < len(set(want.values())) < 300
