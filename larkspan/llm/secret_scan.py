@@ -11,26 +11,36 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.common import materialise
 
-#: A key's name, its sign and an opening quote. Bounded, as it stands in a lookbehind.
-_NAMED = r"""(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key|bearer|client[_-]?key|signing)[\w-]{0,24}(?:["']|&quot;)?[ \t]{0,3}(?::=|=>|[=:])[ \t]{0,3}"""
-_SIGN = r"""[=:>][ \t]{0,3}"""
-_OPEN = r"""(?:["']|&quot;)?(?:(?i:bearer|basic) )?"""
+#: Parts of a key's name.
+_WORDS = r"(?i:token|secret|passw(?:or)?d|passphrase|(?<![A-Za-z])pass(?![\w-])|pwd|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key|bearer|client[_-]?key|signing)"
+#: A whole name with such a part and its sign. A name is read once, however long: nothing is given back.
+_NAMED = rf"""(?<![\w-])(?>[\w-]*?{_WORDS})[\w-]*+(?:["']|&quot;)?[ \t]*+(?::=|=>|[=:])[ \t]*+"""
+_TAGGED = rf"""<(?>[\w:.-]*?{_WORDS})[\w:.-]*+(?:\s[^<>]*+)?>\s*+"""
+#: What a value isn't: a key in PEM or a URL with a login, which are found on their own.
+_OTHER = r"""(?!-----BEGIN |[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@"'<>]*+:[^\s/"'<>]+@)"""
 _WEB = r"[A-Za-z0-9_-]"
-#: Private keys in PEM, whole JWTs, passwords in URLs, values of 8 and more characters that a key's name announces (up to
-#: the quote, or else without closing marks), and long runs of key characters. Short tests stand before the lookbehinds,
-#: first of all that no candidate but a PEM begins within a word.
-CANDIDATE = r"(?:(?<![A-Za-z0-9_])|(?=-----BEGIN))(?:" + "|".join((
-    rf"eyJ{_WEB}{{5,}}\.{_WEB}*\.{_WEB}*(?:\.{_WEB}+){{0,2}}",
-    "(?<=[=:> \t\"';])(?=[^\\s]{8})(?:" + "|".join((
-        rf"""(?<=["'])(?=[^\s"']{{8}})(?<={_SIGN}["'])(?<={_NAMED}["'])[^\s"']{{8,}}(?=["'])""",
-        rf"""(?=[^\s"'&<>=]{{8}})(?<={_SIGN}{_OPEN})(?<={_NAMED}{_OPEN})[^\s"'&<>=]{{8,}}(?<![,;:.)\]}}])(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?""",
-    )) + ")",
-    r"""(?<=:)(?<=://[^\s/:@"'<>]{0,64}:)[^\s/"'<>]{1,256}(?=@)""",
-    r"(?<![+/-])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?",
-    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]{0,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\n|\\r){1,4}[A-Za-z0-9+/]{32,}={0,2}){1,400})",
-)) + ")"
+_PEM = r"PRIVATE KEY(?: BLOCK)?-----"
+_END = r"(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+#: Announcers and values as groups in pairs, then values alone: values of 8 and more characters that a key's name
+#: announces, in quotes, without them (up to closing marks) and in a tag; passwords in URLs; whole JWTs; runs of 16 and
+#: more key characters; private keys in PEM, whole or without an end. No part has a greatest length.
+_PAIRS = (
+    (rf"""{_NAMED}["']{_OTHER}""", r"""[^\s"']{8,}(?=["'])"""),
+    (rf"""{_NAMED}(?:["']|&quot;)?(?:(?i:bearer|basic) )?{_OTHER}""", rf"""[^\s"'&<>=]{{8,}}(?<![,;:.)\]}}]){_END}"""),
+    (_TAGGED, r"""[^\s<>]{8,}(?=\s*+</)"""),
+    (r"""://[^\s/:@"'<>]*+:""", r"""[^\s/"'<>]+(?=@)"""),
+)
+_ALONE = (
+    rf"(?<![A-Za-z0-9_])eyJ{_WEB}{{5,}}\.{_WEB}*\.{_WEB}*(?:\.{_WEB}+){{0,2}}",
+    rf"(?<![A-Za-z0-9_+/-])[A-Za-z0-9+/_-]{{16,}}{_END}",
+    rf"-----BEGIN [A-Z0-9 ]*{_PEM}(?:[\s\S]*?(?:(?=-----BEGIN )|-----END [A-Z0-9 ]*{_PEM})|(?=[\s\\nr]{{1,8}}[A-Za-z0-9+/]{{32}})[A-Za-z0-9+/=\\\r\n]*+)",
+)
+CANDIDATE = "|".join([*(f"({name})({value})" for name, value in _PAIRS), *(f"({value})" for value in _ALONE)])
+#: What a match becomes: its announcer, and its value between two places for marks.
+_BEFORE_VALUE = "".join(f"${2 * i + 1}" for i in range(len(_PAIRS)))
+_VALUE = "".join([f"${2 * i + 2}" for i in range(len(_PAIRS))] + [f"${2 * len(_PAIRS) + 1 + i}" for i in range(len(_ALONE))])
 #: Characters of context on either side that the forest sees; a candidate has one at least, so as many neighbours hold them.
-BEFORE, AFTER = 48, 24
+BEFORE, AFTER = 80, 24
 
 #: Words that make up identifiers, paths and placeholders rather than keys.
 DICTIONARY = (
@@ -46,7 +56,7 @@ DICTIONARY = (
     "view write your"
 ).split()
 
-KEY_WORDS = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|apikey|auth|credential|private[_-]?key|access[_-]?key|bearer|client[_-]?key|signing)"
+KEY_WORDS = r"(?i)(token|secret|passw(or)?d|passphrase|(?<![a-z])pass(?![\w-])|pwd|api[_-]?key|apikey|auth|credential|private[_-]?key|access[_-]?key|bearer|client[_-]?key|signing)"
 OTHER_WORDS = r"(?i)(commit|revision|sha-?[0-9]+|md5|checksum|digest|etag|hash|uuid|guid|build|version|serial|order|isbn|base64|image|integrity|example|sample|dummy|placeholder|revoked)"
 FEATURES = [
     "length", "transitions", "digits", "uppers", "distinct", "hex", "only_digits", "uuid", "vowel_turns", "longest_run", "dictionary", "slashes",
@@ -62,6 +72,7 @@ def _flag(condition: Column) -> Column:
 def with_features(found: DataFrame) -> DataFrame:
     """Adds FEATURES to rows with candidate, before, after and path. Null texts count as empty."""
     c, path = F.col("candidate"), F.coalesce(F.col("path"), F.lit(""))
+    announced = F.col("announced") if "announced" in found.columns else F.lit("")  # also by what is longer than the context
     before, after = F.coalesce(F.col("before"), F.lit("")), F.coalesce(F.col("after"), F.lit(""))
     n = F.length(c).cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
@@ -81,8 +92,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "slashes": share("[/_-]"),
         "placeholder": _flag(c.rlike("(?i)(x{6,}|your|example|sample|dummy|change|insert|replace|placeholder|0{8,}|1234567|abcdef)")),
         "prefix": _flag(c.rlike("^(AKIA|ASIA|gh[pousr]_|glpat-|sk[-_]|pk_|rk_|xox[abprs]-|AIza|eyJ|SG)")),
-        "key_word": _flag(before.rlike(KEY_WORDS)),
-        "key_word_next": _flag(before.rlike(KEY_WORDS + r"""[\w-]*(["']|&quot;)?\s*([=:]|:=|=>|\s)\s*(["']|&quot;)?(Bearer )?$""")),
+        "key_word": _flag(before.rlike(KEY_WORDS) | (F.coalesce(announced, F.lit("")) == "named")),
+        "key_word_next": _flag(before.rlike(KEY_WORDS + r"""[\w-]*(["']|&quot;)?\s*([=:>]|:=|=>|\s)\s*(["']|&quot;)?(Bearer )?$""") | (F.coalesce(announced, F.lit("")) == "named")),
         "other_word": _flag(before.rlike(OTHER_WORDS)),
         "assigned": _flag(before.rlike(r"""[=:]\s*(["']|&quot;)?$""")),
         "quoted": _flag(before.rlike(r"""(["']|&quot;)$""") & after.rlike(r"""^(["']|&quot;)""")),
@@ -90,7 +101,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "is_name": _flag(after.rlike(r"""^(["']|&quot;)?[ \t]{0,3}(:=|=>|[=:][^=:/])""")),
         "jwt": _flag(c.rlike(r"^eyJ[\w-]{8,}\.[\w-]*\.[\w-]{16,}")),
         "pem": _flag(c.rlike("^-----BEGIN ")),
-        "url_login": _flag(before.rlike(r"://[^\s/:@]*:$") & after.startswith("@")),
+        "url_login": _flag((before.rlike(r"://[^\s/:@]*:$") | (F.coalesce(announced, F.lit("")) == "login")) & after.startswith("@")),
         "call": _flag(c.rlike(r"[(\[{$<]|^[A-Za-z_]+(\.[A-Za-z_]+)+$") | after.rlike(r"^[(\[]")),
         "marks": share("[^A-Za-z0-9/_-]"),
         "test_path": _flag(path.rlike("(?i)(test|fixture|example|sample|mock|doc|readme)")),
@@ -100,28 +111,29 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """One row a candidate: id, ordinal in its text, start, candidate, before, after, path.
+    """One row a candidate: id, ordinal in its text, start, candidate, before, after, path, and by what it is announced, if it is.
 
     before and after are the text's characters next to the candidate, also where they belong to other candidates.
     """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
-    # One search of the text: candidates are set between marks that it can't hold, as they are its own digest. Of the
-    # parts, even places are gaps and odd ones candidates.
+    # One search of the text: what announces a candidate and the candidate are set between marks that it can't hold, as
+    # they are its own digest. Parts come in threes: a gap, an announcer, which may be empty, and a candidate.
     mark = F.concat(F.lit("\x01"), F.md5("text"), F.lit("\x02"))
-    parts = F.split(F.regexp_replace(text, F.lit(CANDIDATE), F.concat(mark, F.lit("$0"), mark)), mark, -1)
+    parts = F.split(F.regexp_replace(text, F.lit(CANDIDATE), F.concat(mark, F.lit(_BEFORE_VALUE), mark, F.lit(_VALUE), mark)), mark, -1)
     each = rows.select("id", "row", "path", F.octet_length("text").alias("whole"), F.posexplode(parts).alias("place", "part"))
-    odd = F.col("place") % 2 == 1
+    turn = F.col("place") % 3
+    kind = F.when(F.col("part").startswith("://"), "login").when(F.col("part").rlike(_WORDS), "named")
     each = each.filter((F.col("place") > 0) | (F.octet_length("part") < F.col("whole"))).select(
-        "id", "row", "path", "place", F.when(odd, F.col("part")).alias("candidate"), F.length("part").alias("length"),
+        "id", "row", "path", "place", F.when(turn == 2, F.col("part")).alias("candidate"), F.length("part").alias("length"), F.when(turn == 1, kind).alias("kind"),
         F.right("part", F.lit(BEFORE)).alias("tail"), F.left("part", F.lit(AFTER)).alias("head"),
     )
     by_text = Window.partitionBy("row").orderBy("place")
     joined = lambda column, first, last: F.array_join(F.collect_list(column).over(by_text.rowsBetween(first, last)), "")
-    each = each.withColumn("before", F.right(joined("tail", -2 * BEFORE, -1), F.lit(BEFORE))).withColumn("after", F.left(joined("head", 1, 2 * AFTER), F.lit(AFTER)))
-    each = each.withColumn("start", F.sum("length").over(by_text) - F.col("length")).filter(F.col("candidate").isNotNull())
-    return each.select("id", F.floor(F.col("place") / 2).cast("int").alias("ordinal"), "start", "candidate", "before", "after", "path")
+    each = each.withColumn("before", F.right(joined("tail", -3 * BEFORE, -1), F.lit(BEFORE))).withColumn("after", F.left(joined("head", 1, 3 * AFTER), F.lit(AFTER)))
+    each = each.withColumns({"start": F.sum("length").over(by_text) - F.col("length"), "announced": F.lag("kind").over(by_text)}).filter(F.col("candidate").isNotNull())
+    return each.select("id", F.floor(F.col("place") / 3).cast("int").alias("ordinal"), "start", "candidate", "before", "after", "path", "announced")
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> DataFrame:
@@ -151,11 +163,11 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> Data
     digits = F.regexp_replace(hexes, "[a-f]", "")
     hex_any = pick(2, cut(hexes, 32, 40, 64, 22, 24), F.upper(cut(hexes, 32, 40, 64)))
     key = pick(3, hex_any, hex_any, hex_any, cut(mixed, 20, 24, 32, 40, 64), cut(F.regexp_replace(mixed, "[+/=]", "x"), 20, 32, 36, 48), F.concat(pick(4, "sk_live_", "ghp_", "glpat-", "xoxb-", "AKIA", "AIza", "eyJ"), cut(F.regexp_replace(mixed, "[+/=]", "9"), 16, 24, 36)))
-    name = pick(5, "token", "TOKEN", "api_key", "apikey", "secret", "client_secret", "password", "access_token", "auth_token", "private_key", "AWS_SECRET_ACCESS_KEY", "Token", "API_KEY", "passwd")
+    name = pick(5, "token", "TOKEN", "api_key", "apikey", "secret", "client_secret", "password", "access_token", "auth_token", "private_key", "AWS_SECRET_ACCESS_KEY", "Token", "API_KEY", "passwd", "passphrase", "db_pass", F.concat(word(4), F.lit("_secret_of_the_"), word(5), F.lit("_"), word(6)))
     long_name = pick(21, "AWS_SECRET_ACCESS_KEY", "aws_secret_access_key", "stripe_secret_key", "github_access_token", "DATABASE_PASSWORD", F.concat(word(4), F.lit("_"), name, F.lit("_"), word(5), F.lit("_"), word(6)), F.concat_ws("_", word(4), word(5), word(6), word(7)))
     prose = F.concat(pick(11, "", ". ", "### ", ", ", "\n", "!! "), word(1), F.lit(" "), pick(12, word(2), F.upper(word(2)), F.lit("de la"), F.lit("le ua")), F.lit(" "))
-    sign = pick(6, ' = "', '="', ": ", ": '", "=", ' := "', ' = &quot;', "='", '": "')
-    close = F.when(sign.contains('"'), '"').when(sign.contains("'"), "'").when(sign.contains("&"), "&quot;").otherwise(F.lit(" "))
+    sign = pick(6, ' = "', '="', ": ", ": '", "=", ' := "', ' = &quot;', "='", '": "', ">")
+    close = F.when(sign.contains('"'), '"').when(sign.contains("'"), "'").when(sign.contains("&"), "&quot;").when(sign == ">", "</").otherwise(F.lit(" "))
     key, name, long_name, prose, sign, close, hex_any = written(key=key, name=name, long_name=long_name, prose=prose, sign=sign, close=close, hex_any=hex_any)
     named = F.struct(key.alias("candidate"), F.concat(prose, name, sign).alias("before"), F.concat(close, F.lit(" "), word(3)).alias("after"))
     finding = lambda c, before, after="": F.struct(c.alias("candidate"), (before if isinstance(before, Column) else F.lit(before)).alias("before"), (after if isinstance(after, Column) else F.concat(F.lit(after), F.lit(" "), word(3))).alias("after"))
@@ -173,7 +185,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 1) -> Data
         32, named, named, named, named, named, named, named, named,
         finding(pick(33, short, signed), F.concat(prose, name, sign), close), finding(pick(33, short, signed), F.concat(prose, name, sign), close),
         finding(jwt, prose, pick(40, ".", "", " ")), finding(jwt, pick(34, prose, F.concat(prose, name, sign), F.concat(prose, F.lit("Authorization: Bearer ")))), finding(pem, pick(35, prose, F.concat(prose, name, sign))),
-        finding(pick(36, short, short, signed, F.left(plain, F.lit(20)), F.left(plain, F.lit(5))), login, host),
+        finding(pick(36, short, short, signed, F.left(plain, F.lit(20)), F.left(plain, F.lit(5)), F.concat(plain, signed), F.repeat(signed, F.lit(8))), login, host),
     )
     joint = pick(7, "_", "-", "")
     identifier = F.concat(word(4), joint, F.initcap(word(5)), joint, word(6), joint, F.initcap(word(7)))
@@ -218,6 +230,9 @@ def scan(docs: DataFrame, model: PipelineModel | None = None, threshold: float =
     `keep_rejected` asks for them. Without a model one is trained from `labelled_findings`. The secret itself is not
     returned, only its digest. Texts without a candidate leave the plan at the scan.
 
+    Values behind a key's name count from 8 characters on, in quotes only without blanks; other runs from 16 on. There
+    is no greatest length, for names, values, logins or keys.
+
     Null and empty texts have no findings. Null ids and paths pass. Repeated rows have findings of their own. An empty
     table gives no rows. Extra columns are ignored. Long texts are searched whole.
     """

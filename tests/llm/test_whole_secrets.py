@@ -56,3 +56,18 @@ def test_words_are_no_secrets(spark, model):
     texts = ['password = "required"', "secret: placeholder", "token = request.session_token", "see https://user:password@example.org/", "password: ${DB_PASSWORD}", "auth: standard method", "time 12:30 and ratio http://a.example:8080/x@y"]
     docs = spark.createDataFrame([(i, f"say {t} then", "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     assert [r.doc_id for r in secret_scan.scan(docs, model).collect()] == []
+
+
+def test_nothing_is_too_long(spark, model):
+    """Names, logins, passwords and keys of any length, in further notations; runs of names and marks end in time."""
+    body = "\n".join(KEY[i % 3 :] + f"{i:03d}+q/Zk9" * 3 for i in range(900))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = pem[: -len("-----END RSA PRIVATE KEY-----")]
+    long = "aZ9$kQ2x" * 40
+    cases = [(f"db postgres://svc:{long}@db.host/x", long), (f"go https://{'u' * 80}:s3cr3tV@host.example/x", "s3cr3tV"), (f'{"very_" * 30}long_token_{"of_all_" * 30}names = "{KEY}" here', KEY)]
+    cases += [("<password>s3cr3tV@lue!42</password>", "s3cr3tV@lue!42"), ('<db:password type="x"> k9Lq2Zt7Wm </db:password>', "k9Lq2Zt7Wm"), ('passphrase = "kd93ms02LpQ" then', "kd93ms02LpQ"), ("db_pass: s3cr3tV@lue!42 then", "s3cr3tV@lue!42")]
+    cases += [(f"key {pem} end", pem), (f'private_key = "{pem}"', pem), (f"bare {cut}then prose", cut + "then"), ("auth_url = https://user:p4ssw0rdX9@host/ so", "p4ssw0rdX9")]
+    assert hidden(spark, model, cases) == []
+    adversarial = ["token" * 20000, "-" * 100000 + "-----BEGIN PRIVATE KEY-----" + "-a" * 50000, "a-" * 100000, "://" * 50000, "eyJ" * 50000, "-----BEGIN PRIVATE KEY-----\n" * 3000, "<password" * 20000]
+    docs = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(adversarial)], "doc_id long, text string, source string")
+    assert secret_scan.candidates(docs, "doc_id", "text", "source").count() < 4000
