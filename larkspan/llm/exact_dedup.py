@@ -74,6 +74,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = as_rows(docs).withColumn("_own_sha", F.unhex(F.sha2(normalised(F.col("_r")[text_col]), 256)))
     clear, doubtful = sifted(keyed, F.xxhash64("_own_sha", F.col("_r")[id_col]), dropped, "_key")
     _, keep = sifted(found.filter("kept").drop("kept"), F.xxhash64("_keep_sha", "_keep_id"), dropped, "_key")
-    met = doubtful.join(keep, doubtful["_own_sha"].eqNullSafe(keep["_keep_sha"]) & doubtful["_r"][id_col].eqNullSafe(keep["_keep_id"]))
-    place = F.row_number().over(Window.partitionBy("_keep_sha", "_keep_id").orderBy("_keep_sha"))
-    return unpacked(clear.select("_r").unionByName(met.withColumn("_place", place).filter("_place = 1").select("_r")))
+    place = F.row_number().over(Window.partitionBy("_own_sha", "_own_id").orderBy("_own_sha"))
+    once = doubtful.withColumn("_own_id", F.col("_r")[id_col]).withColumn("_place", place).filter("_place = 1")  # each task passes on one of its rows that repeat
+    met = once.join(keep, once["_own_sha"].eqNullSafe(keep["_keep_sha"]) & once["_own_id"].eqNullSafe(keep["_keep_id"]))
+    return unpacked(clear.select("_r").unionByName(met.select("_r")))

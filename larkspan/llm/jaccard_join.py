@@ -313,7 +313,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = as_rows(docs).withColumn("_own", _name(F.col("_r")[text_col]))
     clear, doubtful = sifted(keyed, F.xxhash64("_own", F.col("_r")[id_col]), keys, "_key")
     _, wanted = sifted(first.drop("root"), F.xxhash64("_text", "_first"), keys, "_key")
-    met = doubtful.join(wanted, doubtful["_own"].eqNullSafe(wanted["_text"]) & doubtful["_r"][id_col].eqNullSafe(wanted["_first"]))
     content = F.xxhash64(*[F.col("_r")[c] for c, kind in docs.dtypes if "map<" not in kind])
-    place = F.row_number().over(Window.partitionBy("_text", "_first").orderBy(content))
-    return unpacked(clear.select("_r").unionByName(met.withColumn("_place", place).filter("_place = 1").select("_r")))
+    place = F.row_number().over(Window.partitionBy("_own", "_own_id").orderBy(content))
+    once = doubtful.withColumn("_own_id", F.col("_r")[id_col]).withColumn("_place", place).filter("_place = 1")  # each task passes on one of its rows that repeat
+    met = once.join(wanted, once["_own"].eqNullSafe(wanted["_text"]) & once["_own_id"].eqNullSafe(wanted["_first"]))
+    return unpacked(clear.select("_r").unionByName(met.select("_r")))

@@ -119,7 +119,7 @@ def once(named: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
     So rows that repeat without end don't meet in one group of texts; `again` gives each of them its result.
     """
-    repeated = materialise(named.groupBy("uid").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1"))
+    repeated = materialise(named.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     if repeated.isEmpty():
         return named, None
     clear, doubtful = sifted(named, F.xxhash64("uid"), repeated.select(F.xxhash64("uid").alias("key")), "key")
@@ -127,11 +127,21 @@ def once(named: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return clear.unionByName(doubtful.withColumn("_place", place).filter("_place = 1").drop("_place")), repeated
 
 
-def again(results: DataFrame, repeated: DataFrame | None) -> DataFrame:
-    """Results by uid, as often as their rows occur, without the uid."""
+def again(results: DataFrame, repeated: DataFrame | None, portion: int = 10_000) -> DataFrame:
+    """Results by uid, as often as their rows occur, without the uid.
+
+    A row that occurs more than `portion` times is multiplied in portions, which are dealt out before they unfold, so
+    that rows repeated without end don't come out of one task.
+    """
     if repeated is not None:
-        times = F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1))))
-        results = results.join(repeated, "uid", "left").select(*results.columns, times.alias("_time")).drop("_time")
+        columns, n = results.columns, F.coalesce("n", F.lit(1))
+        results = results.join(repeated, "uid", "left")
+        if repeated.filter(F.col("n") > portion).isEmpty():
+            results = results.select(*columns, n.alias("_n"))
+        else:
+            sizes = F.transform(F.sequence(F.lit(0), F.expr(f"cast((coalesce(n, 1) - 1) div {portion} as int)")), lambda i: F.least(F.lit(portion), n - i * portion))
+            results = results.select(*columns, F.explode(sizes).alias("_n")).repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        results = results.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_time")).drop("_time")
     return results.drop("uid")
 
 
