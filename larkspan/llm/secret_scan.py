@@ -13,32 +13,28 @@ from larkspan.llm.common import materialise
 
 #: Parts of a key's name.
 _WORDS = r"(?i:token|secret|passw(?:or)?d|passphrase|(?<![A-Za-z])pass(?![\w-])|pwd|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key|bearer|client[_-]?key|signing)"
-#: A whole name with such a part and its sign. A name is read once, however long: nothing is given back.
-_NAMED = rf"""(?<![\w-])(?>[\w-]*?{_WORDS})[\w-]*+(?:["']|&quot;)?[ \t]*+(?::=|=>|[=:])[ \t]*+"""
+#: A whole name with such a part and its sign. Only words that a sign follows are searched for a part; a name is read
+#: once, however long: nothing is given back.
+_NAMED = rf"""(?<![\w-])(?=[\w-]++(?:["']|&quot;)?[ \t]*+[:=])(?>[\w-]*?{_WORDS})[\w-]*+(?:["']|&quot;)?[ \t]*+(?::=|=>|[=:])[ \t]*+"""
 _TAGGED = rf"""<(?>[\w:.-]*?{_WORDS})[\w:.-]*+(?:\s[^<>]*+)?>\s*+"""
 #: What a value isn't: a key in PEM or a URL with a login, which are found on their own.
 _OTHER = r"""(?!-----BEGIN |[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@"'<>]*+:[^\s/"'<>]+@)"""
 _WEB = r"[A-Za-z0-9_-]"
 _PEM = r"PRIVATE KEY(?: BLOCK)?-----"
 _END = r"(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
-#: Announcers and values as groups in pairs, then values alone: values of 8 and more characters that a key's name
-#: announces, in quotes, without them (up to closing marks) and in a tag; passwords in URLs; whole JWTs; runs of 16 and
-#: more key characters; private keys in PEM, whole or without an end. No part has a greatest length.
-_PAIRS = (
-    (rf"""{_NAMED}["']{_OTHER}""", r"""[^\s"']{8,}(?=["'])"""),
-    (rf"""{_NAMED}(?:["']|&quot;)?(?:(?i:bearer|basic) )?{_OTHER}""", rf"""[^\s"'&<>=]{{8,}}(?<![,;:.)\]}}]){_END}"""),
-    (_TAGGED, r"""[^\s<>]{8,}(?=\s*+</)"""),
-    (r"""://[^\s/:@"'<>]*+:""", r"""[^\s/"'<>]+(?=@)"""),
-)
-_ALONE = (
-    rf"(?<![A-Za-z0-9_])eyJ{_WEB}{{5,}}\.{_WEB}*\.{_WEB}*(?:\.{_WEB}+){{0,2}}",
-    rf"(?<![A-Za-z0-9_+/-])[A-Za-z0-9+/_-]{{16,}}{_END}",
-    rf"-----BEGIN [A-Z0-9 ]*{_PEM}(?:[\s\S]*?(?:(?=-----BEGIN )|-----END [A-Z0-9 ]*{_PEM})|(?=[\s\\nr]{{1,8}}[A-Za-z0-9+/]{{32}})[A-Za-z0-9+/=\\\r\n]*+)",
-)
-CANDIDATE = "|".join([*(f"({name})({value})" for name, value in _PAIRS), *(f"({value})" for value in _ALONE)])
-#: What a match becomes: its announcer, and its value between two places for marks.
-_BEFORE_VALUE = "".join(f"${2 * i + 1}" for i in range(len(_PAIRS)))
-_VALUE = "".join([f"${2 * i + 2}" for i in range(len(_PAIRS))] + [f"${2 * len(_PAIRS) + 1 + i}" for i in range(len(_ALONE))])
+#: Values of 8 and more characters that a key's name announces, in quotes, without them (up to closing marks) and in a
+#: tag; passwords in URLs; whole JWTs; runs of 16 and more key characters; private keys in PEM, whole or without an end.
+#: No part has a greatest length. Groups with a name starting in b are what stands before a value, those in v values.
+CANDIDATE = "|".join((
+    rf"""(?<b1>{_NAMED})(?:(?<b2>["']{_OTHER})(?<v1>[^\s"']{{8,}})(?=["'])|(?<b3>(?:["']|&quot;)?(?:(?i:bearer|basic) )?{_OTHER})(?<v2>[^\s"'&<>=]{{8,}}(?<![,;:.)\]}}]){_END}))""",
+    rf"(?<b4>{_TAGGED})(?<v3>[^\s<>]{{8,}})(?=\s*+</)",
+    r"""(?<b5>://[^\s/:@"'<>]*+:)(?<v4>[^\s/"'<>]+)(?=@)""",
+    rf"(?<v5>(?<![A-Za-z0-9_])eyJ{_WEB}{{5,}}\.{_WEB}*\.{_WEB}*(?:\.{_WEB}+){{0,2}})",
+    rf"(?<v6>(?<![A-Za-z0-9_+/-])[A-Za-z0-9+/_-]{{16,}}{_END})",
+    rf"(?<v7>-----BEGIN [A-Z0-9 ]*{_PEM}(?:[\s\S]*?(?:(?=-----BEGIN )|-----END [A-Z0-9 ]*{_PEM})|(?=[\s\\nr]{{1,8}}[A-Za-z0-9+/]{{32}})[A-Za-z0-9+/=\\\r\n]*+))",
+))
+_BEFORE_VALUE = "".join(f"${{b{i}}}" for i in range(1, 6))
+_VALUE = "".join(f"${{v{i}}}" for i in range(1, 8))
 #: Characters of context on either side that the forest sees; a candidate has one at least, so as many neighbours hold them.
 BEFORE, AFTER = 80, 24
 
