@@ -127,19 +127,21 @@ def fuzzy_duplicates(new: DataFrame, known: DataFrame, hours: int = 2, least: fl
     asked = own.select(*key).distinct()
     asked = asked.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("at") - hours * 3600) / width), F.floor((F.col("at") + hours * 3600) / width))))
     least_two = F.dense_rank().over(Window.partitionBy(*key).orderBy("event_id"))
-    held = keyed(known).withColumn("_n", least_two).filter("_n <= 2").groupBy(*key).agg(F.collect_set("event_id").alias("ids"))
+    held = keyed(known).withColumn("_n", least_two).filter("_n <= 2").groupBy(*key).agg(F.min("event_id").alias("id1"), F.max(F.when(F.col("_n") == 2, F.col("event_id"))).alias("id2"))
     held = written(held.withColumn("bucket", F.floor(F.col("at") / width)), "known")
     titles = similar_titles(asked.select("bucket", "title").distinct(), held.select("bucket", "title").distinct(), ["bucket"], least - 0.1, few)
     left = asked.select("bucket", F.col("title").alias("new_title"), F.col("venue").alias("new_venue"), F.col("at").alias("new_at")).join(titles, ["bucket", "new_title"])
-    right = held.select("bucket", F.col("title").alias("known_title"), F.col("venue").alias("known_venue"), F.col("at").alias("known_at"), "ids")
+    right = held.select("bucket", F.col("title").alias("known_title"), F.col("venue").alias("known_venue"), F.col("at").alias("known_at"), F.filter(F.array("id1", "id2"), lambda i: i.isNotNull()).alias("ids"))
     met = left.join(right, ["bucket", "known_title"]).filter(F.abs(F.col("new_at") - F.col("known_at")) <= hours * 3600)
     sure = met.withColumn("confidence", fuzzy_confidence(F.col("alike"), similarity(F.col("new_venue"), F.col("known_venue")))).filter(F.col("confidence") >= least)
     each = sure.select("new_title", "new_venue", "new_at", "confidence", F.explode("ids").alias("known_id"))
     place = F.row_number().over(Window.partitionBy("new_title", "new_venue", "new_at").orderBy(F.desc("confidence"), F.asc("known_id")))
-    best = each.withColumn("_n", place).filter("_n <= 2").groupBy("new_title", "new_venue", "new_at").agg(F.array_sort(F.collect_list(F.struct("_n", "known_id", "confidence"))).alias("best"))
+    of = lambda n, column: F.max(F.when(F.col("_n") == n, F.col(column)))
+    best = each.withColumn("_n", place).filter("_n <= 2").groupBy("new_title", "new_venue", "new_at").agg(*[of(n, c).alias(f"{c}{n}") for n in (1, 2) for c in ("known_id", "confidence")])
     found = own.join(best, (own["title"] == best["new_title"]) & own["venue"].eqNullSafe(best["new_venue"]) & (own["at"] == best["new_at"]))
-    other = F.filter("best", lambda b: b["known_id"] != F.col("event_id"))
-    return found.select(F.col("event_id").alias("new_id"), F.get(other, F.lit(0)).alias("b")).filter("b IS NOT NULL").select("new_id", "b.known_id", "b.confidence")
+    itself = F.col("known_id1") == F.col("event_id")
+    chosen = found.select(F.col("event_id").alias("new_id"), *[F.when(itself, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(c) for c in ("known_id", "confidence")])
+    return chosen.filter("known_id IS NOT NULL")
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
