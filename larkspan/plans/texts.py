@@ -39,7 +39,7 @@ SELECT doc_id, CASE WHEN NOT enough THEN 'Other' WHEN n > 0.6 AND e < 0.2 THEN '
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     mode = classify.interaction_mode(F.lit(""), F.col("text"))
-    return d.select("doc_id", classify.category(F.col("text"), F.concat(F.lit("https://x.example/"), F.when(F.col("doc_id") % 50 == 0, "museum/1").otherwise("a"))).alias("category"), mode.alias("mode"), classify.is_probable_event(F.col("text")).alias("probable"))
+    return d.select("doc_id", classify.category(F.col("text"), F.concat(F.lit("https://x.example/"), F.when(F.col("doc_id") % 50 == 0, "museum/1").otherwise("a"))).alias("category"), mode.alias("mode"), F.when(F.col("text").isNotNull(), classify.is_probable_event(F.col("text"))).alias("probable"))
 
 
 _CASES = " ".join(f"WHEN regexp_matches(u, '(?i){parts}') THEN '{name}'" for name, _, parts in classify.CATEGORY_WORDS)
