@@ -24,6 +24,8 @@ class Machine:
     start: tuple
     output: str
     step: Callable[[tuple, object], tuple[tuple, tuple]]
+    #: What the step reads of a row besides ats.
+    reads: tuple[str, ...] = ()
     #: When a state moves on without a row (seconds, or None), and how. Replays take the same step with the next row.
     due: Callable[[tuple], int | None] = lambda state: None
     expire: Callable[[tuple], tuple[tuple, tuple]] | None = None
@@ -102,10 +104,10 @@ EMPTY_BELOW = 60.0
 
 MACHINES = {
     "rate_window": Machine("start long, used long", (None, 0), "window_start long, allowed boolean, wait_ms long", _rate_window),
-    "breaker": Machine("name string, failures long, opens long, until long", ("CLOSED", 0, 0, 0), "breaker string, failures long, opens long", _breaker, _cooling, _cooled),
-    "escalation": Machine("level long, empty long", (0, 0), "fetcher string, empty_pages long", _escalation),
-    "health": Machine("health long, enabled boolean", (70, True), "health long, enabled boolean", _health),
-    "failures": Machine("run long, quarantined boolean, hundredths long", (0, False, 100), "failures_in_a_row long, quarantined boolean, reliability_hundredths long", _failures),
+    "breaker": Machine("name string, failures long, opens long, until long", ("CLOSED", 0, 0, 0), "breaker string, failures long, opens long", _breaker, ("failed",), _cooling, _cooled),
+    "escalation": Machine("level long, empty long", (0, 0), "fetcher string, empty_pages long", _escalation, ("value",)),
+    "health": Machine("health long, enabled boolean", (70, True), "health long, enabled boolean", _health, ("failed", "stage")),
+    "failures": Machine("run long, quarantined boolean, hundredths long", (0, False, 100), "failures_in_a_row long, quarantined boolean, reliability_hundredths long", _failures, ("failed",)),
 }
 
 
@@ -117,9 +119,28 @@ def run_machine(machine: Machine, ordered: pd.DataFrame, state: tuple, keep: lis
     return pd.concat([ordered[keep].reset_index(drop=True), pd.DataFrame(out, columns=machine.output_names())], axis=1), state
 
 
-def _parts(rows: pd.DataFrame) -> list[tuple[str | None, pd.DataFrame]]:
-    """A block's rows by key, keys and rows in order; the null key is None."""
-    return [(None if pd.isna(k) else k, part) for k, part in rows.sort_values("_at").groupby("_key", sort=False, dropna=False)]
+def _walk(machine: Machine, begins: dict[int, tuple], batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple], list[tuple]]]:
+    """Batches of blocks' rows in order: each with what its rows show, and with the blocks (number, state) that it ends.
+
+    Only a batch and a state are held, whatever a block's length. A block's first key begins in its state of `begins`.
+    """
+    block = key = state = None
+    for rows in batches:
+        shown, ended = [], []
+        keys = rows["_key"].astype(object).where(rows["_key"].notna(), None)
+        for row, number, name in zip(rows.itertuples(index=False), rows["_block"], keys, strict=True):
+            if number != block:
+                if block is not None:
+                    ended.append((block, state))
+                block, key, state = int(number), name, begins.get(number, machine.start)
+            elif name != key:
+                key, state = name, machine.start
+            state, result = machine.step(state, row)
+            shown.append(result)
+        if shown:
+            yield rows, shown, ended
+    if block is not None:
+        yield pd.DataFrame(), [], [(block, state)]
 
 
 def replay(queue: DataFrame, name: str, key: str = "source_id", block_rows: int = 500_000, blocks: int | None = None) -> DataFrame:
@@ -130,12 +151,14 @@ def replay(queue: DataFrame, name: str, key: str = "source_id", block_rows: int
     from the first state at once; those that turn out to begin in another state run again, until no end changes. Most
     histories forget how they began (a success closes a breaker, an idle hour ends a rate window, health meets its
     bounds), so few blocks run twice; the result is exact in any case. The driver holds one state a block. Last, each
-    block gives its rows, from the state in which it begins.
+    block gives its rows, from the state in which it begins. A block is a partition that Spark sorts and hands to Python
+    in Arrow batches; a worker never holds it whole.
     """
     machine, spark = MACHINES[name], queue.sparkSession
     count = blocks or max(spark.sparkContext.defaultParallelism, -(-queue.count() // block_rows))
     kind = queue.schema[key].dataType.simpleString()
-    sorted_rows = queue.repartitionByRange(count, key, "ats", "item_id").sortWithinPartitions(key, "ats", "item_id")
+    needed = dict.fromkeys(["item_id", key, "ats", *machine.reads])
+    sorted_rows = queue.select(*needed).repartitionByRange(count, key, "ats", "item_id").sortWithinPartitions(key, "ats", "item_id")
     placed = written(sorted_rows.withColumns({"_block": F.spark_partition_id(), "_at": F.monotonically_increasing_id(), "_key": F.col(key).cast("string")}).drop(key), "blocks")
     seen = placed.groupBy("_block").agg(F.min_by("_key", "_at").alias("first"), F.max_by("_key", "_at").alias("last"), (F.min(F.coalesce("_key", F.lit(""))) == F.max(F.coalesce("_key", F.lit("")))).alias("one")).orderBy("_block").collect()
     onward = {a["_block"]: b for a, b in zip(seen[:-1], seen[1:], strict=True) if a["last"] == b["first"]}  # blocks whose last key goes on in the next
@@ -144,31 +167,29 @@ def replay(queue: DataFrame, name: str, key: str = "source_id", block_rows: int
     begins: dict[int, tuple] = {}
     ends: dict[int, tuple] = {}
 
+    def laid(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(count, F.col("_block")).sortWithinPartitions("_block", "_at")
+
     def final(begins: dict[int, tuple]):
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            block = int(rows["_block"].iloc[0])
-            state = begins.get(block, machine.start)
-            for row in rows.sort_values("_at").itertuples(index=False):
-                state, _ = machine.step(state, row)
-            return pd.DataFrame([(block, json.dumps(state))], columns=["block", "state"])
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _, _, ended in _walk(machine, begins, batches):
+                yield pd.DataFrame([(block, json.dumps(state)) for block, state in ended], columns=["block", "state"])
 
         return run
 
     one = {r["_block"] for r in seen if r["one"]}
     again = list(onward)
     while again:
-        rows = ending.filter(F.col("_block").isin(again)).groupBy("_block").applyInPandas(final({b: s for b, s in begins.items() if b in one}), "block int, state string")
+        rows = laid(ending.filter(F.col("_block").isin(again))).mapInPandas(final({b: s for b, s in begins.items() if b in one}), "block int, state string")
         ends |= {r["block"]: tuple(json.loads(r["state"])) for r in rows.collect()}
         after = {b["_block"]: ends[a] for a, b in onward.items()}
         again = [b for b in onward if b in one and after.get(b, machine.start) != begins.get(b, machine.start)]
         begins = after
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        block, out = int(rows["_block"].iloc[0]), []
-        for n, (_, part) in enumerate(_parts(rows)):
-            state = begins.get(block, machine.start) if n == 0 else machine.start
-            out.append(run_machine(machine, part, state, ["item_id", "_key"])[0])
-        return pd.concat(out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, shown, _ in _walk(machine, begins, batches):
+            if shown:
+                yield pd.concat([rows[["item_id", "_key"]].reset_index(drop=True), pd.DataFrame(shown, columns=machine.output_names())], axis=1)
 
-    shown = placed.groupBy("_block").applyInPandas(run, f"item_id long, _key string, {machine.output}")
+    shown = laid(placed).mapInPandas(run, f"item_id long, _key string, {machine.output}")
     return shown.select("item_id", F.col("_key").cast(kind).alias(key), *machine.output_names())
