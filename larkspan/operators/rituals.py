@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.operators.dedup import BROADCAST_KEYS
+from larkspan.storage import written
+
 #: Fixed values; they match as substrings.
 KEYWORDS = (
     "weekly", "monthly", "every", "recurring", "regular", "club", "meetup", "class", "group", "session",
@@ -24,7 +29,8 @@ def normalised(text: Column) -> Column:
 
 def has_keyword(title: Column, description: Column) -> Column:
     both = F.concat(normalised(title), F.lit(" "), normalised(description))
-    return F.exists(F.array(*[F.lit(k) for k in KEYWORDS]), lambda k: both.contains(k))
+    # An array of one, so that the text is made once, not for each keyword.
+    return F.exists(F.array(both), lambda text: reduce(or_, [text.contains(k) for k in KEYWORDS]))
 
 
 def hour_of(time: Column) -> Column:
@@ -67,20 +73,21 @@ class _Firsts:
         return event_id
 
 
-def series(events: DataFrame, window_hours: int = 2) -> DataFrame:
-    """event_id and series of each event: the id of the series' first event.
+_KEY = ["venue", "weekday", "title", "hour"]
 
-    An event joins the first series, in order of date and id, whose first event has a like title and hour, of the same
-    venue and weekday; titles are alike without their numbers if they are equal or one of at least four letters holds
-    the other. Events that agree in venue, weekday, title and hour join the same series, so only the first of each goes
-    through the fold, sorted by venue, weekday and date, and the others take its answer by a join. Events without a
-    venue or hour start their own.
-    """
+
+def _keyed(events: DataFrame) -> DataFrame:
+    """The events with what decides their series, `_title` and the like, and `_blocked`, whether they have a venue and an hour."""
     title = F.regexp_replace(normalised(F.col("title")), NUMBER, "")
-    keyed = events.select("event_id", "event_date", title.alias("title"), normalised(F.col("venue_name")).alias("venue"), F.dayofweek("event_date").alias("weekday"), hour_of(F.col("event_time")).alias("hour"))
-    key = ["venue", "weekday", "title", "hour"]
-    blocked = keyed.filter((F.col("venue") != "") & F.col("hour").isNotNull())
-    distinct = blocked.groupBy(*key).agg(F.min(F.struct(F.col("event_date").isNotNull().alias("dated"), "event_date", "event_id")).alias("first")).select(*key, "first.*")
+    keyed = events.withColumns({"_title": title, "_venue": normalised(F.col("venue_name")), "_weekday": F.dayofweek("event_date"), "_hour": hour_of(F.col("event_time"))})
+    return keyed.withColumn("_blocked", (F.col("_venue") != "") & F.col("_hour").isNotNull())
+
+
+def _folded(keyed: DataFrame, window_hours: int) -> DataFrame:
+    """venue, weekday, title, hour, their events' series and number (items): a row for each combination that occurs."""
+    key = _KEY
+    blocked = keyed.filter("_blocked").select("event_id", "event_date", *[F.col(f"_{k}").alias(k) for k in key])
+    distinct = blocked.groupBy(*key).agg(F.min(F.struct(F.col("event_date").isNotNull().alias("dated"), "event_date", "event_id")).alias("first"), F.count(F.lit(1)).alias("items")).select(*key, "first.*", "items")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, firsts = None, None
@@ -90,22 +97,48 @@ def series(events: DataFrame, window_hours: int = 2) -> DataFrame:
                 if (row.venue, row.weekday) != place:
                     place, firsts = (row.venue, row.weekday), _Firsts(window_hours)
                 out.append(firsts.joined(row.title, row.hour, row.event_id))
-            yield batch[key].assign(series=out)
+            yield batch[[*key, "items"]].assign(series=out)
 
     ordered = distinct.repartition("venue", "weekday").sortWithinPartitions("venue", "weekday", "dated", "event_date", "event_id")
-    grouped = ordered.select(*key, "event_id").mapInPandas(fold, "venue string, weekday int, title string, hour int, series long")
-    met = blocked.join(grouped.withColumnsRenamed({k: f"_{k}" for k in key}), F.expr(" AND ".join(f"{k} <=> _{k}" for k in key))).select("event_id", "series")
-    alone = keyed.filter((F.col("venue") == "") | F.col("hour").isNull()).select("event_id", F.col("event_id").alias("series"))
-    return met.unionByName(alone)
+    return ordered.select(*key, "event_id", "items").mapInPandas(fold, "venue string, weekday int, title string, hour int, items long, series long")
+
+
+def _answered(keyed: DataFrame, folded: DataFrame) -> DataFrame:
+    """Blocked events with the columns of their combination; it is broadcast where its rows, once counted, are few."""
+    named = folded.withColumnsRenamed({k: f"_of_{k}" for k in _KEY})
+    named = F.broadcast(named) if folded.count() <= BROADCAST_KEYS else named
+    return keyed.filter("_blocked").join(named, F.expr(" AND ".join(f"_{k} <=> _of_{k}" for k in _KEY)))
+
+
+def series(events: DataFrame, window_hours: int = 2) -> DataFrame:
+    """event_id and series of each event: the id of the series' first event.
+
+    An event joins the first series, in order of date and id, whose first event has a like title and hour, of the same
+    venue and weekday; titles are alike without their numbers if they are equal or one of at least four letters holds
+    the other. Events that agree in venue, weekday, title and hour join the same series, so only the first of each goes
+    through the fold, sorted by venue, weekday and date, and the others take its answer by a join. Events without a
+    venue or hour start their own.
+    """
+    keyed = _keyed(events)
+    met = _answered(keyed, written(_folded(keyed, window_hours), "series")).select("event_id", "series")
+    return met.unionByName(keyed.filter(~F.col("_blocked")).select("event_id", F.col("event_id").alias("series")))
 
 
 def rituals(events: DataFrame, now: Column, least: int = 3) -> DataFrame:
-    """Events with a ritual keyword, and coming events of series of `least` or more among the others."""
-    by_keyword = has_keyword(F.col("title"), F.col("description"))
-    marked = events.withColumn("_keyword", by_keyword)
-    rest = marked.filter(~F.col("_keyword"))
-    sized = series(rest).withColumn("occurrences", F.count(F.lit(1)).over(Window.partitionBy("series"))).filter(F.col("occurrences") >= least)
-    pattern = rest.join(sized, "event_id").filter(F.col("event_date") >= now).select("event_id", F.lit("series").alias("reason"), F.col("occurrences").cast("long"), F.date_format("event_date", "EEEE").alias("ritual_day"))
+    """Events with a ritual keyword, and coming events of series of `least` or more among the others.
+
+    A series' size is the sum of its combinations' events, so no event is sorted by its series.
+    """
+    marked = events.withColumn("_keyword", has_keyword(F.col("title"), F.col("description")))
+    rest = _keyed(marked.filter(~F.col("_keyword")))
+    folded = written(_folded(rest, window_hours=2), "series")
+    sizes = folded.groupBy("series").agg(F.sum("items").alias("occurrences")).filter(F.col("occurrences") >= least)
+    large = written(folded.join(sizes, "series"), "large_series")
+    met = _answered(rest.filter(F.col("event_id").isNotNull() & (F.col("event_date") >= now)), large).select("event_id", "event_date", "occurrences")
+    if least <= 1:  # an event without a venue or hour is a series of one
+        alone = rest.filter(~F.col("_blocked") & F.col("event_id").isNotNull() & (F.col("event_date") >= now))
+        met = met.unionByName(alone.select("event_id", "event_date", F.lit(1).cast("long").alias("occurrences")))
+    pattern = met.select("event_id", F.lit("series").alias("reason"), "occurrences", F.date_format("event_date", "EEEE").alias("ritual_day"))
     keyword = marked.filter("_keyword").select("event_id", F.lit("keyword").alias("reason"), F.lit(None).cast("long").alias("occurrences"), F.date_format("event_date", "EEEE").alias("ritual_day"))
     return keyword.unionByName(pattern)
 
