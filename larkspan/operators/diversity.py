@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspan.storage import new_path, numbered, written
 
 #: Rows that a page's task holds, of all categories together.
-HELD_ROWS = 4_000_000
+HELD_ROWS = 2_000_000
 _PICKS = pa.schema([("event_id", pa.int64()), ("category", pa.string()), ("final_score", pa.float64()), ("diverse_score", pa.float64()), ("place", pa.int64())])
 _PICKS_DDL = "event_id long, category string, final_score double, diverse_score double, place long"
 
@@ -22,12 +22,13 @@ def factor(last: list, category: str | None, memory: int) -> float:
     return 1 - (len(last) - last.index(category)) / (memory + 1) if category in last else 1.0
 
 
-def greedy(queues: dict, last: list, memory: int, most: int) -> list[tuple]:
+def greedy(queues: dict, last: list, memory: int, most: int, going_on: frozenset = frozenset()) -> list[tuple]:
     """Up to `most` picks (category, place in its queue, diverse score) from queues (scores, ids) in order.
 
     Each pick takes the greatest score after marking the last categories down; of equals, the one that is first by
     score and id. Within a queue order never changes, so only heads compete, and of the categories that aren't
     remembered only the best one: a pick looks at memory + 1 heads, whatever the numbers of rows and of categories.
+    Of the queues `going_on` only a first part is given; the picks stop where one of these parts is used up.
     """
     key = lambda c, i: (-queues[c][0][i], queues[c][1][i] is not None, queues[c][1][i] or 0)
     head = {c: 0 for c, (scores, _) in queues.items() if scores}
@@ -46,6 +47,8 @@ def greedy(queues: dict, last: list, memory: int, most: int) -> list[tuple]:
         out.append((category, head[category], -best[0]))
         head[category] += 1
         if head[category] == len(queues[category][0]):
+            if category in going_on:
+                break
             del head[category]
         was, last = last, [*last, category][-memory:] if memory else []
         for c in {*was, category} - set(last):
@@ -54,7 +57,7 @@ def greedy(queues: dict, last: list, memory: int, most: int) -> list[tuple]:
     return out
 
 
-def _page(names: list, last: list, memory: int, most: int, start: int):
+def _page(names: list, last: list, memory: int, most: int, start: int, going_on: frozenset):
     """The function of a page's rows, (queue, place, event_id, score); it knows the categories' names and the last picks."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -62,7 +65,7 @@ def _page(names: list, last: list, memory: int, most: int, start: int):
         queue, scores, ids = table.column("queue").to_numpy(), table.column("final_score"), table.column("event_id")
         edges = np.flatnonzero(np.diff(queue, prepend=-1, append=-1)) if len(queue) else np.zeros(0, int)
         queues = {int(queue[a]): (scores.slice(a, b - a).to_pylist(), ids.slice(a, b - a).to_pylist()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
-        rows = [(queues[c][1][i], names[c], queues[c][0][i], marked, start + n) for n, (c, i, marked) in enumerate(greedy(queues, last, memory, most))]
+        rows = [(queues[c][1][i], names[c], queues[c][0][i], marked, start + n) for n, (c, i, marked) in enumerate(greedy(queues, last, memory, most, going_on))]
         return pa.Table.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), _PICKS.types, strict=True)], schema=_PICKS) if rows else _PICKS.empty_table()
 
     return run
@@ -74,9 +77,9 @@ def diversified(ranked: DataFrame, memory: int = 2, top: int | None = None, held
     Each pick remembers the last `memory` categories: at place i of n remembered ones a category's scores are multiplied
     by 1 - (n - i) / (memory + 1). A pick depends on the last categories and on how much of each queue is gone, and on
     nothing else. So the rows are sorted into a queue for each category, in a table that is read by ranges, and picked
-    page by page: a page of m picks can't take more than m rows of a queue, so its task holds the next m of each,
-    `held_rows` at most over all categories, and hands the places it reached to the next page. Nothing is cut, and no
-    task grows with the table; the number of pages does, as each choice waits for the one before it.
+    page by page: a page's task holds the next rows of each queue, `held_rows` at most over all categories, picks until
+    it has used up what it holds of one that goes on, and hands the places it reached to the next page. Nothing is cut,
+    and no task grows with the table; the number of pages does, as each choice waits for the one before it.
 
     Null is a category. A null score counts as 0, ties go by event_id. Of repeated rows each is picked. An empty table
     gives no rows. place counts from 1.
@@ -94,14 +97,15 @@ def diversified(ranked: DataFrame, memory: int = 2, top: int | None = None, held
     path, total = new_path(spark, "picks"), sum(s["n"] for s in spans) if top is None else min(top, sum(s["n"] for s in spans))
     size, done, last = max(1, held_rows // len(names)), 0, []
     while done < total:
-        size_now = min(size, total - done)
-        wanted = [f"(place >= {b} AND place < {min(b + size_now, e)})" for b, e in zip(begins, ends, strict=True) if b < e]
-        page = queues.filter(" OR ".join(wanted)).groupBy().applyInArrow(_page(names, last, memory, size_now, done + 1), _PICKS_DDL)
+        held = min(size, total - done)
+        wanted = [f"(place >= {b} AND place < {min(b + held, e)})" for b, e in zip(begins, ends, strict=True) if b < e]
+        going_on = frozenset(q for q, (b, e) in enumerate(zip(begins, ends, strict=True)) if b + held < e)
+        page = queues.filter(" OR ".join(wanted)).groupBy().applyInArrow(_page(names, last, memory, total - done, done + 1, going_on), _PICKS_DDL)
         page.write.parquet(f"{path}/page={done}")
         picks = spark.read.schema(_PICKS_DDL).parquet(f"{path}/page={done}")
         taken = {r["category"]: r["count"] for r in picks.groupBy("category").count().collect()}
         begins = [b + taken.get(c, 0) for b, c in zip(begins, names, strict=True)]
-        done += size_now
+        done += sum(taken.values())
         remembered = picked(spark, path).filter((F.col("place") > done - memory) & (F.col("place") <= done)).orderBy("place").collect()
         last = [names.index(r["category"]) for r in remembered]
     return picked(spark, path)
