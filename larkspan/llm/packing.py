@@ -82,8 +82,9 @@ def _pieces(path: str | None, capacity: int, end_id: int, with_ids: bool, schema
                 raw = memoryview(stream).cast("B")
                 at = 4 * (first[doc] + start)
                 crc = [zlib.crc32(raw[x : x + y]) for x, y in zip(at.tolist(), (4 * length).tolist(), strict=True)]
-                took = batch.slice(a, b - a).take(pa.array(doc))
-                columns = [took.column(0), took.column(1), start, length, pa.array(crc, pa.int64()), n[doc]]
+                # The texts stay out of it: each would be copied for each of its pieces.
+                took = [batch.column(c).slice(a, b - a).take(pa.array(doc)) for c in (0, 1)]
+                columns = [*took, start, length, pa.array(crc, pa.int64()), n[doc]]
                 if with_ids:
                     columns.append(pa.array([stream[x // 4 : x // 4 + y].astype(np.int32) for x, y in zip(at.tolist(), length.tolist(), strict=True)], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=schema)
