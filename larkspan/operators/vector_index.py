@@ -25,6 +25,10 @@ SAMPLE_ROWS = 100_000
 PIECE_ROWS = 20_000
 #: Bound on what rounding adds to a similarity.
 SLACK = 1e-6
+#: Bound on what a product of matrices adds to a similarity; within it of the last place, similarities are formed anew.
+NEAR = 1e-12
+#: Queries that a group holds, about.
+BLOCK_ROWS = 16_384
 
 _FOUND_DDL = "query_id long, event_id long, similarity double, cell int"
 _FOUND = pa.schema([("query_id", pa.int64()), ("event_id", pa.int64()), ("similarity", pa.float64()), ("cell", pa.int32())])
@@ -68,7 +72,7 @@ def build(events: DataFrame, path: str, cells: int | None = None, sample_rows: i
         return Index(spark, path)
     count = max(2, min(MOST_CELLS, cells or math.isqrt(n), n))
     point = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-    sample = kept.select(point) if n <= sample_rows else kept.orderBy(F.xxhash64("event_id", F.lit(seed))).limit(sample_rows).select(point)
+    sample = kept.select(point) if n <= sample_rows else kept.orderBy(F.xxhash64("event_id", F.lit(seed))).limit(sample_rows).select(point).repartition(spark.sparkContext.defaultParallelism)  # a limit leaves one partition
     model = KMeans(k=count, seed=seed, distanceMeasure="cosine", maxIter=15, predictionCol="cell").fit(sample)
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]  # MOST_CELLS at most
     placed = written(model.transform(kept.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))).drop("features"), "cells")
@@ -126,24 +130,96 @@ def _nearest_cells(centres: list[tuple[int, list[float]]], probes: int):
     return nearest
 
 
+def _bins(table: list, bin_rows: int) -> list[tuple[int, int, int]]:
+    """(cell, piece, bin): pieces in the order of their cells, as many to a bin as make about `bin_rows` vectors."""
+    out, bin_, held = [], 0, 0
+    for r in table:
+        each = -(-r["n"] // r["pieces"])
+        for piece in range(r["pieces"]):
+            if held and held + each > bin_rows:
+                bin_, held = bin_ + 1, 0
+            out.append((r["cell"], piece, bin_))
+            held += each
+    return out
+
+
+def _sent(table: list, bins: list[tuple[int, int, int]], probes: int):
+    """Each query once for each bin that holds any of its nearest cells, with these cells; null if they are all of the bin's."""
+    names, matrix = np.array([r["cell"] for r in table], np.int32), np.array([r["centre"] for r in table], np.float64)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    place = {int(c): i for i, c in enumerate(names)}
+    members: dict[int, set[int]] = {}
+    for cell, _, bin_ in bins:
+        members.setdefault(bin_, set()).add(place[cell])
+    cells_of = {b: np.array(sorted(m)) for b, m in members.items()}
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, len(batch), 1024):
+                part = batch.slice(begin, 1024)
+                chosen = np.ones((len(part), len(names)), bool)
+                if probes < len(names):
+                    chosen[:] = False
+                    np.put_along_axis(chosen, np.argsort(-(_matrix(part.column("embedding")) @ matrix.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+                for bin_, cells in cells_of.items():
+                    mine = chosen[:, cells]
+                    rows = np.flatnonzero(mine.any(axis=1))
+                    if not len(rows):
+                        continue
+                    mine = mine[rows]
+                    whole = mine.all(axis=1)
+                    mine[whole] = False
+                    ends = np.concatenate(([0], np.cumsum(mine.sum(axis=1)))).astype(np.int32)
+                    probed = pa.ListArray.from_arrays(pa.array(ends), pa.array(names[cells[np.nonzero(mine)[1]]]), mask=pa.array(whole))
+                    took = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([took.column("query_id"), took.column("embedding"), took.column("block"), pa.array(np.full(len(rows), bin_, np.int32)), probed], ["query_id", "embedding", "block", "bin", "cells"])
+
+    return run
+
+
+def _matrix(column) -> np.ndarray:
+    """Vectors of equal length, none of them null, as rows of length 1."""
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    m = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def _best_of(limit: int):
-    """The best `limit` of a cell's piece for each of the queries that look into it, some queries at a time."""
+    """The best `limit` of a bin for each of the queries that look into it, some queries at a time.
+
+    Products of matrices differ in the last bits with their shape. So whatever is within NEAR of the last place is
+    scored again, alone: equal vectors then tie, and a pair scores the same whichever way it is met.
+    """
 
-    def run(key: tuple, queries: pa.Table, held: pa.Table) -> pa.Table:
+    def run(queries: pa.Table, held: pa.Table) -> pa.Table:
         if not len(queries) or not len(held):
             return _FOUND.empty_table()
-        unit = lambda t: (m := np.array(t.column("embedding").to_pylist(), np.float64)) / np.linalg.norm(m, axis=1, keepdims=True)
-        ids, matrix, names = held.column("event_id").to_numpy(), unit(held), queries.column("query_id").to_numpy()
-        asked, out = unit(queries), []
-        for begin in range(0, len(names), 256):
-            scores = asked[begin : begin + 256] @ matrix.T
-            scores[names[begin : begin + 256, None] == ids[None, :]] = -np.inf
+        held = held.sort_by("event_id")
+        ids, cells, matrix = held.column("event_id").to_numpy(), held.column("cell").to_numpy(), _matrix(held.column("embedding"))
+        kinds, kind = np.unique(cells, return_inverse=True)
+        names, asked, out = queries.column("query_id").to_numpy(), _matrix(queries.column("embedding")), []
+        first, last = np.searchsorted(ids, names, "left"), np.searchsorted(ids, names, "right")
+        for begin in range(0, len(names), 128):
+            scores = asked[begin : begin + 128] @ matrix.T
+            probed = queries.column("cells").slice(begin, 128).combine_chunks()
+            some = np.flatnonzero(np.asarray(probed.is_valid()))
+            if len(some):
+                allowed = np.zeros((len(some), len(kinds)), bool)
+                at = np.repeat(np.arange(len(some)), np.diff(probed.take(pa.array(some)).offsets.to_numpy()))
+                wanted = probed.take(pa.array(some)).flatten().to_numpy()
+                spot = np.minimum(np.searchsorted(kinds, wanted), len(kinds) - 1)
+                met = kinds[spot] == wanted
+                allowed[at[met], spot[met]] = True
+                scores[some] = np.where(allowed[:, kind], scores[some], -np.inf)
+            for i in np.flatnonzero(last[begin : begin + 128] > first[begin : begin + 128]):
+                scores[i, first[begin + i] : last[begin + i]] = -np.inf
+            floor = np.partition(scores, len(ids) - limit, axis=1)[:, len(ids) - limit] - NEAR if limit < len(ids) else np.full(len(scores), -np.inf)
             for i, row in enumerate(scores):
-                order = np.lexsort((ids, -row))[:limit]
-                order = order[row[order] > -np.inf]
-                out.append((np.full(len(order), names[begin + i]), ids[order], row[order]))
-        q, e, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.Table.from_arrays([pa.array(q), pa.array(e), pa.array(s), pa.array(np.full(len(q), key[0].as_py(), np.int32))], schema=_FOUND)
+                near = np.flatnonzero((row >= floor[i]) & (row > -np.inf))
+                exact = np.einsum("ij,j->i", matrix[near], asked[begin + i])
+                order = np.lexsort((ids[near], -exact))[:limit]
+                out.append((np.full(len(order), names[begin + i]), ids[near[order]], exact[order], cells[near[order]]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_FOUND)
 
     return run
 
@@ -151,18 +227,24 @@ def _best_of(limit: int):
 def search_many(index: Index, queries: DataFrame, limit: int = 10, probes: int | None = None) -> DataFrame:
     """(query_id, event_id, similarity, cell, rank): for each query (query_id, embedding) the best events but itself.
 
-    Each query goes to the pieces of its `probes` nearest cells (all cells if None, which is exact); a piece scores the
-    queries that look into it and passes on `limit` for each. Ties go to the smaller id.
+    Each query looks into its `probes` nearest cells (all cells if None, which is exact). Cells are searched in bins of
+    up to PIECE_ROWS vectors: a query goes once to each bin that holds any of its cells, however many, and the bin
+    passes on `limit` for it. So rows sent and passed on grow with queries times bins, not with queries times cells.
+    Ties go to the smaller id.
     """
-    table = index.cells.select("cell", "centre", "pieces").orderBy("cell").collect()  # MOST_CELLS at most
+    table = index.cells.select("cell", "centre", "n", "pieces").orderBy("cell").collect()  # MOST_CELLS at most
     if not table:
         return index.spark.createDataFrame([], f"{_FOUND_DDL}, rank int")
-    nearest = _nearest_cells([(r["cell"], r["centre"]) for r in table], min(probes or len(table), len(table)))
-    asked = queries.filter(_usable(F.col("embedding"))).select("query_id", "embedding")
-    sent = asked.withColumn("cell", F.explode(nearest(F.col("embedding").cast("array<double>"))))
-    sent = sent.join(F.broadcast(index.cells.select("cell", "pieces")), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-    held = index.vectors.select("cell", "piece", "event_id", "embedding")
-    found = sent.groupBy("cell", "piece").cogroup(held.groupBy("cell", "piece")).applyInArrow(_best_of(limit), _FOUND_DDL)
+    total = sum(r["n"] for r in table)
+    bins = _bins(table, min(PIECE_ROWS, max(1000, -(-total // 32))))
+    asked = queries.filter(_usable(F.col("embedding"))).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    sent = asked.mapInArrow(_sent(table, bins, min(probes or len(table), len(table))), f"query_id {asked.schema['query_id'].dataType.simpleString()}, embedding array<double>, block int, bin int, cells array<int>")
+    placed = F.broadcast(index.spark.createDataFrame(bins, "cell int, piece int, bin int"))
+    held = index.vectors.select("cell", "piece", "event_id", "embedding").join(placed, ["cell", "piece"]).drop("piece")
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = sent.groupBy("block", "bin").cogroup(held.groupBy("block", "bin")).applyInArrow(_best_of(limit), _FOUND_DDL)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "event_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= limit)
 
