@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import wordpiece
-from larkspan.llm.common import lean, lean_group
+from larkspan.llm.common import lean, lean_group, materialise, small_batches
 
 #: Bytes of text that a worker turns into ids at once; a longer text is taken alone.
 CHUNK_BYTES = 2_000_000
@@ -98,7 +98,8 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = Non
     Each text becomes its ids and then `end_id`; pieces hold at most `capacity` ids, the last of a document the rest.
     Documents are dealt to groups at random (a seeded hash of id and row), of about `docs_per_group` each, and each
     group is packed alone by first-fit decreasing: no group grows with the input, and copies are dealt like others.
-    Only the pieces' measures are shuffled, not the ids, unless `with_ids` asks for them.
+    Only the pieces' measures are written and shuffled, not the ids, unless `with_ids` asks for them. They are written
+    before the groups are formed, as only then the texts pass Python in small batches whatever the session's settings.
 
     Null and blank texts give one piece with the end id alone. Long texts give many pieces. Repeated rows are packed as
     often as they occur. An empty table gives no rows. Extra columns are ignored. sequence_id is the group's number
@@ -113,7 +114,8 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = Non
     names = ["doc_id", "group", "start", "length", "ids_crc32", "doc_tokens"]
     schema = pa.schema([(c, pa.int64()) for c in names] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
     ddl = ", ".join(f"{c} long" for c in names) + (", ids array<int>" if with_ids else "")
-    pieces = dealt.mapInArrow(lean(_pieces(tokenizer_path, capacity, end_id, with_ids, schema)), ddl)
+    with small_batches(docs.sparkSession):
+        pieces = materialise(dealt.mapInArrow(lean(_pieces(tokenizer_path, capacity, end_id, with_ids, schema)), ddl))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         # In a fixed order, so that a task that runs again packs alike.
